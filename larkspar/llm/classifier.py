@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from larkspar.llm.common import keep, raw, table, without
 
-BITS, SAMPLE, EPOCHS, FOLDS, THRESHOLD = 20, 12_000, 3, 5, 0.3
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.5, 1.0
+BITS, SAMPLE, EPOCHS, FOLDS, THRESHOLD = 20, 12_000, 4, 5, 0.3
+ALPHA, BETA, L1, L2 = 10.0, 1.0, 1.0, 0.1
 #: Words of a text are counted in chunks of so many, so that very long texts need little memory.
 CHUNK = 200_000
 

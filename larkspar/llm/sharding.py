@@ -62,16 +62,18 @@ def _piece_of(cuts: np.ndarray, first: np.ndarray, pieces: np.ndarray) -> Column
     return f("__h", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(5)), 1))
 
 
-def shard(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """rows (from keyed(): doc_id, __size, __h and any others) with shard and slot."""
-    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("__size"), F.lit(0))).first()
-    cuts = splitters(rows, n, total)
-    held = dict(rows.groupBy(_range_of(cuts).alias("r")).agg(F.sum("__size")).collect())  # at most 2 * MAX_RANGES rows
+def shard(rows: DataFrame, shards: int = SHARDS, thin: DataFrame | None = None) -> DataFrame:
+    """rows (from keyed(): doc_id, __size, __h and any others) with shard and slot; thin: the same rows with these three only, where a table of them exists."""
+    thin = rows if thin is None else thin
+    n, total = thin.agg(F.count("*"), F.coalesce(F.sum("__size"), F.lit(0))).first()
+    cuts = splitters(thin, n, total)
+    held = dict(thin.groupBy(_range_of(cuts).alias("r")).agg(F.sum("__size")).collect())  # at most 2 * MAX_RANGES rows
     sizes = np.array([held.get(r, 0) for r in range(len(cuts) + 1)], np.int64)
     pieces = np.maximum(1, np.ceil(sizes / max(1.0, 2 * total / len(sizes)))).astype(np.int64)
     first = np.cumsum(pieces) - pieces
     placed = rows.withColumn("__piece", _piece_of(cuts, first, pieces))
-    exact = {p: (s, c) for p, s, c in placed.groupBy("__piece").agg(F.sum("__size"), F.count("*")).collect()}  # at most a few times MAX_RANGES rows
+    counted = thin.withColumn("__piece", _piece_of(cuts, first, pieces))
+    exact = {p: (s, c) for p, s, c in counted.groupBy("__piece").agg(F.sum("__size"), F.count("*")).collect()}  # at most a few times MAX_RANGES rows
     alone = np.repeat(pieces > 1, pieces).tolist()
     at, rank, offsets = 0, 0, []
     for p in sorted(exact):
@@ -93,7 +95,8 @@ def shard(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """docs with shard and slot."""
     docs = without(docs, "shard", "slot")
-    return shard(keyed(docs), shards).select(*docs.columns, "shard", "slot")
+    rows = keyed(docs)
+    return shard(rows, shards, keep(rows.select("doc_id", "__size", "__h"), "sizes")).select(*docs.columns, "shard", "slot")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
