@@ -2,7 +2,7 @@
 
 A window is WINDOW consecutive words. A word goes if a window that covers it also starts in a document with a smaller doc_id. Three passes over the texts:
 
-1. Sketch. Each part of the input (a file's split) builds a count-min sketch of its windows: DEPTH rows of hashed cells, a window counting once per document.
+1. Sketch. Each part of the input (a file's split) builds a count-min sketch of its windows: DEPTH rows of hashed cells.
    The width follows the input (CELLS cells a window), so that the share of false alarms is the same at any size; a part fills few of the cells, so its sketch
    is exchanged sparse, as sorted cell numbers (counts above two say no more than two), packed and compressed to one or two bytes a window. Rows are cut into
    blocks; the sketches of a block are merged by adding up, and each part gets back those of its own cells that the merged sketch counts twice or more.
@@ -24,6 +24,8 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +43,19 @@ WINDOW, DEPTH, CELLS = 13, 2, 4
 BLOCK, FLUSH = 1 << 21, 1 << 22
 NONE = np.iinfo(np.int64).max
 
-_rng = np.random.default_rng(13)
-#: Odd multipliers, one for each word of a window, for the two halves of its key.
-_MIX = _rng.integers(0, 2**63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
+#: Odd bases of the polynomials that are the two halves of a window's key, and odd multipliers that mix them.
+_BASES = (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F)
 _TURN = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
+@lru_cache(4)
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """base ** i and base ** -i modulo 2 ** 64, for i below n (a power of two)."""
+    up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+
+
 class _WordHash(dict):
     """64-bit hash of a word; remembers so many words at most."""
 
@@ -62,14 +71,15 @@ def keys_of(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(h) - window + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    g = (h ^ (h >> np.uint64(29))) * _TURN[1]
-    a, b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    for j in range(window):
-        a += h[j : j + n] * _MIX[0, j]
-        b += g[j : j + n] * _MIX[1, j]
-    a ^= a >> np.uint64(32)
-    b ^= b >> np.uint64(32)
-    return a * _TURN[0], b * _TURN[1]
+    out = []
+    for words, base, turn in zip((h, (h ^ (h >> np.uint64(29))) * _TURN[1]), _BASES, _TURN, strict=True):
+        up, down = _powers(1 << len(h).bit_length(), base)
+        sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(words * up[: len(h)], out=sums[1:])
+        k = (sums[window:] - sums[:-window]) * down[:n]
+        k ^= k >> np.uint64(32)
+        out.append(k * turn)
+    return out[0], out[1]
 
 
 def _windows(texts: list[bytes], window: int, cache: _WordHash) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -77,7 +87,7 @@ def _windows(texts: list[bytes], window: int, cache: _WordHash) -> tuple[list[li
     words = [t.split() for t in texts]
     lens = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lens)
-    h = np.fromiter((cache[w] for ws in words for w in ws), np.uint64, int(ends[-1]) if len(ends) else 0)
+    h = np.fromiter(map(cache.__getitem__, chain.from_iterable(words)), np.uint64, int(ends[-1]) if len(ends) else 0)
     a, b = keys_of(h, window)
     own = np.repeat(np.arange(len(words)), lens)
     at = np.flatnonzero(own[: len(a)] == own[window - 1 :]) if len(a) else np.zeros(0, np.int64)
@@ -137,18 +147,14 @@ def _sketches(batches: Iterator[pa.RecordBatch], window: int, bits: int, blocks:
                 yield _frame(out, ["part", "row", "blk", "n", "cells"])
             held[row].clear()
 
-    for part, _, i, j, (_, _, _, own, a, b) in _parts(batches, window, cache):
+    for part, _, _, _, (_, _, _, _, a, b) in _parts(batches, window, cache):
         if part != now or size > FLUSH:
             if size:
                 yield from send()
             now, size = part, 0
-        if len(a):
-            order = np.lexsort((a, own))  # a window counts once a document
-            a, b, own = a[order], b[order], own[order]
-            first = np.concatenate([[True], (a[1:] != a[:-1]) | (own[1:] != own[:-1])])
-            for row, cells in enumerate(_cells(a[first], b[first], bits)):
-                held[row].append(cells)
-            size += int(first.sum())
+        for row, cells in enumerate(_cells(a, b, bits)):
+            held[row].append(cells)
+        size += len(a)
     if size:
         yield from send()
 
