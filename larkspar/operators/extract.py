@@ -146,8 +146,10 @@ def rust_units(code: str, path: str, min_lines: int) -> list[tuple]:
                     out.append(_unit(code, path, name, "method" if owner else "function", begin, close, context))
             else:
                 # the first plain type name of the header: the trait of a trait's impl; generic types don't count
-                head = re.sub(r"^\s*<(?:[^<>]|<[^<>]*>)*>", "", clean[m.end() : brace].split(" where ")[0])
-                names = [x[0] for x in re.finditer(r"(?<![\w:])([^\W\d]\w*)(?!\s*(?:<|::|\w))", head) if x[0] not in ("for", "dyn", "unsafe")]
+                head = clean[m.end() : brace].split(" where ")[0]
+                while (plain := re.sub(r"(?:\w+(?:::\w+)*)?\s*<[^<>]*>", "", head)) != head:
+                    head = plain
+                names = [x for x in re.findall(r"(?<![\w:'])[^\W\d]\w*(?!\w|::)", head) if x not in ("for", "dyn", "unsafe", "mut", "const")]
                 visit(brace + 1, close - 1, names[0] if names else None)
             at = close
 

@@ -150,7 +150,7 @@ def self_join(vectors: DataFrame, threshold: float, broadcast_bytes: int = BROAD
     sub = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
     placed = placed.withColumn("sub", sub)
     left = placed.join(meets, placed["block"] == meets["i"]).select("i", "j", F.col("sub").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("y"), "id", "v")
-    right = placed.join(meets, placed["block"] == meets["j"]).select("i", "j", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("x"), F.col("sub").alias("y"), "id", "v")
+    right = placed.join(meets, placed["block"] == meets["j"]).select("i", "j", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("x"), F.col("sub").alias("y"), "id", "v").toDF("i", "j", "x", "y", "id", "v")
     kind = vectors.schema["id"].dataType
     arrow = pa.schema([("a", _arrow(kind)), ("b", _arrow(kind)), ("similarity", pa.float64())])
 
