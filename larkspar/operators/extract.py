@@ -116,7 +116,7 @@ def _unit(code: str, path: str, name: str, kind: str, start: int, end: int, cont
     return (name, path, kind, first + 1, last + 1, context + body, first + 1, 0)
 
 
-def rust_units(code: str, path: str, min_lines: int) -> list[tuple]:
+def rust_units(code: str, path: str, min_lines: int, free_colons: str = ":") -> list[tuple]:
     clean = blanked(code, "rust")
     structs: dict[str, list[str]] = {}
     for m in re.finditer(r"\bstruct\s+([^\W\d]\w*)", clean):
@@ -142,7 +142,7 @@ def rust_units(code: str, path: str, min_lines: int) -> list[tuple]:
                 begin = head + before.start() if before else m.start()
                 if code.count("\n", begin, close - 1) + 1 >= min_lines:
                     context = f"// Struct fields:\n{chr(10).join(structs[owner])}\n\n" if owner in structs else ""
-                    name = f"rust:{path}::{owner}::{m[2]}" if owner else f"rust::{path}::{m[2]}"
+                    name = f"rust:{path}::{owner}::{m[2]}" if owner else f"rust{free_colons}{path}::{m[2]}"
                     out.append(_unit(code, path, name, "method" if owner else "function", begin, close, context))
             else:
                 # the first plain type name of the header: the trait of a trait's impl; generic types don't count
@@ -208,12 +208,17 @@ def language(path: str) -> str | None:
     return LANGUAGES.get(ext.lower()) if dot and stem else None
 
 
-def functions_of(code: str, path: str, min_lines: int = 5) -> list[tuple]:
-    """RAW_UNIT rows of a file; languages other than Rust and Swift have none."""
-    return {"rust": rust_units, "swift": swift_units}.get(language(path) or "", lambda *_: [])(code, path, min_lines)
+def functions_of(code: str, path: str, min_lines: int = 5, strict_names: bool = False) -> list[tuple]:
+    """RAW_UNIT rows of a file; languages other than Rust and Swift have none.
 
+    strict_names: free Rust functions have two colons after the language, which no indexed name has, so a function would not recognise itself there."""
+    kind = language(path)
+    if kind == "rust":
+        return rust_units(code, path, min_lines, "::" if strict_names else ":")
+    return swift_units(code, path, min_lines) if kind == "swift" else []
 
-def extract_functions(files: DataFrame, min_lines: int = 5, keep: list[str] | None = None) -> DataFrame:
+
+def extract_functions(files: DataFrame, min_lines: int = 5, keep: list[str] | None = None, strict_names: bool = False) -> DataFrame:
     """RAW_UNIT rows of (file_path, content) files, with the kept columns of the file before them. Files are parsed where they are; nothing is shuffled."""
     keep = keep or []
     names = [f.name for f in RAW_UNIT]
@@ -223,7 +228,7 @@ def extract_functions(files: DataFrame, min_lines: int = 5, keep: list[str] | No
             rows = []
             for r in pdf.to_dict("records"):
                 if r["file_path"] is not None and r["content"] is not None:
-                    rows += [(*(r[k] for k in keep), *u) for u in functions_of(r["content"], r["file_path"], min_lines)]
+                    rows += [(*(r[k] for k in keep), *u) for u in functions_of(r["content"], r["file_path"], min_lines, strict_names)]
             yield pd.DataFrame(rows, columns=[*keep, *names])
 
     kinds = {f.name: f.dataType.simpleString() for f in files.schema}

@@ -25,29 +25,40 @@ from larkspar.functions.vectors import dot, norm
 from larkspar.tables import written
 
 BROADCAST_BYTES, BLOCK_BYTES, PIVOTS = 64 << 20, 32 << 20, 64
-_ROWS = 1024
+_ROWS, MARGIN = 1024, 1e-4
 
 
-def _unit(vectors) -> np.ndarray:
+def _unit(vectors: list | np.ndarray) -> np.ndarray:
     """Unit vectors as rows; zero vectors stay zero. An error if lengths differ."""
-    lengths = {len(v) for v in vectors}
-    if len(lengths) > 1:
-        raise ValueError(f"vectors of different dimensions: {sorted(lengths)}")
-    m = np.array([np.asarray(v, np.float64) for v in vectors], np.float64)
+    if isinstance(vectors, list):
+        lengths = {len(v) for v in vectors}
+        if len(lengths) > 1:
+            raise ValueError(f"vectors of different dimensions: {sorted(lengths)}")
+    m = np.array(vectors, np.float64).reshape(len(vectors), -1)
     n = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def _hits(ids: list, a: np.ndarray, other: list, b: np.ndarray, threshold: float | None, k: int | None) -> Iterator[tuple]:
-    """(id, other id, similarity) of two sets of unit vectors: those at or above the threshold, of each id the best k (and whatever ties with the last of them)."""
+def _hits(ids: pa.Array, a: np.ndarray, other: pa.Array, b: np.ndarray, threshold: float | None, k: int | None, names: tuple[str, ...] = ("q", "c", "similarity")) -> Iterator[pa.RecordBatch]:
+    """(id, other id, similarity) of two sets of unit vectors: those at or above the threshold, of each id the best k (and whatever comes within MARGIN of the last of them).
+
+    Single precision finds them, with a margin; those found are computed again in double precision."""
+    narrow = b.astype(np.float32).T
     for i in range(0, len(ids), _ROWS):
-        s = a[i : i + _ROWS] @ b.T
-        ok = np.ones(s.shape, bool) if threshold is None else s.astype(np.float32) >= np.float32(threshold)
+        x = a[i : i + _ROWS]
+        s = x.astype(np.float32) @ narrow
+        ok = ~np.isnan(s) if threshold is None else s >= threshold - MARGIN
         if k is not None and k < s.shape[1]:
             s = np.where(ok, s, -np.inf)
-            ok &= s >= np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k][:, None]
-        for r, c in zip(*(x.tolist() for x in np.nonzero(ok & ~np.isnan(s))), strict=True):
-            yield ids[i + r], other[c], float(s[r, c])
+            ok &= s >= np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k][:, None] - MARGIN
+        rows, columns = np.nonzero(ok)
+        for j in range(0, len(rows), 65_536):
+            r, c = rows[j : j + 65_536], columns[j : j + 65_536]
+            exact = np.einsum("ij,ij->i", x[r], b[c])
+            if threshold is not None:
+                keep = exact.astype(np.float32) >= np.float32(threshold)
+                r, c, exact = r[keep], c[keep], exact[keep]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(r + i)), other.take(pa.array(c)), pa.array(exact)], list(names))
 
 
 def _size(df: DataFrame) -> tuple[int, int]:
@@ -65,18 +76,16 @@ def block_join(queries: DataFrame, corpus: DataFrame, threshold: float | None =
     n, size = _size(corpus)
     if not n:
         return queries.sparkSession.createDataFrame([], schema)
-    arrow = pa.schema([("q", _arrow(q_type)), ("c", _arrow(c_type)), ("similarity", pa.float64())])
     if size <= broadcast_bytes:
         got = corpus.toArrow()
-        held = queries.sparkSession.sparkContext.broadcast((got["c"].to_pylist(), _unit(got["v"].to_pylist())))
+        held = queries.sparkSession.sparkContext.broadcast((got["c"].combine_chunks(), _unit(_rows(got["v"]))))
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             other, b = held.value
             for batch in batches:
                 for i in range(0, batch.num_rows, _ROWS):
                     part = batch.slice(i, _ROWS)
-                    rows = list(_hits(part.column(0).to_pylist(), _unit(part.column(1).to_pylist()), other, b, threshold, k))
-                    yield _table(rows, arrow)
+                    yield from _hits(part.column(0), _unit(_rows(part.column(1))), other, b, threshold, k)
 
         found = _spread(queries).mapInArrow(near, schema)
     else:
@@ -86,11 +95,7 @@ def block_join(queries: DataFrame, corpus: DataFrame, threshold: float | None =
         right = corpus.withColumn("j", F.pmod(F.xxhash64("c"), F.lit(nc))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<bigint>")))
 
         def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-            if not a.num_rows or not b.num_rows:
-                return arrow.empty_table()
-            other, m = b["c"].to_pylist(), _unit(b["v"].to_pylist())
-            rows = list(_hits(a["q"].to_pylist(), _unit(a["v"].to_pylist()), other, m, threshold, k))
-            return pa.Table.from_batches([_table(rows, arrow)])
+            return _met(a, b, ("q", "c"), threshold, k)
 
         found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, schema)
     if k is None:
@@ -99,14 +104,21 @@ def block_join(queries: DataFrame, corpus: DataFrame, threshold: float | None =
     return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
 
 
-def _arrow(kind) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
+def _rows(v) -> list | np.ndarray:
+    """A list column as a matrix, or as lists where lengths differ or values are missing."""
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+    flat, n = v.flatten(), len(v)
+    lengths = np.diff(v.offsets.to_numpy())
+    return flat.to_numpy(zero_copy_only=False).reshape(n, -1) if n and not flat.null_count and not v.null_count and (lengths == lengths[0]).all() else v.to_pylist()
 
 
-def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+def _met(a: pa.Table, b: pa.Table, ids: tuple[str, str], threshold: float | None, k: int | None) -> pa.Table:
+    """_hits() of two blocks that meet."""
+    x, y = a[ids[0]].combine_chunks(), b[ids[1]].combine_chunks()
+    empty = pa.schema([("q", x.type), ("c", y.type), ("similarity", pa.float64())])
+    if not len(x) or not len(y):
+        return empty.empty_table()
+    return pa.Table.from_batches(list(_hits(x, _unit(_rows(a["v"])), y, _unit(_rows(b["v"])), threshold, k)), empty)
 
 
 def _spread(df: DataFrame) -> DataFrame:
@@ -151,18 +163,17 @@ def self_join(vectors: DataFrame, threshold: float, broadcast_bytes: int = BROAD
     placed = placed.withColumn("sub", sub)
     left = placed.join(meets, placed["block"] == meets["i"]).select("i", "j", F.col("sub").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("y"), "id", "v")
     right = placed.join(meets, placed["block"] == meets["j"]).select("i", "j", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("x"), F.col("sub").alias("y"), "id", "v").toDF("i", "j", "x", "y", "id", "v")
-    kind = vectors.schema["id"].dataType
-    arrow = pa.schema([("a", _arrow(kind)), ("b", _arrow(kind)), ("similarity", pa.float64())])
+    kind = vectors.schema["id"].dataType.simpleString()
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return arrow.empty_table()
-        same = a["i"][0] == a["j"][0]
-        rows = [(min(x, y), max(x, y), s) for x, y, s in _hits(a["id"].to_pylist(), _unit(a["v"].to_pylist()), b["id"].to_pylist(), _unit(b["v"].to_pylist()), threshold, None) if (x < y if same else x != y)]
-        return pa.Table.from_batches([_table(rows, arrow)])
+        got = _met(a, b, ("id", "id"), threshold, None)
+        inside = bool(a.num_rows and b.num_rows and a["i"][0].as_py() == a["j"][0].as_py())
+        return got.append_column("inside", pa.array([inside] * got.num_rows, pa.bool_()))
 
     keys = ["i", "j", "x", "y"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, f"a {kind.simpleString()}, b {kind.simpleString()}, similarity double")
+    got = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, f"q {kind}, c {kind}, similarity double, inside boolean")
+    # within a block every pair comes in both orders
+    return got.where(F.when(F.col("inside"), F.col("q") < F.col("c")).otherwise(F.col("q") != F.col("c"))).select(F.least("q", "c").alias("a"), F.greatest("q", "c").alias("b"), "similarity")
 
 
 def catalyst_self_join(vectors: DataFrame, threshold: float) -> DataFrame:

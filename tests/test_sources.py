@@ -71,16 +71,17 @@ class Bar {
 
 def test_rust_functions():
     got = {u[0]: u for u in functions_of(RUST, "t.rs", 5)}
-    assert list(got) == ["rust::t.rs::foo", "rust:t.rs::Bar::method", "rust:t.rs::Show::shown"]
-    assert got["rust::t.rs::foo"][2:5] == ("function", 1, 6)
+    assert list(got) == ["rust:t.rs::foo", "rust:t.rs::Bar::method", "rust:t.rs::Show::shown"]
+    assert got["rust:t.rs::foo"][2:5] == ("function", 1, 6)
     method = got["rust:t.rs::Bar::method"]
     assert method[2] == "method" and method[5].startswith("// Struct fields:\na: u32\npub b: HashMap<String, u32>\n\n    pub fn method")
     assert "Struct fields" not in got["rust:t.rs::Show::shown"][5]
+    assert functions_of(RUST, "t.rs", 5, strict_names=True)[0][0] == "rust::t.rs::foo"
     assert len(functions_of(RUST, "t.rs", 1)) == 4  # inner is not a unit of its own
 
 
 def test_generic_type_has_no_plain_name():
-    assert [u[0] for u in functions_of("impl Foo<T> {\n fn f() {\n 1\n }\n}", "a.rs", 2)] == ["rust::a.rs::f"]
+    assert [u[0] for u in functions_of("impl Foo<T> {\n fn f() {\n 1\n }\n}", "a.rs", 2)] == ["rust:a.rs::f"]
 
 
 def test_swift_functions():
