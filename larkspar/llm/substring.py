@@ -25,7 +25,6 @@ import hashlib
 import math
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,15 +39,19 @@ from larkspar.llm.common import Kept, groups, keep, raw, table
 
 WINDOW, DEPTH, CELLS = 13, 2, 4
 #: Windows a block of the sketch or of the keys is cut for, and windows after which a part's sketch is sent off (a part may send several).
-BLOCK, FLUSH = 1 << 21, 1 << 22
+BLOCK, FLUSH = 1 << 20, 1 << 22
 NONE = np.iinfo(np.int64).max
 
-#: Odd bases of the polynomials that are the two halves of a window's key, and odd multipliers that mix them.
-_BASES = (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F)
+#: Odd bases: of the words' hashes, and of the two halves of a window's key; odd multipliers that mix them; and a random number for each byte.
+_WORD, _BASES = 0xF1357AEA2E62A9C5, (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4D)
 _TURN = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+_BYTE = np.random.default_rng(13).integers(1, 2**63, 256, np.uint64)
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+#: Bytes hashed at once; words longer than LONG are hashed one by one (sums modulo a power of two are weak for long, regular strings).
+CHUNK, LONG = 1 << 19, 32
 
 
-@lru_cache(4)
+@lru_cache(8)
 def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """base ** i and base ** -i modulo 2 ** 64, for i below n (a power of two)."""
     up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
@@ -56,14 +59,13 @@ def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
-class _WordHash(dict):
-    """64-bit hash of a word; remembers so many words at most."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+def _sums(values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each range of values, the sum of value * base ** place in the range, from running sums."""
+    up, down = _powers(1 << max(10, len(values).bit_length()), base)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=total[1:])
+    k = (total[ends] - total[starts]) * down[starts]
+    return k ^ (k >> np.uint64(32))
 
 
 def keys_of(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,27 +73,83 @@ def keys_of(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(h) - window + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    out = []
-    for words, base, turn in zip((h, (h ^ (h >> np.uint64(29))) * _TURN[1]), _BASES, _TURN, strict=True):
-        up, down = _powers(1 << len(h).bit_length(), base)
-        sums = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(words * up[: len(h)], out=sums[1:])
-        k = (sums[window:] - sums[:-window]) * down[:n]
-        k ^= k >> np.uint64(32)
-        out.append(k * turn)
-    return out[0], out[1]
-
-
-def _windows(texts: list[bytes], window: int, cache: _WordHash) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For some texts: their words, where each text's words start, and of each window that lies in one text: its first word's place, text and key halves."""
-    words = [t.split() for t in texts]
-    lens = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lens)
-    h = np.fromiter(map(cache.__getitem__, chain.from_iterable(words)), np.uint64, int(ends[-1]) if len(ends) else 0)
-    a, b = keys_of(h, window)
-    own = np.repeat(np.arange(len(words)), lens)
-    at = np.flatnonzero(own[: len(a)] == own[window - 1 :]) if len(a) else np.zeros(0, np.int64)
-    return words, ends - lens, at, own[at], a[at], b[at]
+    out: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+    for i in range(0, n, 1 << 16):
+        x = h[i : i + (1 << 16) + window - 1]
+        at, y = np.arange(len(x) - window + 1), (x ^ (x >> np.uint64(29))) * _TURN[1]
+        for half, values, base, turn in zip(out, (x, y), _BASES, _TURN, strict=True):
+            half.append(_sums(values, base, at, at + window) * turn)
+    return np.concatenate(out[0]), np.concatenate(out[1])
+
+
+def _words(buf: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of each word; the buffer ends with white space."""
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edges = np.concatenate([[0], edges])
+    starts, ends = edges[0::2], edges[1::2]
+    found, lo = [np.zeros(0, np.uint64)], 0
+    while lo < len(starts):  # whole words of about a chunk together
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + CHUNK, "right")))
+        a, z = int(starts[lo]), int(ends[hi - 1])
+        if z - a <= CHUNK:
+            found.append(_sums(_BYTE[buf[a:z]], _WORD, starts[lo:hi] - a, ends[lo:hi] - a) * _TURN[0])
+        else:
+            found.append(np.zeros(1, np.uint64))
+        lo = hi
+    h = np.concatenate(found)
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]].tobytes())
+    return h, starts, ends
+
+
+class Piece:
+    """Some texts, with their words and windows: of each word its place in the buffer (starts, ends) and, as running number, its text's first word (first); of each
+    window that lies in one text its first word (at), text (own) and key halves (a, b)."""
+
+    def __init__(self, texts: list[bytes], window: int):
+        self.n, self.window = len(texts), window
+        self.buf = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+        self.space = _SPACE[self.buf]
+        h, self.starts, self.ends = _words(self.buf, self.space)
+        self.offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, self.n) + 1)])
+        self.first = np.searchsorted(self.starts, self.offsets)
+        own = np.repeat(np.arange(self.n), np.diff(self.first))
+        a, b = keys_of(h, window)
+        self.at = np.flatnonzero(own[: len(a)] == own[window - 1 :]) if len(a) else np.zeros(0, np.int64)
+        self.own, self.a, self.b = own[self.at], a[self.at], b[self.at]
+
+    def kept(self, drop: np.ndarray) -> list[bytes]:
+        """Each text's words that aren't dropped, joined by single spaces."""
+        out = np.where(self.space, np.uint8(32), self.buf)
+        show = ~self.space
+        show[self.ends] = True  # one space after each word
+        if drop.any():
+            depth = np.zeros(len(out) + 1, np.int8)
+            np.add.at(depth, self.starts[drop], 1)
+            np.subtract.at(depth, self.ends[drop] + 1, 1)
+            show &= np.cumsum(depth[:-1], dtype=np.int8) == 0
+        rows = np.concatenate([[0], np.cumsum(show)])[self.offsets].tolist()
+        out = out[show].tobytes()
+        return [out[i : max(i, j - 1)] for i, j in zip(rows, rows[1:], strict=False)]
+
+
+class _Lookup:
+    """Membership among sorted numbers: a table of their leading bits settles most, a binary search the rest."""
+
+    def __init__(self, known: np.ndarray, bits: int):
+        self.known, self.shift = known, np.uint64(max(0, bits - 22))
+        self.table = np.zeros(1 << min(22, bits), bool)
+        self.table[known >> self.shift] = True
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in x of numbers that are known, and where they stand first among the known."""
+        at = np.flatnonzero(self.table[x >> self.shift])
+        if not len(self.known) or not len(at):
+            return at[:0], at[:0]
+        place = np.minimum(np.searchsorted(self.known, x[at]), len(self.known) - 1)
+        hit = self.known[place] == x[at]
+        return at[hit], place[hit]
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -114,16 +172,16 @@ def _cells(a: np.ndarray, b: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndar
     return a >> np.uint64(64 - bits), b >> np.uint64(64 - bits)
 
 
-def _parts(batches: Iterator[pa.RecordBatch], window: int, cache: _WordHash):
-    """For each run of rows of one part, in small groups: part, batch, its rows' range, and what _windows() gives."""
+def _parts(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[int, pa.RecordBatch, int, int, Piece]]:
+    """For each run of rows of one part, in small groups: part, batch, its rows' range, and the texts' words and windows."""
     for batch in batches:
         if not batch.num_rows:
             continue
         part, texts = batch.column(batch.schema.get_field_index("__part")).to_numpy(zero_copy_only=False), raw(batch)
         cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
-            for i, j in groups(texts[lo:hi]):
-                yield int(part[lo]), batch, lo + i, lo + j, _windows(texts[lo + i : lo + j], window, cache)
+            for i, j in groups(texts[lo:hi], CHUNK):
+                yield int(part[lo]), batch, lo + i, lo + j, Piece(texts[lo + i : lo + j], window)
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -133,7 +191,7 @@ def _frame(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 def _sketches(batches: Iterator[pa.RecordBatch], window: int, bits: int, blocks: int) -> Iterator[pa.RecordBatch]:
     """Pass 1: (part, row, blk, n, cells) of each part's sketch."""
-    cache, now, held, size = _WordHash(), None, ([], []), 0
+    now, held, size = None, ([], []), 0
 
     def send() -> Iterator[pa.RecordBatch]:
         for row in range(DEPTH):
@@ -147,14 +205,14 @@ def _sketches(batches: Iterator[pa.RecordBatch], window: int, bits: int, blocks:
                 yield _frame(out, ["part", "row", "blk", "n", "cells"])
             held[row].clear()
 
-    for part, _, _, _, (_, _, _, _, a, b) in _parts(batches, window, cache):
+    for part, _, _, _, x in _parts(batches, window):
         if part != now or size > FLUSH:
             if size:
                 yield from send()
             now, size = part, 0
-        for row, cells in enumerate(_cells(a, b, bits)):
+        for row, cells in enumerate(_cells(x.a, x.b, bits)):
             held[row].append(cells)
-        size += len(a)
+        size += len(x.a)
     if size:
         yield from send()
 
@@ -208,7 +266,7 @@ class _Side:
 
 def _candidates(batches: Iterator[pa.RecordBatch], window: int, bits: int, blocks: int, side: _Side) -> Iterator[pa.RecordBatch]:
     """Pass 2: (part, blk, n, keys) of the windows estimated repeated; keys: packed first halves, then second halves, least doc_ids and flags of two documents."""
-    cache, now, held, size, twice = _WordHash(), None, [], 0, []
+    now, held, size, twice = None, [], 0, None
 
     def send() -> Iterator[pa.RecordBatch]:
         a, b, d = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -224,29 +282,24 @@ def _candidates(batches: Iterator[pa.RecordBatch], window: int, bits: int, block
         out = [(now, k, int(j - i), _pack(a[i:j]), b[i:j].tobytes(), pa.compress(d[i:j].tobytes(), codec="zstd", asbytes=True), np.packbits(many[i:j]).tobytes()) for k, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if j > i]
         yield _frame(out, ["part", "blk", "n", "a", "b", "d", "many"])
 
-    for part, batch, i, _, (words, _, _, own, a, b) in _parts(batches, window, cache):
+    for part, batch, i, j, x in _parts(batches, window):
         if part != now or size > FLUSH:
             if size:
                 yield from send()
             if part != now:
                 twice = None
             now, size = part, 0
-        if not len(a):
+        if not len(x.a):
             continue
         if twice is None:
             t = side.rows(part)
             rows = t["row"].to_numpy()
-            twice = [np.sort(_numbers(t.filter(pa.array(rows == r)), "cells")) for r in range(DEPTH)]
-        at = np.arange(len(a))
+            twice = [_Lookup(np.sort(_numbers(t.filter(pa.array(rows == r)), "cells")), bits) for r in range(DEPTH)]
+        at = np.arange(len(x.a))
         for row in range(DEPTH):
-            cells, known = _cells(a[at], b[at], bits)[row], twice[row]
-            if not len(known):
-                at = at[:0]
-                break
-            at = at[known[np.minimum(np.searchsorted(known, cells), len(known) - 1)] == cells]
+            at = at[twice[row].find(_cells(x.a[at], x.b[at], bits)[row])[0]]
         if len(at):
-            ids = _ids(batch)[i : i + len(words)]
-            held.append((a[at], b[at], ids[own[at]]))
+            held.append((x.a[at], x.b[at], _ids(batch)[i:j][x.own[at]]))
             size += len(at)
     if size:
         yield from send()
@@ -280,48 +333,42 @@ def _least(t: pa.Table) -> pa.Table:
 
 def _removed(batches: Iterator[pa.RecordBatch], window: int, side: _Side, columns: list[str], texts: bool) -> Iterator[pa.RecordBatch]:
     """Pass 3: for each row, its columns, number of words, of removed ones, and the kept words: their SHA-256 or text."""
-    cache, now, known = _WordHash(), None, None
-    for part, batch, i, j, (words, starts, at, own, a, b) in _parts(batches, window, cache):
+    now, known = None, None
+    for part, batch, i, j, x in _parts(batches, window):
         if part != now:
             now, known = part, None
-        cover = np.zeros(sum(map(len, words)) + 1, np.int32)
-        if len(a):
+        drop = np.zeros(len(x.starts), bool)
+        if len(x.a):
             if known is None:
                 known = _repeats(side, part)
-            if len(known[0]):
-                ka, kb, kd = known
-                ids = _ids(batch)[i:j][own]
-                place = np.minimum(np.searchsorted(ka, a), len(ka) - 1)
-                hit = ka[place] == a
-                for k in np.flatnonzero(hit & (kb[place] != b)):  # keys that share their first half
-                    same = slice(int(np.searchsorted(ka, a[k], "left")), int(np.searchsorted(ka, a[k], "right")))
-                    found = np.flatnonzero(kb[same] == b[k])
-                    hit[k] = len(found) > 0
-                    place[k] = same.start + (found[0] if len(found) else 0)
-                gone = at[hit & (kd[place] < ids)]
+            look, kb, kd = known
+            hit, place = look.find(x.a)
+            ok = kb[place] == x.b[hit]
+            for k in np.flatnonzero(~ok).tolist():  # keys that share their first half
+                end = int(np.searchsorted(look.known, x.a[hit[k]], "right"))
+                found = np.flatnonzero(kb[place[k] : end] == x.b[hit[k]])
+                if len(found):
+                    ok[k], place[k] = True, place[k] + found[0]
+            gone = x.at[hit[ok & (kd[place] < _ids(batch)[i:j][x.own[hit]])]]
+            if len(gone):
+                cover = np.zeros(len(drop) + 1, np.int32)
                 np.add.at(cover, gone, 1)
                 np.subtract.at(cover, gone + window, 1)
-        drop = np.cumsum(cover[:-1]) > 0
-        n, cut, out = [], [], []
-        for ws, s in zip(words, starts.tolist(), strict=True):
-            mine = drop[s : s + len(ws)]
-            lost = int(mine.sum())
-            kept = b" ".join([w for w, x in zip(ws, mine.tolist(), strict=True) if not x] if lost else ws)
-            n.append(len(ws))
-            cut.append(lost)
-            out.append(kept.decode("utf-8", "replace") if texts else hashlib.sha256(kept).hexdigest())
+                drop = np.cumsum(cover[:-1]) > 0
+        lost = np.concatenate([[0], np.cumsum(drop)])[x.first]
+        out = [t.decode("utf-8", "replace") if texts else hashlib.sha256(t).hexdigest() for t in x.kept(drop)]
         rows = batch.slice(i, j - i)
-        yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(c)) for c in columns] + [pa.array(n, pa.int64()), pa.array(cut, pa.int64()), pa.array(out, pa.string())], [*columns, "n_words", "n_removed", "kept_text" if texts else "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(c)) for c in columns] + [pa.array(np.diff(x.first)), pa.array(np.diff(lost)), pa.array(out, pa.string())], [*columns, "n_words", "n_removed", "kept_text" if texts else "kept_sha256"])
 
 
-def _repeats(side: _Side, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _repeats(side: _Side, part: int) -> tuple[_Lookup, np.ndarray, np.ndarray]:
     t = side.rows(part)
     n = t["n"].to_pylist()
     a = _numbers(t, "a")
     b = np.concatenate([np.frombuffer(x, np.uint64) for x in t["b"].to_pylist()])
     d = np.concatenate([np.frombuffer(pa.decompress(x, decompressed_size=8 * m, codec="zstd"), np.int64) if m else np.zeros(0, np.int64) for x, m in zip(t["d"].to_pylist(), n, strict=True)])
     order = np.lexsort((b, a))
-    return a[order], b[order], d[order]
+    return _Lookup(a[order], 64), b[order], d[order]
 
 
 def remove(docs: DataFrame, columns: list[str], window: int = WINDOW, texts: bool = False) -> DataFrame:
@@ -343,7 +390,7 @@ def remove(docs: DataFrame, columns: list[str], window: int = WINDOW, texts: boo
     found = thin.mapInArrow(lambda x: _candidates(x, window, bits, blocks, side), "part long, blk long, n long, a binary, b binary, d binary, many binary")
     least = found.groupBy("blk").applyInArrow(_least, "part long, n long, a binary, b binary, d binary")
     # parts without a candidate have an empty row too, so that a part that is missing means an error
-    all_parts = sent.sparkSession.read.parquet(cells.path).select(F.col("part").cast("long").alias("part")).distinct().select("part", F.lit(0).cast("long").alias("n"), *(F.lit(b"\x08").alias(c) if c == "a" else F.lit(b"").alias(c) for c in "abd"))
+    all_parts = cells.df.select("part").distinct().select("part", F.lit(0).cast("long").alias("n"), *(F.lit(b"\x08").alias(c) if c == "a" else F.lit(b"").alias(c) for c in "abd"))
     keys = Kept(least.unionByName(all_parts).repartition("part"), "keys", by="part")
     last = _Side(keys.path)
     cells.drop()
