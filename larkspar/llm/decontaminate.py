@@ -4,10 +4,11 @@ Words are ASCII letters and digits (A-Z lower-cased) and everything beyond ASCII
 fixed positions of a window; words at the positions between don't matter, so a seed still matches where some of those have been replaced. MASKS are chosen so
 that for any regular distance of five words or more between replacements one of them finds places to match.
 
-The benchmark's seeds are grouped by hash (a row a hash, with the places it stands at). The documents' seeds are computed within the scan's own stage and joined
-to them there; only matches leave it. While the benchmark has at most BROADCAST_SEEDS seeds (about 300 bytes each with its item's words), its side is broadcast;
-beyond, the same join is Spark's shuffled one. Each match is verified in place: of the words around the seed, up to REACH, that both texts have at that alignment,
-at least SHARE must be equal, and there must be MIN_WORDS of them. Matches are then grouped by document and item, combined before the shuffle.
+The documents' seeds are computed within the scan's own stage. While the benchmark has at most BROADCAST_SEEDS seeds (three numbers each; its items' words are of
+the same order), they are joined there to its broadcast seeds, and only matches leave the stage, each verified in place: of the words around the seed, up to REACH,
+that both texts have at that alignment, at least SHARE must be equal, and there must be MIN_WORDS of them. Beyond that size, rows of (row key, place, seed) are shuffled
+to the benchmark's seeds, and the alignments that meet go back to their documents to be verified in the same way. Matches are grouped by document and item,
+combined before the shuffle.
 
 Items under MIN_WORDS words can't be told from chance and are never found. Null or empty texts are clean; a null item text has no seeds. Null ids stay null:
 their matches are reported with a null id. Repeated rows are one finding in findings(), and clean() removes each of them. Empty tables give an empty result or
@@ -24,7 +25,7 @@ from larkspar.llm.common import alnum_words, keep, row_key, table
 MASKS = ((0, 1, 3, 5, 6, 8), (0, 2, 3, 7, 8, 10))
 MIN_WORDS, REACH, SHARE = 13, 20, 0.8
 SPAN = 1 + max(map(max, MASKS))
-BROADCAST_SEEDS = 200_000
+BROADCAST_SEEDS = 1_000_000
 
 
 def _hashed(text: str | Column) -> Column:
@@ -47,42 +48,52 @@ def _places(df: DataFrame, words: str) -> DataFrame:
     return got.withColumn("seed", F.explode_outer(F.when(F.col("place").isNotNull(), _seeds(words, "place"))))
 
 
-def benchmark_seeds(benchmark: DataFrame) -> DataFrame:
-    """(seed, found): each seed of the benchmark, with its item, place and the item's word hashes."""
-    items = benchmark.select("item_id", _hashed("text").alias("item")).where(F.size("item") >= MIN_WORDS)
-    return _places(items, "item").where("seed is not null").groupBy("seed").agg(F.collect_set(F.struct("item_id", F.col("place").alias("start"), "item")).alias("found"))
+def benchmark_seeds(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(iid, item_id, item): each item and its word hashes; (seed, iid, start): its seeds and their places."""
+    rows = benchmark.select(F.xxhash64("item_id", "text").alias("iid"), "item_id", _hashed("text").alias("item")).where(F.size("item") >= MIN_WORDS)
+    items = keep(rows.dropDuplicates(["iid"]), "items")
+    return items, keep(_places(items, "item").where("seed is not null").select("seed", "iid", F.col("place").alias("start")).distinct(), "seeds")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, keys: list[str]) -> DataFrame:
-    """Verified matches: the key columns of docs (text in column text), item_id, where the item's first word would stand, its words and how many are equal."""
-    seeds = keep(benchmark_seeds(benchmark), "seeds")
-    if seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
-        seeds = F.broadcast(seeds)
-    own = docs.select(*keys, _hashed("text").alias("words"))
-    met = _places(own, "words").join(seeds, "seed").withColumn("f", F.explode("found")).select(*keys, "words", "place", "f.item_id", "f.start", "f.item")
-    met = met.withColumn("shift", F.col("place") - F.col("start")).withColumn("mid", F.col("start") + SPAN // 2)
-    low = F.greatest(F.lit(0), -F.col("shift"), F.least(F.col("mid") - REACH // 2, F.size("item") - REACH))
-    high = F.least(F.size("item"), F.size("words") - F.col("shift"), F.greatest(F.col("mid") + REACH // 2, F.lit(REACH)))
+def _verified(met: DataFrame) -> DataFrame:
+    """Rows with words, item, shift (where the item's first word would stand) and start (a seed's place in the item): those that agree around the seed, with equal_words of the whole."""
+    mid = F.col("start") + SPAN // 2
+    low = F.greatest(F.lit(0), -F.col("shift"), F.least(mid - REACH // 2, F.size("item") - REACH))
+    high = F.least(F.size("item"), F.size("words") - F.col("shift"), F.greatest(mid + REACH // 2, F.lit(REACH)))
     met = met.withColumn("low", low).withColumn("high", high).where(F.col("high") - F.col("low") >= MIN_WORDS)
 
     def equal(a: Column, b: Column) -> Column:
         return F.size(F.filter(F.sequence(a, b - 1), lambda i: _at("item", i) == _at("words", i + F.col("shift"))))
 
     met = met.where(equal(F.col("low"), F.col("high")) >= SHARE * (F.col("high") - F.col("low")))
-    whole = equal(F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("item"), F.size("words") - F.col("shift")))
-    return met.select(*keys, "item_id", F.col("shift").alias("start"), F.size("item").alias("item_words"), whole.alias("equal_words"))
+    return met.withColumn("equal_words", equal(F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("item"), F.size("words") - F.col("shift"))))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Verified matches of (doc_id, text) rows: doc_id, the row's key rid, item_id, where the item's first word would stand, its words and how many are equal."""
+    items, seeds = benchmark_seeds(benchmark)
+    own = docs.select("doc_id", row_key(docs).alias("rid"), "text")
+    if seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
+        places = _places(own.select("doc_id", "rid", _hashed("text").alias("words")), "words")
+        met = places.join(F.broadcast(seeds), "seed").withColumn("shift", F.col("place") - F.col("start")).join(F.broadcast(items), "iid")
+    else:
+        places = _places(own.select("rid", _hashed("text").alias("words")), "words").select("rid", "place", "seed")
+        hits = places.join(seeds.hint("shuffle_hash"), "seed").select("rid", "iid", "start", (F.col("place") - F.col("start")).alias("shift")).distinct()
+        hits = keep(hits, "hits")
+        met = own.hint("shuffle_merge").join(hits, "rid").withColumn("words", _hashed("text")).drop("text").join(items, "iid")
+    return _verified(met).select("doc_id", "rid", "item_id", F.col("shift").alias("start"), F.size("item").alias("item_words"), "equal_words")
 
 
 def findings(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, item_words, equal_words, start) for each document and item of which it holds a passage: of its alignments, that with most equal words, then the first."""
     best = F.max(F.struct("equal_words", (-F.col("start")).alias("s"))).alias("best")
-    got = matches(docs.select("doc_id", "text"), benchmark, ["doc_id"]).groupBy("doc_id", "item_id", "item_words").agg(best)
+    got = matches(docs, benchmark).groupBy("doc_id", "item_id", "item_words").agg(best)
     return got.select("doc_id", "item_id", "item_words", F.col("best.equal_words").alias("equal_words"), (-F.col("best.s")).alias("start"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold a benchmark passage; columns stay."""
-    hit = matches(docs.select(row_key(docs).alias("__rid"), "text"), benchmark, ["__rid"]).select("__rid").distinct()
+    hit = matches(docs, benchmark).select(F.col("rid").alias("__rid")).distinct()
     return docs.withColumn("__rid", row_key(docs)).join(keep(hit, "contaminated"), "__rid", "left_anti").drop("__rid")
 
 
