@@ -1,8 +1,8 @@
 """Quality classifier (op5): logistic regression over hashed word n-grams, trained with follow-the-regularised-leader updates (McMahan et al., 2013).
 
 Features: words and word pairs, hashed to 2^BITS places, each present or not, over the square root of their number, and a constant. Training: at most SAMPLE labelled
-documents, those with the smallest hash of their id (SAMPLE is a parameter, not a share of the input), joined to their texts; one task runs EPOCHS passes over
-them in hash order and returns the nonzero weights. Scoring: every document, whole text, as a sparse dot product with those weights.
+documents, those with the smallest hash of their id (SAMPLE is a parameter, not a share of the input), joined to their texts where those
+are read; their features, not their texts, go to one task, which runs EPOCHS passes over them in hash order and returns the nonzero weights. Scoring: every document, whole text, as a sparse dot product with those weights.
 
 Labels are used only for documents whose crc32 of the id as text is not 0 modulo FOLDS; the others are held out. Scores depend on the text alone.
 
@@ -64,10 +64,16 @@ def sigmoid(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -35, 35))))
 
 
+def _featured(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [features(t, bits) for t in raw(b)]
+        yield pa.RecordBatch.from_arrays([b.column(2), b.column(1), pa.array([at.tobytes() for at, _ in found], pa.binary()), pa.array([v for _, v in found], pa.float64())], ["h", "quality", "at", "value"])
+
+
 def _train(batches: Iterator[pa.RecordBatch], bits: int, epochs: int) -> Iterator[pa.RecordBatch]:
     rows = []
     for b in batches:
-        rows += [(k, *features(t, bits), q) for k, t, q in zip(b.column(2).to_pylist(), raw(b), b.column(1).to_pylist(), strict=True)]
+        rows += [(h, np.frombuffer(at, np.uint32), v, q) for h, q, at, v in zip(*(c.to_pylist() for c in b.columns), strict=True)]
     rows.sort(key=lambda r: (r[0], r[3], r[1].tobytes()))
     labels = {r[3] for r in rows}
     if len(labels) < 2:
@@ -93,7 +99,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
     chosen = chosen.select("doc_id", F.col("quality").cast("int").alias("quality"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "quality").limit(sample)
     chosen = F.broadcast(keep(chosen, "labels"))  # sample rows of three numbers
     texts = docs.select(F.col("doc_id"), "text").join(chosen, "doc_id").select("text", "quality", "h")
-    got = texts.coalesce(1).mapInArrow(lambda x: _train(x, bits, epochs), "place long, weight double").toPandas()
+    rows = texts.mapInArrow(lambda x: _featured(x, bits), "h long, quality int, at binary, value double")
+    got = rows.repartition(1).mapInArrow(lambda x: _train(x, bits, epochs), "place long, weight double").toPandas()
     return got["place"].to_numpy(np.int64), got["weight"].to_numpy(np.float64)
 
 

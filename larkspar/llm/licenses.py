@@ -106,7 +106,7 @@ class Index:
                 found += self.idf[w]
             except ValueError:
                 pass
-        return found / sum(self.idf[w] for w in t.words)
+        return min(1.0, found / sum(self.idf[w] for w in t.words))
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[str, int, int]], dict[str, float]]:
         """All places of base phrases as (label, start, words), and the best score of each other label."""
