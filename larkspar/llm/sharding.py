@@ -1,7 +1,7 @@
 """Sharding by sampled splitters (op4): shards of near-equal bytes, as ranges of the order of (hash of the text, doc_id).
 
 1. Sample. Rows enter the sample with a chance in proportion to their size (decided by a hash, so reruns agree); the sample's size is a parameter times the number
-   of ranges, which follows the number of rows up to MAX_RANGES, so what is collected is bounded. Quantiles of the sampled keys are the splitters. A key that is a
+   of ranges, which follows the total size up to MAX_RANGES, so what is collected is bounded. Quantiles of the sampled keys are the splitters. A key that is a
    splitter twice over (a large group of copies) gets a range of its own.
 2. Subdivide. Ranges above twice the mean size are cut into pieces by a hash of doc_id, so a group with a third of all rows is spread over tasks.
 3. Place. Exact sizes of the pieces (at most a few times MAX_RANGES) give each piece's offset; within a piece a running sum continues it. A row goes to the shard that the
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from larkspar.llm.common import keep, table, without
 
-SHARDS, ROWS_A_RANGE, MIN_RANGES, MAX_RANGES, SAMPLES_A_RANGE, WHOLE = 16, 50_000, 128, 32_768, 16, 0.05
+SHARDS, BYTES_A_RANGE, MIN_RANGES, MAX_RANGES, SAMPLES_A_RANGE, WHOLE = 16, 4 << 20, 128, 65_536, 16, 0.05
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -32,9 +32,9 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__size", F.octet_length(text).cast("long") + 1).withColumn("__h", F.xxhash64(text))
 
 
-def splitters(rows: DataFrame, n: int, total: int) -> np.ndarray:
+def splitters(rows: DataFrame, total: int) -> np.ndarray:
     """Range boundaries over __h from a size-weighted sample."""
-    ranges = min(MAX_RANGES, max(MIN_RANGES, n // ROWS_A_RANGE))
+    ranges = min(MAX_RANGES, max(MIN_RANGES, total // BYTES_A_RANGE))
     chance = F.col("__size") * F.lit(ranges * SAMPLES_A_RANGE / max(1, total))
     drawn = rows.where(F.shiftrightunsigned(F.xxhash64("__h", "doc_id", F.lit(4)), 12) / F.lit(float(1 << 52)) < chance)
     keys = np.sort(np.array([r[0] for r in drawn.select("__h").collect()], np.int64))
@@ -65,8 +65,8 @@ def _piece_of(cuts: np.ndarray, first: np.ndarray, pieces: np.ndarray) -> Column
 def shard(rows: DataFrame, shards: int = SHARDS, thin: DataFrame | None = None) -> DataFrame:
     """rows (from keyed(): doc_id, __size, __h and any others) with shard and slot; thin: the same rows with these three only, where a table of them exists."""
     thin = rows if thin is None else thin
-    n, total = thin.agg(F.count("*"), F.coalesce(F.sum("__size"), F.lit(0))).first()
-    cuts = splitters(thin, n, total)
+    total = thin.agg(F.coalesce(F.sum("__size"), F.lit(0))).first()[0]
+    cuts = splitters(thin, total)
     held = dict(thin.groupBy(_range_of(cuts).alias("r")).agg(F.sum("__size")).collect())  # at most 2 * MAX_RANGES rows
     sizes = np.array([held.get(r, 0) for r in range(len(cuts) + 1)], np.int64)
     pieces = np.maximum(1, np.ceil(sizes / max(1.0, 2 * total / len(sizes)))).astype(np.int64)
