@@ -196,4 +196,43 @@ def filter_quality(docs: DataFrame) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score(docs, references(docs))
+    got = score(docs, references(docs))
+    return got.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
+
+
+def _sql() -> str:
+    """The same rows by SQL: base counts, references and distances."""
+    bins = ", ".join(f"('{lang}', {i}, '{w.decode()}')" for lang in COMMON for i, w in enumerate(WORDS[lang]))
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    keepers = (r"[^ \t\n\r\x0b\x0c]", "[^a-z]", "[^A-Z]", "[^0-9]", r"[\x00-\x7F]", r"""[^.,;:!?''"()-]""", "[^#*$%&|<>]")
+    counts = ", ".join(f"length(regexp_replace(text, '{p}', '', 'g'))" for p in keepers)
+    lead = ", ".join(f"lead(x, {k}) OVER o" for k in range(1, REPEAT_WINDOW))
+    div = "CASE WHEN {0} > 0 THEN {0} * log2({0} / ((p + r) / 2)) ELSE 0 END"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN lang IN ({", ".join(f"'{x}'" for x in COMMON)}) THEN lang ELSE 'other' END AS lang FROM documents),
+t AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, regexp_extract_all({low}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS a FROM d),
+p AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM t),
+s AS (SELECT doc_id, i, concat_ws(' ', x, {lead}) AS s FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i) QUALIFY lead(x, {REPEAT_WINDOW - 1}) OVER o IS NOT NULL),
+c AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + {REPEAT_WINDOW})) AS j FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS k FROM s) WHERE k > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+base AS (SELECT t.*, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+    FROM t LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)),
+f AS (SELECT *, n_words < {MIN_N_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM base),
+classes AS (SELECT doc_id, lang, base_failed, length(text) AS n, [{counts}] AS k FROM f WHERE length(text) >= {MIN_CHARS}),
+hc AS (SELECT doc_id, lang, base_failed, 0 AS kind, i AS bin, (CASE WHEN i < 7 THEN k[i + 1] ELSE n - list_sum(k) END)::DOUBLE / n AS p FROM classes, range(8) r(i)),
+common(lang, bin, word) AS (VALUES {bins}),
+fw AS (SELECT doc_id, lang, base_failed, len(a) AS n FROM f WHERE len(a) >= {MIN_COMPARED} AND lang <> 'other'),
+seen AS (SELECT doc_id, x, count(*) AS k FROM (SELECT doc_id, unnest(a) AS x FROM f) GROUP BY ALL),
+hw0 AS (SELECT fw.*, bin, coalesce(k, 0) AS k FROM fw JOIN common USING (lang) LEFT JOIN seen ON seen.doc_id = fw.doc_id AND x = word),
+hw AS (SELECT doc_id, lang, base_failed, 1 AS kind, bin, k::DOUBLE / n AS p FROM hw0 UNION ALL SELECT doc_id, lang, base_failed, 1, 1000, (n - sum(k))::DOUBLE / n FROM hw0 GROUP BY doc_id, lang, base_failed, n),
+h AS (SELECT * FROM hc UNION ALL SELECT * FROM hw),
+r0 AS (SELECT lang, kind, bin, sum(round_even(p * {ONE}, 0)::BIGINT)::DOUBLE / count(*) AS r FROM h WHERE NOT base_failed GROUP BY ALL HAVING count(*) >= {MIN_REFERENCE}),
+r AS (SELECT lang, kind, bin, r / sum(r) OVER (PARTITION BY lang, kind) AS r FROM r0),
+dist AS (SELECT doc_id, kind, sqrt(greatest(0, sum({div.format("p")} + {div.format("r")}) / 2)) AS d FROM h JOIN r USING (lang, kind, bin) GROUP BY ALL)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(x.d, 6) AS class_distance, round(y.d, 6) AS word_distance,
+    NOT base_failed AND coalesce(x.d <= {MAX_CLASS}, true) AND coalesce(y.d <= {MAX_WORDS}, true) AS kept
+FROM f LEFT JOIN dist x ON x.doc_id = f.doc_id AND x.kind = 0 LEFT JOIN dist y ON y.doc_id = f.doc_id AND y.kind = 1
+"""
+
+
+OP3_SQL = _sql()

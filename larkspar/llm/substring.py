@@ -402,3 +402,16 @@ def remove(docs: DataFrame, columns: list[str], window: int = WINDOW, texts: boo
 
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+OP10_SQL = (
+    r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM d),
+s AS (SELECT doc_id, i, concat_ws(' ', x, """ + ", ".join(f"lead(x, {k}) OVER o" for k in range(1, WINDOW)) + r""") AS s, lead(x, 12) OVER o IS NOT NULL AS whole FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+m AS (SELECT s, min(doc_id) AS first FROM s WHERE whole GROUP BY s),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM s JOIN m USING (s) WHERE whole AND first < doc_id),
+k AS (SELECT doc_id, count(c.i) AS n_removed, string_agg(CASE WHEN c.i IS NULL THEN x END, ' ' ORDER BY p.i) AS kept FROM p LEFT JOIN c USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+)
