@@ -87,8 +87,8 @@ def test_op4(spark):
         t = docs[r["doc_id"]].encode()
         assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(t) + 1, zlib.crc32(t), "bytes", None)
     sizes = check_shards(rows, docs)
-    mean, most = sum(sizes.values()) / 16, max(r["size"] for r in rows)
-    assert len(sizes) == 16 and max(abs(x - mean) for x in sizes.values()) <= mean * sharding.WHOLE + most
+    mean = sum(sizes.values()) / 16
+    assert len(sizes) == 16 and max(abs(x - mean) for x in sizes.values()) <= 2 * sharding.LARGE * mean
     groups = {}
     for r in rows:
         groups.setdefault(docs[r["doc_id"]], []).append(r)
@@ -100,7 +100,21 @@ def test_op4_hot_text_is_split(spark, docs, folder):
     rows = sharding.op4_sharding(spark, folder(documents=docs(*[(i, "the same text") for i in range(600)], *[(i, f"text {i} of its own") for i in range(600, 1000)]))).collect()
     sizes = check_shards(rows, None)
     mean = sum(sizes.values()) / 16
-    assert max(abs(x - mean) for x in sizes.values()) <= mean * sharding.WHOLE + 20
+    assert max(abs(x - mean) for x in sizes.values()) <= 40
+
+
+def test_op4_one_text_above_a_share(spark, docs, folder):
+    rows = sharding.op4_sharding(spark, folder(documents=docs((0, "x" * 50_000), *[(i, "y" * (i % 50) + str(i)) for i in range(1, 900)]))).collect()
+    sizes = check_shards(rows, None)
+    alone = next(r["shard"] for r in rows if r["doc_id"] == 0)
+    rest = [x for s, x in sizes.items() if s != alone]
+    assert sizes[alone] == 50_001 and len(rest) == 15 and max(rest) - min(rest) <= 120
+
+
+def test_op4_levels():
+    assert sharding.levels([0, 0, 0, 0], 40) == [10, 20, 30, 40]
+    assert sharding.levels([30, 0, 10, 0], 40) == [0, 16, 23, 40]
+    assert sharding.levels([100, 0], 10) == [0, 10]
 
 
 def test_op4_odd_rows(spark, odd, folder):
