@@ -4,9 +4,11 @@
    of ranges, which follows the total size up to MAX_RANGES, so what is collected is bounded. Quantiles of the sampled keys are the splitters. A key that is a
    splitter twice over (a large group of copies) gets a range of its own.
 2. Subdivide. Ranges above twice the mean size are cut into pieces by a hash of doc_id, so a group with a third of all rows is spread over tasks.
-3. Place. Exact sizes of the pieces (at most a few times MAX_RANGES) give each piece's offset; within a piece a running sum continues it. A row goes to the shard that the
-   middle of its group of equal texts falls into, so equal texts stay together; groups above WHOLE of a shard's share (and pieces of subdivided ranges) are placed
-   row by row instead, so shards differ from the mean by at most about that share or one document. Slots are the rows' ranks within their shard.
+3. Large units. Groups of equal texts of more than LARGE of a shard's share are placed first, the largest to the emptiest shard. Groups of several rows above WHOLE
+   of a share are no units: they are subdivided like any other rows, or, where each of their texts is above LARGE, document by document. There are at most shards / LARGE units.
+4. Place. The rest fills the shards up to a common level in key order: exact sizes of the pieces (at most a few times MAX_RANGES) give each piece's offset, within
+   a piece a running sum continues it, and a row goes to the shard that the middle of its group (above WHOLE: of itself) falls into. So equal texts stay together unless their
+   group is above WHOLE, and shards differ by about LARGE of a share at most, unless a single text is larger than a share. Slots are ranks within the shard, from counts by shard and piece.
 
 Law: bytes. Size is the text's UTF-8 bytes plus 1. Null text counts as empty; null doc_id sorts first. Repeated rows get a slot each. Fewer rows than shards leave
 shards empty. An empty table gives an empty result. Other columns pass unchanged through shard(); columns named shard or slot are replaced.
@@ -14,6 +16,7 @@ shards empty. An empty table gives an empty result. Other columns pass unchanged
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from larkspar.llm.common import keep, table, without
 
-SHARDS, BYTES_A_RANGE, MIN_RANGES, MAX_RANGES, SAMPLES_A_RANGE, WHOLE = 16, 4 << 20, 128, 65_536, 16, 0.05
+SHARDS, BYTES_A_RANGE, MIN_RANGES, MAX_RANGES, SAMPLES_A_RANGE, LARGE, WHOLE = 16, 4 << 20, 128, 65_536, 16, 0.01, 0.05
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -62,34 +65,81 @@ def _piece_of(cuts: np.ndarray, first: np.ndarray, pieces: np.ndarray) -> Column
     return f("__h", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(5)), 1))
 
 
+def placed_first(thin: DataFrame, total: int, shards: int) -> tuple[list[tuple[int, int]], list[tuple[int, int | None, int]], list[int]]:
+    """(__h, shard) of the large groups, (__h, doc_id, shard) of large texts in groups that are too large, and the bytes each shard has from them."""
+    groups = thin.groupBy("__h").agg(F.sum("__size").alias("s"), F.count("*").alias("n"))
+    share = total / shards
+    units = groups.where((F.col("s") > LARGE * share) & ((F.col("n") == 1) | (F.col("s") <= WHOLE * share))).select("s", "__h")
+    found: list[tuple[int, int, tuple]] = [(r["s"], r["__h"], ()) for r in units.collect()]
+    split = groups.where((F.col("s") > WHOLE * share) & (F.col("n") > 1) & (F.col("s") > LARGE * share * F.col("n"))).select("__h")
+    split = F.broadcast(split)  # under shards / WHOLE rows
+    documents = thin.join(split, "__h", "left_semi").groupBy("__h", F.col("doc_id").cast("long").alias("d")).agg(F.sum("__size").alias("s"))
+    found += [(r["s"], r["__h"], (r["d"],)) for r in documents.collect()]  # of both, under shards / LARGE rows
+    heap: list[tuple[int, int]] = [(0, k) for k in range(shards)]
+    whole, single, held = [], [], [0] * shards
+    for size, h, d in sorted(found, key=lambda u: (-u[0], u[1], repr(u[2]))):
+        now, k = heapq.heappop(heap)
+        heapq.heappush(heap, (now + size, k))
+        held[k] = now + size
+        if d:
+            single.append((h, d[0], k))
+        else:
+            whole.append((h, k))
+    return whole, single, held
+
+
+def levels(held: list[int], rest: int) -> list[int]:
+    """Where each shard's part of the rest ends (running sums), when the rest fills the shards up to a common level."""
+    order = sorted(held)
+    level, left = 0.0, float(rest)
+    for k, h in enumerate(order):
+        upper = order[k + 1] if k + 1 < len(order) else math.inf
+        if (upper - h) * (k + 1) >= left:
+            level = h + left / (k + 1)
+            break
+        left -= (upper - h) * (k + 1)
+    return [int(x) for x in np.cumsum([max(0.0, level - h) for h in held])]
+
+
 def shard(rows: DataFrame, shards: int = SHARDS, thin: DataFrame | None = None) -> DataFrame:
     """rows (from keyed(): doc_id, __size, __h and any others) with shard and slot; thin: the same rows with these three only, where a table of them exists."""
-    thin = rows if thin is None else thin
+    thin, spark = rows if thin is None else thin, rows.sparkSession
     total = thin.agg(F.coalesce(F.sum("__size"), F.lit(0))).first()[0]
     cuts = splitters(thin, total)
-    held = dict(thin.groupBy(_range_of(cuts).alias("r")).agg(F.sum("__size")).collect())  # at most 2 * MAX_RANGES rows
-    sizes = np.array([held.get(r, 0) for r in range(len(cuts) + 1)], np.int64)
+    by_range = dict(thin.groupBy(_range_of(cuts).alias("r")).agg(F.sum("__size")).collect())  # at most 2 * MAX_RANGES rows
+    sizes = np.array([by_range.get(r, 0) for r in range(len(cuts) + 1)], np.int64)
     pieces = np.maximum(1, np.ceil(sizes / max(1.0, 2 * total / len(sizes)))).astype(np.int64)
-    first = np.cumsum(pieces) - pieces
-    placed = rows.withColumn("__piece", _piece_of(cuts, first, pieces))
-    counted = thin.withColumn("__piece", _piece_of(cuts, first, pieces))
-    exact = {p: (s, c) for p, s, c in counted.groupBy("__piece").agg(F.sum("__size"), F.count("*")).collect()}  # at most a few times MAX_RANGES rows
-    alone = np.repeat(pieces > 1, pieces).tolist()
-    at, rank, offsets = 0, 0, []
-    for p in sorted(exact):
-        offsets.append((p, at, rank, alone[p]))
-        at, rank = at + exact[p][0], rank + exact[p][1]
-    offset = F.broadcast(rows.sparkSession.createDataFrame(offsets, "__piece int, __at long, __rank long, __alone boolean"))
+    first, alone = np.cumsum(pieces) - pieces, np.repeat(pieces > 1, pieces).tolist()
+    whole, single, held = placed_first(thin, total, shards)
+    large = F.broadcast(spark.createDataFrame(whole, "__l long, __one int"))
+    texts = F.broadcast(spark.createDataFrame(single, "__m long, __d long, __two int"))
+
+    def placed(df: DataFrame) -> DataFrame:
+        got = df.withColumn("__piece", _piece_of(cuts, first, pieces)).join(large, F.col("__h") == F.col("__l"), "left")
+        got = got.join(texts, (F.col("__h") == F.col("__m")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__d")), "left").withColumn("__fixed", F.coalesce("__one", "__two")).drop("__l", "__m", "__d", "__one", "__two")
+        return got.withColumn("__fill", F.when(F.col("__fixed").isNull(), F.col("__size")).otherwise(0))
+
+    exact = sorted(placed(thin).groupBy("__piece").agg(F.sum("__fill")).collect())  # at most a few times MAX_RANGES rows
+    starts = np.cumsum([0, *(s for _, s in exact)]).tolist()
+    offsets = F.broadcast(spark.createDataFrame([(p, at, alone[p]) for (p, _), at in zip(exact, starts, strict=False)], "__piece int, __at long, __alone boolean"))
     order = W.partitionBy("__piece").orderBy("__h", "doc_id", "__size")
     group = W.partitionBy("__piece", "__h")
-    x = placed.withColumn("__n", F.row_number().over(order)).withColumn("__end", F.sum("__size").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    x = x.withColumn("__group", F.sum("__size").over(group)).withColumn("__group_end", F.max("__end").over(group)).join(offset, "__piece")
+    x = placed(rows).withColumn("__end", F.sum("__fill").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    x = x.withColumn("__group", F.sum("__fill").over(group)).withColumn("__group_end", F.max("__end").over(group)).join(offsets, "__piece")
     row_wise = F.col("__alone") | (F.col("__group") > WHOLE * total / shards)
-    twice_mid = F.when(row_wise, 2 * F.col("__end") - F.col("__size")).otherwise(2 * F.col("__group_end") - F.col("__group")) + 2 * F.col("__at")
-    x = x.withColumn("shard", F.least(F.lit(shards - 1), F.floor(twice_mid * shards / max(1, 2 * total)).cast("int")))
-    x = keep(x.withColumn("__n", F.col("__n") + F.col("__rank")).select(*rows.columns, "shard", "__n"), "shards")
-    starts = F.broadcast(x.groupBy("shard").agg(F.min("__n").alias("__first")))  # a row a shard
-    return x.join(starts, "shard").withColumn("slot", F.col("__n") - F.col("__first")).select(*rows.columns, "shard", "slot")
+    twice_mid = F.when(row_wise, 2 * F.col("__end") - F.col("__fill")).otherwise(2 * F.col("__group_end") - F.col("__group")) + 2 * F.col("__at")
+    ends = levels(held, starts[-1])
+    filled = F.size(F.filter(F.array(*(F.lit(2 * e).cast("long") for e in ends[:-1])), lambda e: e <= twice_mid)) if shards > 1 else F.lit(0)
+    x = x.withColumn("shard", F.coalesce("__fixed", filled))
+    x = x.withColumn("__n", F.row_number().over(W.partitionBy("__piece", "shard").orderBy("__h", "doc_id", "__size")))
+    x = keep(x.select(*rows.columns, "__piece", "shard", "__n"), "shards")
+    counts, at, now = [], 0, None
+    for s, p, n in sorted(x.groupBy("shard", "__piece").count().collect()):  # pieces, and a row more for each large unit and boundary at most
+        at, now = (0, s) if s != now else (at, now)
+        counts.append((s, p, at))
+        at += n
+    before = F.broadcast(spark.createDataFrame(counts, "shard int, __piece int, __before long"))
+    return x.join(before, ["shard", "__piece"]).withColumn("slot", F.col("__before") + F.col("__n") - 1).select(*rows.columns, "shard", "slot")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
