@@ -1,6 +1,7 @@
 """Quality classifier (op5): logistic regression over hashed word n-grams, trained with follow-the-regularised-leader updates (McMahan et al., 2013).
 
-Features: words and word pairs, hashed to 2^BITS places, each present or not, over the square root of their number, and a constant. Training: at most SAMPLE labelled
+Features: words and pairs of different words, hashed to 2^BITS places, and any word three times in a row as one place; each present or not, over the square root of
+their number; and a constant. Training: at most SAMPLE labelled
 documents, those with the smallest hash of their id (SAMPLE is a parameter, not a share of the input), joined to their texts where those
 are read; their features, not their texts, go to one task, which runs EPOCHS passes over them in hash order and returns the nonzero weights. Scoring: every document, whole text, as a sparse dot product with those weights.
 
@@ -30,14 +31,18 @@ CHUNK = 200_000
 
 
 def features(text: bytes, bits: int = BITS) -> tuple[np.ndarray, float]:
-    """Distinct places (the constant is place 0) and the value each has."""
+    """Distinct places (0 is the constant, 1 a word three times in a row) and the value each has."""
     words = text.split()
     found = [np.zeros(1, np.uint32)]
     for i in range(0, len(words), CHUNK):
-        h = np.fromiter(map(crc32, words[i : i + CHUNK + 1]), np.uint64, min(CHUNK + 1, len(words) - i))
-        pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xD6E8FEB86659FD93)
+        part = words[i : i + CHUNK + 2]
+        h = np.fromiter(map(crc32, part), np.uint64, len(part))
+        same = h[:-1] == h[1:]
+        pair = ((h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xD6E8FEB86659FD93))[~same]
         one = h * np.uint64(0xC2B2AE3D27D4EB4F)
         found.append(np.unique(np.concatenate([one >> np.uint64(64 - bits), pair >> np.uint64(64 - bits)])).astype(np.uint32))
+        if (same[1:] & same[:-1]).any():
+            found.append(np.ones(1, np.uint32))
     at = np.unique(np.concatenate(found))
     return at, 1.0 / float(np.sqrt(len(at)))
 
