@@ -48,7 +48,7 @@ def _hits(ids: pa.Array, a: np.ndarray, other: pa.Array, b: np.ndarray, threshol
         x = a[i : i + _ROWS]
         s = x.astype(np.float32) @ narrow
         ok = ~np.isnan(s) if threshold is None else s >= threshold - MARGIN
-        if k is not None and k < s.shape[1]:
+        if k is not None and k < s.shape[1] and ok.sum(axis=1).max() > k:
             s = np.where(ok, s, -np.inf)
             ok &= s >= np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k][:, None] - MARGIN
         rows, columns = np.nonzero(ok)

@@ -12,15 +12,29 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below spark.checkpoint.dir; where that is unset (tests on one machine), a temporary folder is made and set."""
+def _base(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         folder = tempfile.mkdtemp(prefix="larkspar-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         base = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/larkspar/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/larkspar/{spark.sparkContext.applicationId}"
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in this application's folder below spark.checkpoint.dir; where that is unset (tests on one machine), a temporary folder is made and set."""
+    return f"{_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables this application wrote to the shared folder. For when its results have been written elsewhere: results that are still lazy read them."""
+    delete(spark, _base(spark))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

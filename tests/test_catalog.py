@@ -6,7 +6,7 @@ from larkspar.api import Store
 from larkspar.operators import catalog as c
 from larkspar.operators import review
 from larkspar.operators.embed import HashingEmbedder, with_embeddings
-from larkspar.tables import number_rows
+from larkspar.tables import clear, number_rows, written
 
 
 def unit(name, project=1, body="h", structure="s", embedding=None, group=None, path="/f.rs"):
@@ -119,3 +119,13 @@ def test_store_end_to_end(spark, tmp_path):
     assert store.search_similar(q, 1, where="qualified_name not like '%f2'").first()["qualified_name"] != "rust:/p/a.rs::f2"
     store.db.vacuum("code_units", 1)
     assert len(store.db.versions("code_units")) == 1
+
+
+def test_clear_deletes_what_was_written(spark):
+    from pathlib import Path
+
+    df = written(spark.range(3).toDF("x"), "gone")
+    folder = Path(df.inputFiles()[0].removeprefix("file://")).parent
+    assert folder.exists() and df.count() == 3
+    clear(spark)
+    assert not folder.exists()
