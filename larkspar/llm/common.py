@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspar.tables import delete
+from larkspar.tables import shared_path as scratch_path
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of plain text: runs without ASCII whitespace.
 SPACED = r"[^\x20\x09-\x0D]+"
@@ -25,17 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below spark.checkpoint.dir. Only where that setting is missing (tests on one machine), a temporary folder is made and set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="larkspar-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        base = f"file://{base}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/larkspar/{name}-{uuid.uuid4().hex}"
-
-
 class Kept:
     """A table written to the shared folder: its lineage is cut, an executor's loss costs nothing, and its size is known to the planner."""
 
@@ -50,9 +38,7 @@ class Kept:
 
     def drop(self) -> None:
         """Deletes the files; only for tables that no later plan reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        delete(self.spark, self.path)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -86,9 +72,6 @@ def lower_az(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def spaced_words(c: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(SPACED), F.lit(0))
-
 
 def alnum_words(c: Column) -> Column:
     return F.regexp_extract_all(lower_az(F.coalesce(c, F.lit(""))), F.lit(ALNUM), F.lit(0))
@@ -97,7 +80,3 @@ def alnum_words(c: Column) -> Column:
 def row_key(df: DataFrame) -> Column:
     """A row's identity by what it says: doc_id and text. Rows equal in both are one document twice."""
     return F.xxhash64(F.col("doc_id"), F.col("text"))
-
-
-def schema_of(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)
