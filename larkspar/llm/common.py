@@ -72,7 +72,6 @@ def lower_az(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-
 def alnum_words(c: Column) -> Column:
     return F.regexp_extract_all(lower_az(F.coalesce(c, F.lit(""))), F.lit(ALNUM), F.lit(0))
 
