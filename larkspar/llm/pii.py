@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from larkspar.llm.common import table, without
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_ATOMS, TRAIN, EPOCHS, RATE, DECAY = 24, 900, 12, 0.3, 1e-4
+#: The longest entity is a full IPv6 address: eight groups of up to four atoms and seven colons.
+MAX_ATOMS, TRAIN, EPOCHS, RATE, DECAY = 8 * 4 + 7, 900, 12, 0.3, 1e-4
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -135,12 +136,14 @@ class Lattice:
             c = text[self.atoms[i][0]]
             if not (c.isalnum() or c in "+(:"):
                 continue
-            for j in range(i + 3, min(n, i + MAX_ATOMS) + 1):
+            for j in range(i + 1, min(n, i + MAX_ATOMS) + 1):
                 if not free[j - 1] or not free[i]:
                     break
                 last = text[self.atoms[j - 1][0]]
                 if not last.isalnum():
                     continue
+                if j - i < 3 and not (j == i + 1 and 16 <= digits[j] - digits[i] <= 19 and luhn(text[slice(*self.atoms[i])])):
+                    continue  # of less than three atoms, only a card without separators
                 if ats[j] - ats[i] == 1 or colons[j] - colons[i] >= 3 or 7 <= digits[j] - digits[i] <= 19:
                     self.segments.append((i, j))
         self.features = [features(text, self.atoms[i][0], self.atoms[j - 1][1]) for i, j in self.segments]
@@ -210,7 +213,7 @@ def _islands(seed: int, n: int) -> Iterator[tuple[str, list[tuple[str, int, int]
         return pick(f"{word()}.{d(2)}@{word()}.{word(2, 4)}", f"{word()}@{word()}.{word()}.{pick('com', 'org', 'de')}", f"{word()}_{d(3)}@{word()}-{word()}.{pick('com', 'net')}", f"{word()}@{word()}.{pick('com', 'fr')}")
 
     def none() -> str:
-        return pick(f"{d(4)}-{d(2)}-{d(2)}", f"{d(2)}:{d(2)}:{d(2)}", f"{d(4)}-{d(2)}-{d(2)} {d(2)}:{d(2)}:{d(2)}", f"${d(3)},{d(3)}.{d(2)}", f"v{d(1)}.{d(2)}.{d(1)}", d(int(r.integers(1, 16))), f"{d(2)}.{d(6)}", f"{d(3)} {d(3)} {d(3)}", f"#{d(8)}", f"{word()}{d(4)}{word()}{d(5)}", f"@{word()}{d(2)}", f"{d(1)}.{d(1)}.{d(2)}.{d(4)}", f"{d(4)}/{d(4)}", f"ISBN {d(3)}-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"{word()}={d(6)}{word()}{d(6)}", f"{d(12)} {d(5)}", f"{d(4)} {d(4)} {d(4)}", f"{d(20)}", f"{d(3)}-{d(2)}-{d(4)}", f"{word()}@{word()} {d(3)}", f"+{d(2)}%", f"{d(2)}-{d(2)}-{d(4)}")
+        return pick(f"{d(4)}-{d(2)}-{d(2)}", f"{d(2)}:{d(2)}:{d(2)}", f"{d(4)}-{d(2)}-{d(2)} {d(2)}:{d(2)}:{d(2)}", f"${d(3)},{d(3)}.{d(2)}", f"v{d(1)}.{d(2)}.{d(1)}", d(int(r.integers(1, 16))), f"{d(2)}.{d(6)}", f"{d(3)} {d(3)} {d(3)}", f"#{d(8)}", f"{word()}{d(4)}{word()}{d(5)}", f"@{word()}{d(2)}", f"{d(1)}.{d(1)}.{d(2)}.{d(4)}", f"{d(4)}/{d(4)}", f"ISBN {d(3)}-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"{word()}={d(6)}{word()}{d(6)}", f"{d(12)} {d(5)}", f"{d(4)} {d(4)} {d(4)}", f"{d(20)}", f"{d(3)}-{d(2)}-{d(4)}", f"{word()}@{word()} {d(3)}", f"+{d(2)}%", f"{d(2)}-{d(2)}-{d(4)}", ":".join(f"{x:02x}" for x in r.integers(0, 256, 6)))
 
     make = {"email": email, "ip": ip, "card": card, "phone": phone}
     for _ in range(n):
@@ -231,7 +234,9 @@ def train(n: int = TRAIN, epochs: int = EPOCHS, seed: int = 9) -> Model:
     for text, spans in _islands(seed, n):
         lattice = Lattice(text, 0, len(text))
         place = {(lattice.atoms[i][0], lattice.atoms[j - 1][1]): k for k, (i, j) in enumerate(lattice.segments)}
-        gold = [(place[s, e], KINDS.index(kind)) for kind, s, e in spans if (s, e) in place]
+        if lost := [text[s:e] for _, s, e in spans if (s, e) not in place]:
+            raise ValueError(f"no segment for {lost} of {text!r}")
+        gold = [(place[s, e], KINDS.index(kind)) for kind, s, e in spans]
         if lattice.segments:
             data.append((lattice, [np.array([names.setdefault(f, len(names)) for f in fs]) for fs in lattice.features], gold))
     w = np.zeros((len(names), len(KINDS)))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -179,6 +180,20 @@ def test_op9_model_adds_spans_and_leaves_numbers_alone():
     assert hit >= 0.9 * found and hit >= 0.75 * true
 
 
+def test_op9_full_ipv6_addresses_are_found_whole():
+    model, r = pii.trained(), random.Random(6)
+    addresses = [":".join(["1a2b"] * 8), *(":".join(f"{r.randrange(65536):x}" for _ in range(8)) for _ in range(200))]
+    for a in addresses:
+        assert pii.all_spans(f"host {a} up", model)[1] == [("ip", 5, 5 + len(a))]
+    assert pii.all_spans("port 00:11:22:33:44:55 up", model)[1] == []
+
+
+def test_op9_every_training_span_has_a_segment():
+    for text, spans in pii._islands(9, pii.TRAIN):
+        lattice = pii.Lattice(text, 0, len(text))
+        assert {(s, e) for _, s, e in spans} <= {(lattice.atoms[i][0], lattice.atoms[j - 1][1]) for i, j in lattice.segments}
+
+
 def test_op9_decoding_is_optimal():
     """The dynamic program against all segmentations of small islands."""
     model = pii.trained()
