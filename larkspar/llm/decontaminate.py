@@ -6,7 +6,8 @@ that for any regular distance of five words or more between replacements one of
 
 The documents' seeds are computed within the scan's own stage. While the benchmark has at most BROADCAST_SEEDS seeds (three numbers each; its items' words are of
 the same order), they are joined there to its broadcast seeds, and only matches leave the stage, each verified in place: of the words around the seed, up to REACH,
-that both texts have at that alignment, at least SHARE must be equal, and there must be MIN_WORDS of them. Beyond that size, rows of (row key, place, seed) are shuffled
+that both texts have at that alignment, at least SHARE must be equal, and there must be MIN_WORDS of them; a window of MIN_WORDS to REACH words that holds the seed will do, so that
+a run of MIN_WORDS words within other text counts as it does at a text's edge (the SQL knows the first kind of window only). Beyond that size, rows of (row key, place, seed) are shuffled
 to the benchmark's seeds, and the alignments that meet go back to their documents to be verified in the same way. Matches are grouped by document and item,
 combined before the shuffle.
 
@@ -17,6 +18,8 @@ leave the documents unchanged. Other columns are ignored, or passed through by c
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,13 +63,22 @@ def _verified(met: DataFrame) -> DataFrame:
     mid = F.col("start") + SPAN // 2
     low = F.greatest(F.lit(0), -F.col("shift"), F.least(mid - REACH // 2, F.size("item") - REACH))
     high = F.least(F.size("item"), F.size("words") - F.col("shift"), F.greatest(mid + REACH // 2, F.lit(REACH)))
-    met = met.withColumn("low", low).withColumn("high", high).where(F.col("high") - F.col("low") >= MIN_WORDS)
+    first, last = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("item"), F.size("words") - F.col("shift"))
+    met = met.withColumn("low", low).withColumn("high", high).withColumn("first", first).withColumn("last", last)
 
     def equal(a: Column, b: Column) -> Column:
         return F.size(F.filter(F.sequence(a, b - 1), lambda i: _at("item", i) == _at("words", i + F.col("shift"))))
 
-    met = met.where(equal(F.col("low"), F.col("high")) >= SHARE * (F.col("high") - F.col("low")))
-    return met.withColumn("equal_words", equal(F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("item"), F.size("words") - F.col("shift"))))
+    def good(a: Column, b: Column) -> Column:
+        return (b - a >= MIN_WORDS) & (equal(a, b) >= SHARE * (b - a))
+
+    def some(a: Column, b: Column, f: Callable[[Column], Column]) -> Column:
+        return F.when(a <= b, F.exists(F.sequence(a, b), f)).otherwise(False)
+
+    least, end = F.greatest(F.col("first"), F.col("start") + SPAN - REACH), F.least(F.col("start") + SPAN, F.col("last"))
+    short = some(least, F.col("start"), lambda a: some(F.greatest(a + MIN_WORDS, end), F.least(a + REACH, F.col("last")), lambda b: good(a, b)))
+    met = met.where(good(F.col("low"), F.col("high")) | short)
+    return met.withColumn("equal_words", equal(F.col("first"), F.col("last")))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -149,6 +149,16 @@ def test_op6_finds_substitutions_and_parts(spark, docs):
     assert decontaminate.clean(d, b.limit(0)).count() == d.count()
 
 
+def test_op6_finds_short_runs_within_other_text(spark, docs):
+    words = ITEM.split()
+    b = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    other = " ".join(f"other{i}" for i in range(30))
+    runs = [(i, f"{other} {' '.join(words[a : a + n])} {other}") for i, (a, n) in enumerate((a, n) for n in (10, 13, 14, 15) for a in (0, 3, 20 - n))]
+    got = {r["doc_id"] for r in decontaminate.findings(docs(*runs), b).collect()}
+    assert got == set(range(3, 12))
+    assert {r["doc_id"] for r in decontaminate.clean(docs(*runs), b).collect()} == {0, 1, 2}
+
+
 def test_op6_without_broadcast_is_the_same(spark, sf, monkeypatch):
     want = result(decontaminate.op6_decontaminate(spark, sf))
     monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
