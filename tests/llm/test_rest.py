@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import math
 import zlib
 
@@ -159,6 +160,22 @@ def test_op6_finds_short_runs_within_other_text(spark, docs):
     assert {r["doc_id"] for r in decontaminate.clean(docs(*runs), b).collect()} == {0, 1, 2}
 
 
+def test_op6_every_allowed_pattern_of_replacements_has_a_seed():
+    masks = (*decontaminate.MASKS, decontaminate.SHORT)
+    for n in (13, 14, 15, 18, 20):
+        for gone in itertools.combinations(range(n), n - math.ceil(decontaminate.SHARE * n)):
+            assert any(not any(k + p in gone for p in mask) for mask in masks for k in range(n - max(mask)))
+
+
+def test_op6_finds_replacements_that_only_late_or_short_seeds_survive(spark, docs):
+    words = ITEM.split()[:13]
+    old = [{k + p for p in mask} for mask in decontaminate.MASKS for k in range(3)]
+    patterns = [gone for gone in itertools.combinations(range(13), 2) if all(seed & set(gone) for seed in old)]
+    d = docs(*[(i, " ".join("changed" if j in gone else w for j, w in enumerate(words))) for i, gone in enumerate(patterns)])
+    b = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    assert patterns and {r["doc_id"] for r in decontaminate.findings(d, b).collect()} == set(range(len(patterns)))
+
+
 def test_op6_without_broadcast_is_the_same(spark, sf, monkeypatch):
     want = result(decontaminate.op6_decontaminate(spark, sf))
     monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
