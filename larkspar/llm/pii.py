@@ -1,7 +1,7 @@
 """Personal data by a semi-Markov conditional random field (op9).
 
 Base spans are exact patterns (emails, IPv4 addresses, payment cards, phone numbers) found in linear time. The model adds what the patterns miss: addresses with
-an IPv6 form, phones without a plus sign, cards with other separators, emails that are spelled around. It works on islands: runs of neighbouring words with a digit
+an IPv6 form, phones without a plus sign, cards with other separators. Emails that are spelled out (name at host dot org) are not found. It works on islands: runs of neighbouring words with a digit
 or an at sign. An island is cut into atoms (letters, digits, single other characters). A segment is up to MAX_ATOMS atoms; features of the whole segment (its
 shape, digit count, Luhn sum, octets, separators, what stands at either side) score it for each type, atoms outside any segment score 0, and dynamic programming over
 the island finds the segmentation with the highest total, choosing boundaries and types together. Entities are bounded, so time is linear in the island. Base
