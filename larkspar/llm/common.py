@@ -27,9 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Kept:
     """A table written to the shared folder: its lineage is cut, an executor's loss costs nothing, and its size is known to the planner."""
 
-    def __init__(self, df: DataFrame, name: str, by: str | None = None):
+    def __init__(self, df: DataFrame, name: str, by: str | None = None, **options: object):
         self.spark, self.path = df.sparkSession, scratch_path(df.sparkSession, name)
-        (df.write.partitionBy(by) if by else df.write).parquet(self.path)
+        (df.write.partitionBy(by) if by else df.write).options(**options).parquet(self.path)
         self.schema = df.schema
 
     @property

@@ -2,18 +2,25 @@
 
 A window is WINDOW consecutive words. A word goes if a window that covers it also starts in a document with a smaller doc_id. Three passes over the texts:
 
-1. Sketch. Each part of the input (a file's split) builds a count-min sketch of its windows: DEPTH rows of hashed cells.
+1. Sketch. Each part of the input builds a count-min sketch of its windows: DEPTH rows of hashed cells.
    The width follows the input (CELLS cells a window), so that the share of false alarms is the same at any size; a part fills few of the cells, so its sketch
    is exchanged sparse, as sorted cell numbers (counts above two say no more than two), packed and compressed to one or two bytes a window. Rows are cut into
    blocks; the sketches of a block are merged by adding up, and each part gets back those of its own cells that the merged sketch counts twice or more.
-2. Exact groups. Each part emits the windows all of whose cells are counted twice or more, once each: a 128-bit key, its least doc_id, and whether the part
-   has it in two documents. A merged count is never below the true one, so no repeated window is lost. Keys are grouped exactly and each part gets back the
-   corpus-wide least doc_id of the keys that do repeat.
+2. Groups. Each part emits the windows all of whose cells are counted twice or more, once each: a 128-bit key, its least doc_id, and whether the part
+   has it in two documents. A merged count is never below the true one, so no repeated window is lost. Keys are grouped by all their bits and each part gets back the
+   corpus-wide least doc_id of the keys that do repeat. Windows are told apart by their keys alone, never word by word. Both halves of a key come from 64-bit hashes of the words, so
+   two windows are taken for one only if words at the same places have equal hashes, or both halves collide.
 3. Removal. Each part marks the words of its windows whose least doc_id is smaller than the document's own.
 
+Parts. A part is a range of rows of one file, by their index in the file, among texts of about one length; a text of a part's size is a part of its own. So a row's
+part follows from the data and a number fixed before the first pass, never from how Spark splits the files: each pass may run with other splits, tasks and
+executors. A task may hold a piece of a part or pieces of several; it sends what it has and reads back what the whole part got. Inputs without a row index (anything but a Parquet
+scan) are first written to the shared folder. Where files are replaced between two passes, a part is missing, which is an error.
+
 Only packed keys are shuffled, never texts. A window that occurs everywhere is one entry a part, so hot passages make no hot tasks. What goes back to a part is
-read by the part's own task from the shared folder (any file system pyarrow knows), so nothing that grows with the corpus is broadcast or collected. A part is
-known by its file and offset, which are the same in each pass. Inputs that are no file scan are first written to the shared folder.
+read by the part's own tasks from the shared folder (any file system pyarrow knows), from one of at most MOST_BUCKETS folders, so nothing that grows with the corpus is broadcast, collected or listed.
+An entry of the exchange is what a part has in a block. Blocks grow with the input so that an entry holds about 1,024 windows: entries grow as the input
+up to about half a TB (blocks of MOST_BLOCK windows), and parts grow from there (80 windows an entry at 100 TB, where splits of MOST_PART bytes save reading a part's rows more than once).
 
 Null text: no words. Null doc_id: larger than every other, so such rows lose what any numbered document has, and nothing to each other. Rows with one doc_id
 never remove from each other. Documents under WINDOW words, empty texts and empty tables lose nothing. Other columns are ignored, or passed through by remove().
@@ -23,7 +30,8 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,8 +46,11 @@ from pyspark.sql import functions as F
 from larkspar.llm.common import Kept, groups, keep, raw, table
 
 WINDOW, DEPTH, CELLS = 13, 2, 4
-#: Windows a block of the sketch or of the keys is cut for, and windows after which a part's sketch is sent off (a part may send several).
-BLOCK, FLUSH = 1 << 20, 1 << 22
+#: Windows a block of the sketch or of the keys is cut for, at least and at most (a block is merged in one task's memory, some 50 bytes a window), and windows after
+#: which a task's sketches are sent off (a part may send several).
+BLOCK, MOST_BLOCK, FLUSH = 1 << 20, 1 << 24, 1 << 22
+#: Bytes of text in a part, at least and at most; folders for what comes back to the parts, at most; bytes of a row group in them.
+LEAST_PART, MOST_PART, MOST_BUCKETS, ROW_GROUP = 32 << 20, 512 << 20, 4096, 2 << 20
 NONE = np.iinfo(np.int64).max
 
 #: Odd bases: of the words' hashes, and of the two halves of a window's key; odd multipliers that mix them; and a random number for each byte.
@@ -172,16 +183,18 @@ def _cells(a: np.ndarray, b: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndar
     return a >> np.uint64(64 - bits), b >> np.uint64(64 - bits)
 
 
-def _parts(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[int, pa.RecordBatch, int, int, Piece]]:
-    """For each run of rows of one part, in small groups: part, batch, its rows' range, and the texts' words and windows."""
+def _parts(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, Piece]]:
+    """A batch's rows by part, in small groups: part, batch, its rows, and the texts' words and windows."""
     for batch in batches:
         if not batch.num_rows:
             continue
         part, texts = batch.column(batch.schema.get_field_index("__part")).to_numpy(zero_copy_only=False), raw(batch)
-        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            for i, j in groups(texts[lo:hi], CHUNK):
-                yield int(part[lo]), batch, lo + i, lo + j, Piece(texts[lo + i : lo + j], window)
+        order = np.argsort(part, kind="stable")
+        for now, cut in _by_part(part[order]):
+            rows = order[cut]
+            own = [texts[i] for i in rows.tolist()]
+            for i, j in groups(own, CHUNK):
+                yield now, batch, rows[i:j], Piece(own[i:j], window)
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -189,32 +202,37 @@ def _frame(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types.get(k, pa.binary())) for i, k in enumerate(names)], names)
 
 
+def _edges(sorted_numbers: np.ndarray, bits: int, blocks: int) -> list[tuple[int, int, int]]:
+    """(block, start, end) of the blocks that sorted numbers of so many bits fall into."""
+    places = np.searchsorted(sorted_numbers, np.arange(blocks, dtype=np.uint64) << np.uint64(bits - int(math.log2(blocks)))) if blocks > 1 else np.zeros(1, np.int64)
+    ends = [*places[1:].tolist(), len(sorted_numbers)]
+    return [(k, i, j) for k, (i, j) in enumerate(zip(places.tolist(), ends, strict=True)) if j > i]
+
+
 def _sketches(batches: Iterator[pa.RecordBatch], window: int, bits: int, blocks: int) -> Iterator[pa.RecordBatch]:
-    """Pass 1: (part, row, blk, n, cells) of each part's sketch."""
-    now, held, size = None, ([], []), 0
+    """Pass 1: (part, row, blk, n, cells) of each part's sketch, and a row -1 that says there is such a part."""
+    held: dict[int, tuple[list, list]] = {}
+    size = 0
 
     def send() -> Iterator[pa.RecordBatch]:
-        for row in range(DEPTH):
-            cells = np.sort(np.concatenate(held[row] or [np.zeros(0, np.uint64)]))
-            if len(cells) > 2:
-                cells = cells[np.concatenate([[True, True], cells[2:] != cells[:-2]])]
-            edges = np.searchsorted(cells, np.arange(blocks + 1, dtype=np.uint64) << np.uint64(bits - int(math.log2(blocks))))
-            edges[-1] = len(cells)
-            out = [(now, row, k, int(j - i), _pack(cells[i:j])) for k, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if j > i]
-            if out:
-                yield _frame(out, ["part", "row", "blk", "n", "cells"])
-            held[row].clear()
-
-    for part, _, _, _, x in _parts(batches, window):
-        if part != now or size > FLUSH:
-            if size:
-                yield from send()
-            now, size = part, 0
-        for row, cells in enumerate(_cells(x.a, x.b, bits)):
-            held[row].append(cells)
+        for part, found in held.items():
+            out = [(part, -1, part % blocks, 0, b"")]
+            for row, several in enumerate(found):
+                cells = np.sort(np.concatenate(several))
+                if len(cells) > 2:
+                    cells = cells[np.concatenate([[True, True], cells[2:] != cells[:-2]])]
+                out += [(part, row, k, j - i, _pack(cells[i:j])) for k, i, j in _edges(cells, bits, blocks)]
+            yield _frame(out, ["part", "row", "blk", "n", "cells"])
+        held.clear()
+
+    for part, _, _, x in _parts(batches, window):
+        for several, cells in zip(held.setdefault(part, ([], [])), _cells(x.a, x.b, bits), strict=True):
+            several.append(cells)
         size += len(x.a)
-    if size:
-        yield from send()
+        if size > FLUSH:
+            yield from send()
+            size = 0
+    yield from send()
 
 
 def _numbers(t: pa.Table, k: str) -> np.ndarray:
@@ -233,7 +251,11 @@ def _by_part(parts: np.ndarray) -> Iterator[tuple[int, slice]]:
 
 
 def _merged(t: pa.Table) -> pa.Table:
-    """Adds up the sketches of one block; for each part, those of its cells with a count of two or more (for parts without any, an empty row)."""
+    """Adds up the sketches of one block; for each part, those of its cells with a count of two or more."""
+    row, blk = t["row"][0].as_py(), t["blk"][0].as_py()
+    names = ["part", "row", "blk", "n", "cells"]
+    if row < 0:
+        return pa.Table.from_batches([_frame([(p, -1, blk, 0, b"") for p in set(t["part"].to_pylist())], names)])
     parts, cells = _joined(t, "cells")
     order = np.argsort(cells, kind="stable")
     s = cells[order]
@@ -242,67 +264,84 @@ def _merged(t: pa.Table) -> pa.Table:
     parts, s = parts[order][twice], s[twice]
     order = np.lexsort((s, parts))
     parts, s = parts[order], s[order]
-    row, blk = t["row"][0].as_py(), t["blk"][0].as_py()
-    out = {p: (p, row, blk, 0, _pack(np.zeros(0, np.uint64))) for p in set(t["part"].to_pylist())}
+    out = []
     for p, cut in _by_part(parts):
         mine = np.unique(s[cut])
-        out[p] = (p, row, blk, len(mine), _pack(mine))
-    return pa.Table.from_batches([_frame(list(out.values()), ["part", "row", "blk", "n", "cells"])])
+        out.append((p, row, blk, len(mine), _pack(mine)))
+    return pa.Table.from_batches([_frame(out, names)])
 
 
 class _Side:
-    """What the exchange gave back to a part, read from the shared folder."""
+    """What the exchange gave back to the parts, read from the shared folder: a folder for each of a bounded number of buckets, sorted by part within.
 
-    def __init__(self, path: str):
-        self.path = path
+    make turns a part's rows into what is looked up; the last few are kept, as a task's rows come from few parts at a time."""
 
-    def rows(self, part: int) -> pa.Table:
+    def __init__(self, path: str, buckets: int, make: Callable[[pa.Table], object], most: int = 6):
+        self.path, self.buckets, self.make, self.most = path, buckets, make, most
+        self.held: OrderedDict[int, object] = OrderedDict()
+
+    def of(self, part: int):
+        if part in self.held:
+            self.held.move_to_end(part)
+        else:
+            while len(self.held) >= self.most:
+                self.held.popitem(last=False)
+            self.held[part] = self.make(self._rows(part))
+        return self.held[part]
+
+    def _rows(self, part: int) -> pa.Table:
         where, path = fs.FileSystem.from_uri(self.path)
-        at = f"{path}/part={part}"
-        if where.get_file_info(at).type == fs.FileType.NotFound:
-            raise RuntimeError(f"no exchange for part {part} in {self.path}: the input's splits changed between two passes")
-        return ds.dataset(at, filesystem=where, format="parquet").to_table()
+        at = f"{path}/bucket={part % self.buckets}"
+        if where.get_file_info(at).type != fs.FileType.NotFound:
+            t = ds.dataset(at, filesystem=where, format="parquet").to_table(filter=ds.field("part") == part)
+            if t.num_rows:
+                return t
+        raise RuntimeError(f"no exchange for part {part} in {self.path}: the input changed between two passes")
+
+
+def _exchanged(df: DataFrame, name: str, buckets: int) -> Kept:
+    """Rows by part, written so that _Side finds them: small row groups, whose statistics tell where a part is."""
+    rows = df.withColumn("bucket", F.pmod("part", F.lit(buckets)).cast("int")).repartition(buckets, "bucket").sortWithinPartitions("bucket", "part")
+    return Kept(rows, name, by="bucket", **{"parquet.block.size": ROW_GROUP})
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], window: int, bits: int, blocks: int, side: _Side) -> Iterator[pa.RecordBatch]:
     """Pass 2: (part, blk, n, keys) of the windows estimated repeated; keys: packed first halves, then second halves, least doc_ids and flags of two documents."""
-    now, held, size, twice = None, [], 0, None
+    held: dict[int, list] = {}
+    size = 0
 
     def send() -> Iterator[pa.RecordBatch]:
-        a, b, d = (np.concatenate(x) for x in zip(*held, strict=True))
+        for part, found in held.items():
+            a, b, d = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((d, b, a))
+            a, b, d = a[order], b[order], d[order]
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            starts = np.flatnonzero(new)
+            lasts = np.concatenate([starts[1:], [len(a)]]) - 1
+            many, a, b, d = d[lasts] != d[starts], a[starts], b[starts], d[starts]
+            out = [(part, k, j - i, _pack(a[i:j]), b[i:j].tobytes(), pa.compress(d[i:j].tobytes(), codec="zstd", asbytes=True), np.packbits(many[i:j]).tobytes()) for k, i, j in _edges(a, 64, blocks)]
+            yield _frame(out, ["part", "blk", "n", "a", "b", "d", "many"])
         held.clear()
-        order = np.lexsort((d, b, a))
-        a, b, d = a[order], b[order], d[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        starts = np.flatnonzero(new)
-        lasts = np.concatenate([starts[1:], [len(a)]]) - 1
-        many, a, b, d = d[lasts] != d[starts], a[starts], b[starts], d[starts]
-        edges = np.searchsorted(a, np.arange(blocks + 1, dtype=np.uint64) << np.uint64(64 - int(math.log2(blocks)))) if blocks > 1 else np.array([0, len(a)])
-        edges[-1] = len(a)
-        out = [(now, k, int(j - i), _pack(a[i:j]), b[i:j].tobytes(), pa.compress(d[i:j].tobytes(), codec="zstd", asbytes=True), np.packbits(many[i:j]).tobytes()) for k, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if j > i]
-        yield _frame(out, ["part", "blk", "n", "a", "b", "d", "many"])
-
-    for part, batch, i, j, x in _parts(batches, window):
-        if part != now or size > FLUSH:
-            if size:
-                yield from send()
-            if part != now:
-                twice = None
-            now, size = part, 0
+
+    for part, batch, rows, x in _parts(batches, window):
         if not len(x.a):
             continue
-        if twice is None:
-            t = side.rows(part)
-            rows = t["row"].to_numpy()
-            twice = [_Lookup(np.sort(_numbers(t.filter(pa.array(rows == r)), "cells")), bits) for r in range(DEPTH)]
+        twice = side.of(part)
         at = np.arange(len(x.a))
         for row in range(DEPTH):
             at = at[twice[row].find(_cells(x.a[at], x.b[at], bits)[row])[0]]
         if len(at):
-            held.append((x.a[at], x.b[at], _ids(batch)[i:j][x.own[at]]))
+            held.setdefault(part, []).append((x.a[at], x.b[at], _ids(batch)[rows][x.own[at]]))
             size += len(at)
-    if size:
-        yield from send()
+        if size > FLUSH:
+            yield from send()
+            size = 0
+    yield from send()
+
+
+def _twice(t: pa.Table, bits: int) -> list[_Lookup]:
+    rows = t["row"].to_numpy()
+    return [_Lookup(np.sort(_numbers(t.filter(pa.array(rows == r)), "cells")), bits) for r in range(DEPTH)]
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
@@ -310,7 +349,7 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _least(t: pa.Table) -> pa.Table:
-    """Groups the keys of one block exactly; for each part, its keys that repeat, with their least doc_id of all."""
+    """Groups the keys of one block by all 128 bits; for each part, its keys that repeat, with their least doc_id of all."""
     n = t["n"].to_pylist()
     parts, a = _joined(t, "a")
     b = np.concatenate([np.frombuffer(x, np.uint64) for x in t["b"].to_pylist()])
@@ -325,23 +364,16 @@ def _least(t: pa.Table) -> pa.Table:
     parts, a, b, least = parts[repeats], a[repeats], b[repeats], least[repeats]
     order = np.lexsort((b, a, parts))
     parts, a, b, least = parts[order], a[order], b[order], least[order]
-    out = {p: (p, 0, _pack(np.zeros(0, np.uint64)), b"", b"") for p in set(t["part"].to_pylist())}
-    for p, cut in _by_part(parts):
-        out[p] = (p, cut.stop - cut.start, _pack(a[cut]), b[cut].tobytes(), pa.compress(least[cut].tobytes(), codec="zstd", asbytes=True))
-    return pa.Table.from_batches([_frame(list(out.values()), ["part", "n", "a", "b", "d"])])
+    out = [(p, cut.stop - cut.start, _pack(a[cut]), b[cut].tobytes(), pa.compress(least[cut].tobytes(), codec="zstd", asbytes=True)) for p, cut in _by_part(parts)]
+    return pa.Table.from_batches([_frame(out, ["part", "n", "a", "b", "d"])])
 
 
 def _removed(batches: Iterator[pa.RecordBatch], window: int, side: _Side, columns: list[str], texts: bool) -> Iterator[pa.RecordBatch]:
     """Pass 3: for each row, its columns, number of words, of removed ones, and the kept words: their SHA-256 or text."""
-    now, known = None, None
-    for part, batch, i, j, x in _parts(batches, window):
-        if part != now:
-            now, known = part, None
+    for part, batch, at_rows, x in _parts(batches, window):
         drop = np.zeros(len(x.starts), bool)
         if len(x.a):
-            if known is None:
-                known = _repeats(side, part)
-            look, kb, kd = known
+            look, kb, kd = side.of(part)
             hit, place = look.find(x.a)
             ok = kb[place] == x.b[hit]
             for k in np.flatnonzero(~ok).tolist():  # keys that share their first half
@@ -349,7 +381,7 @@ def _removed(batches: Iterator[pa.RecordBatch], window: int, side: _Side, column
                 found = np.flatnonzero(kb[place[k] : end] == x.b[hit[k]])
                 if len(found):
                     ok[k], place[k] = True, place[k] + found[0]
-            gone = x.at[hit[ok & (kd[place] < _ids(batch)[i:j][x.own[hit]])]]
+            gone = x.at[hit[ok & (kd[place] < _ids(batch)[at_rows][x.own[hit]])]]
             if len(gone):
                 cover = np.zeros(len(drop) + 1, np.int32)
                 np.add.at(cover, gone, 1)
@@ -357,12 +389,11 @@ def _removed(batches: Iterator[pa.RecordBatch], window: int, side: _Side, column
                 drop = np.cumsum(cover[:-1]) > 0
         lost = np.concatenate([[0], np.cumsum(drop)])[x.first]
         out = [t.decode("utf-8", "replace") if texts else hashlib.sha256(t).hexdigest() for t in x.kept(drop)]
-        rows = batch.slice(i, j - i)
+        rows = batch.take(pa.array(at_rows))
         yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(c)) for c in columns] + [pa.array(np.diff(x.first)), pa.array(np.diff(lost)), pa.array(out, pa.string())], [*columns, "n_words", "n_removed", "kept_text" if texts else "kept_sha256"])
 
 
-def _repeats(side: _Side, part: int) -> tuple[_Lookup, np.ndarray, np.ndarray]:
-    t = side.rows(part)
+def _repeats(t: pa.Table) -> tuple[_Lookup, np.ndarray, np.ndarray]:
     n = t["n"].to_pylist()
     a = _numbers(t, "a")
     b = np.concatenate([np.frombuffer(x, np.uint64) for x in t["b"].to_pylist()])
@@ -371,28 +402,40 @@ def _repeats(side: _Side, part: int) -> tuple[_Lookup, np.ndarray, np.ndarray]:
     return _Lookup(a[order], 64), b[order], d[order]
 
 
+def _power(x: float) -> int:
+    """The power of two that is x or the next above; 1 at least."""
+    return 1 << max(0, math.ceil(math.log2(max(1.0, x))))
+
+
 def remove(docs: DataFrame, columns: list[str], window: int = WINDOW, texts: bool = False) -> DataFrame:
     """Of each row of docs (doc_id, text, ...): the named columns, n_words, n_removed, and kept_sha256 (or kept_text, if texts)."""
     try:
-        docs.select("_metadata.file_path", "_metadata.file_block_start")
+        docs.select("_metadata.file_path", "_metadata.row_index")
     except AnalysisException:
         docs = keep(docs, "documents")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = F.octet_length("text")
+    total, n_rows = docs.agg(F.coalesce(F.sum(size), F.lit(0)), F.count("*")).first()
     n = max(1 << 16, total // 6)  # about so many windows
-    blocks = 1 << max(0, math.ceil(math.log2(n / BLOCK)))
+    part_bytes = min(MOST_PART, max(LEAST_PART, total // 8192))
+    block = min(MOST_BLOCK, max(BLOCK, 1024 * 6 * n // part_bytes))
+    blocks, buckets = _power(n / block), min(MOST_BUCKETS, max(1, math.ceil(total / part_bytes)))
     bits = max(math.ceil(math.log2(n * CELLS)), int(math.log2(blocks)) + 1)
-    part = F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("__part")
+    mean = max(1.0, total / max(1, n_rows))
+    # rows of about one size class (a factor of 4) share a part, the larger the fewer
+    wide = F.when(size > mean, F.ceil(F.log2(size / F.lit(mean)) / 2)).otherwise(0)
+    rows_a_part = F.greatest(F.lit(1.0), F.lit(part_bytes / mean) / F.pow(F.lit(4.0), wide))
+    part = F.shiftrightunsigned(F.xxhash64("_metadata.file_path", F.coalesce(wide, F.lit(0)), F.floor(F.col("_metadata.row_index") / F.coalesce(rows_a_part, F.lit(1.0)))), 1).alias("__part")
     thin = docs.select(part, F.col("doc_id").cast("long").alias("__id"), "text")
     sent = thin.mapInArrow(lambda x: _sketches(x, window, bits, blocks), "part long, row int, blk long, n long, cells binary")
     merged = sent.groupBy("row", "blk").applyInArrow(_merged, "part long, row int, blk long, n long, cells binary")
-    cells = Kept(merged.repartition("part"), "cells", by="part")
-    side = _Side(cells.path)
+    cells = _exchanged(merged, "cells", buckets)
+    side = _Side(cells.path, buckets, lambda t: _twice(t, bits))
     found = thin.mapInArrow(lambda x: _candidates(x, window, bits, blocks, side), "part long, blk long, n long, a binary, b binary, d binary, many binary")
     least = found.groupBy("blk").applyInArrow(_least, "part long, n long, a binary, b binary, d binary")
-    # parts without a candidate have an empty row too, so that a part that is missing means an error
-    all_parts = cells.df.select("part").distinct().select("part", F.lit(0).cast("long").alias("n"), *(F.lit(b"\x08").alias(c) if c == "a" else F.lit(b"").alias(c) for c in "abd"))
-    keys = Kept(least.unionByName(all_parts).repartition("part"), "keys", by="part")
-    last = _Side(keys.path)
+    # parts without a key that repeats have an empty row too, so that a part that is missing means an error
+    all_parts = cells.df.where("row = -1").select("part", F.lit(0).cast("long").alias("n"), *(F.lit(b"").alias(c) for c in "abd"))
+    keys = _exchanged(least.unionByName(all_parts), "keys", buckets)
+    last = _Side(keys.path, buckets, _repeats)
     cells.drop()
     whole = docs.select(part, F.col("doc_id").cast("long").alias("__id"), "text", *[c for c in columns if c != "text"])
     fields = [f for c in columns for f in docs.schema.fields if f.name == c]

@@ -162,6 +162,40 @@ def test_op10_over_many_parts_and_flushes(spark, docs, folder, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == brute_removed(rows)
 
 
+@pytest.mark.parametrize("before,after", [("256k", "64m"), ("64m", "200k")])
+def test_op10_does_not_depend_on_splits(spark, docs, tmp_path, monkeypatch, before, after):
+    """The last pass runs with other splits than the first two, over parts smaller and larger than either."""
+    r = random.Random(7)
+    rows = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(60))) for i in range(4000)]
+    rows += [(4000 + i, rows[i][1] + f" end {i}") for i in range(0, 4000, 2)] + [(9000 + i, " ".join(x[1] for x in rows[i * 50 : i * 50 + 50])) for i in range(5)]
+    path = f"file://{tmp_path}/documents.parquet"
+    docs(*rows).repartition(2).write.option("parquet.block.size", 64 << 10).option("parquet.page.size", 16 << 10).parquet(path)
+    want = brute_removed(rows)
+    name, old = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for least in (100_000, 32 << 20):
+            monkeypatch.setattr(substring, "LEAST_PART", least)
+            spark.conf.set(name, before)
+            got = substring.remove(spark.read.parquet(path), ["doc_id"])
+            first = got.rdd.getNumPartitions()
+            spark.conf.set(name, after)
+            got = got.select("*")  # planned anew
+            assert got.rdd.getNumPartitions() != first
+            assert sorted(map(tuple, got.collect()), key=repr) == want
+    finally:
+        spark.conf.set(name, old)
+
+
+def test_op10_says_so_if_files_change_between_passes(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/documents.parquet"
+    docs((1, "a b c d e f g h i j k l m n o"), (2, "x a b c d e f g h i j k l m n o")).write.parquet(path)
+    got = substring.remove(spark.read.parquet(path), ["doc_id"])
+    docs((1, "p"), (2, "a b c d e f g h i j k l m n o p q r")).repartition(1).write.mode("overwrite").parquet(path)
+    spark.catalog.refreshByPath(path)
+    with pytest.raises(Exception, match="changed between two passes|does not exist|FILE_NOT_EXIST"):
+        got.select("*").collect()
+
+
 def test_op10_odd_rows_and_other_inputs(spark, odd, folder):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     assert sorted(map(tuple, substring.op10_substring(spark, folder(documents=odd)).collect()), key=repr) == brute_removed(rows)
