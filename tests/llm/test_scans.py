@@ -166,22 +166,63 @@ def test_op9_equals_brute_force(spark, sf, odd, docs, folder, which):
         assert len(r["spans"].split(",")) >= sum(tuple(r)[1:5]) or not r["spans"]
 
 
-def test_op9_model_adds_spans_and_leaves_numbers_alone():
-    model = pii.trained()
-    _, spans = pii.all_spans("call (988) 555-2485 today, fe80:12ab:33cd::9f1:22 too", model)
-    assert [k for k, _, _ in spans] == ["ip", "phone"]
-    for clean in ("in 2024-05-17 12:30:55 we sold 12345678 of 1,234,567", "ISBN 978-3-1612-4840-0", "pi is 3.14159265358979"):
-        assert pii.all_spans(clean, model) == ([], [])
-    hit = found = true = 0
-    for text, want in pii._islands(77, 200):
-        lattice = pii.Lattice(text, 0, len(text))
-        got = {(pii.KINDS[t], lattice.atoms[i][0], lattice.atoms[j - 1][1]) for i, j, t in pii._decode(lattice, model.scores(lattice))} if lattice.segments else set()
-        hit, found, true = hit + len(got & set(want)), found + len(got), true + len(want)
-    assert hit >= 0.9 * found and hit >= 0.75 * true
-
-
-def test_op9_full_ipv6_addresses_are_found_whole():
-    model, r = pii.trained(), random.Random(6)
+@pytest.fixture(scope="module")
+def model():
+    return pii.train()
+
+
+def own_spans(model, text):
+    return {x for island in pii.islands(text) for x in model.spans(text, island)}
+
+
+def test_op9_model_adds_spans_and_leaves_numbers_alone(model):
+    def added(text):
+        base, spans = pii.all_spans(text, model)
+        return [(k, text[a:z]) for k, a, z in spans if (k, a, z) not in base]
+
+    assert added("call (988) 555-2485 today, fe80:12ab:33cd::9f1:22 too") == [("ip", "fe80:12ab:33cd::9f1:22"), ("phone", "(988) 555-2485")]
+    assert added('token = "8ef5f278dec875d2b96fdf291615913d21aee5ca"### x') == [("secret", "8ef5f278dec875d2b96fdf291615913d21aee5ca")]
+    assert added("use API_KEY=sk-AbC12dEf34GhI56jKl78mNo90 here") == [("secret", "sk-AbC12dEf34GhI56jKl78mNo90")]
+    assert added("password: Winter_2024, then") == [("secret", "Winter_2024")]
+    assert added("mail jane.doe (at) example (dot) org or bob at site dot com.") == [("email", "jane.doe (at) example (dot) org"), ("email", "bob at site dot com")]
+    assert added("account 9859476043669043 of") == [("account", "9859476043669043")]
+    assert added("card 4111.1111.1111.1111 it") == [("card", "4111.1111.1111.1111")]
+    for clean in (
+        "in 2024-05-17 12:30:55 we sold 12345678 of 1,234,567", "ISBN 978-3-1612-4840-0", "pi is 3.14159265358979", "tokens = tokenizer.encode(text)", "the key: understanding of the matter", "password: required", "meet at the dot on the map at noon",
+        "connect the dot at once", "rows 12 345 6789 01 2345 678 9012 345", "at 10:30:12 the token was lost",
+    ):
+        assert pii.all_spans(clean, model) == ([], []), clean
+
+
+def test_op9_model_recall_and_precision_by_kind(model):
+    """On synthetic texts it has not seen."""
+    hit, found, true = Counter(), Counter(), Counter()
+    for text, want in pii._islands(77, 800):
+        got = own_spans(model, text)
+        true.update(k for k, _, _ in want)
+        found.update(k for k, _, _ in got)
+        hit.update(k for k, _, _ in got & set(want))
+    for k in pii.ALL_KINDS:
+        assert hit[k] >= 0.9 * true[k] and hit[k] >= 0.95 * found[k], (k, hit[k], true[k], found[k])
+
+
+def test_op9_planted_documents_are_caught_and_clean_ones_left_alone(model):
+    """sf0.1 holds emails, addresses, phones, numbers of 16 digits and 40-digit tokens; all else is prose."""
+    import duckdb
+
+    planted = re.compile(r'(?i)token = "[0-9a-f]{40}"|(?<!\d)\d{16}(?!\d)|\+1 \(\d{3}\) \d{3}-\d{4}|\d+\.\d+\.\d+\.\d+|\S+@\S+')
+    caught = there = wrong = clean = added = 0
+    for (text,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.1/documents.parquet'").fetchall():
+        base, spans = pii.all_spans(text or "", model)
+        if planted.search(text or ""):
+            there, caught, added = there + 1, caught + bool(spans), added + (len(spans) > len(base))
+        else:
+            clean, wrong = clean + 1, wrong + bool(spans)
+    assert caught >= 0.99 * there and wrong <= 0.001 * clean and added >= 0.3 * there
+
+
+def test_op9_full_ipv6_addresses_are_found_whole(model):
+    r = random.Random(6)
     addresses = [":".join(["1a2b"] * 8), *(":".join(f"{r.randrange(65536):x}" for _ in range(8)) for _ in range(200))]
     for a in addresses:
         assert pii.all_spans(f"host {a} up", model)[1] == [("ip", 5, 5 + len(a))]
@@ -190,27 +231,59 @@ def test_op9_full_ipv6_addresses_are_found_whole():
 
 def test_op9_every_training_span_has_a_segment():
     for text, spans in pii._islands(9, pii.TRAIN):
-        lattice = pii.Lattice(text, 0, len(text))
-        assert {(s, e) for _, s, e in spans} <= {(lattice.atoms[i][0], lattice.atoms[j - 1][1]) for i, j in lattice.segments}
+        assert {(s, e) for _, s, e in spans} <= set(pii.Lattice(text).places)
 
 
-def test_op9_decoding_is_optimal():
-    """The dynamic program against all segmentations of small islands."""
-    model = pii.trained()
+def test_op9_decoding_is_optimal(model):
+    """The forward program against all segmentations of small islands."""
 
     def best(lattice, scores, at):
-        if at >= len(lattice.atoms):
-            return 0.0
-        return max([best(lattice, scores, at + 1), *(scores[k].max() + best(lattice, scores, j) for k, (i, j) in enumerate(lattice.segments) if i == at)])
-
-    for text, _ in pii._islands(5, 40):
-        lattice = pii.Lattice(text[:24], 0, len(text[:24]))
-        if lattice.segments and len(lattice.atoms) < 14:
-            scores = model.scores(lattice)
-            place = {s: k for k, s in enumerate(lattice.segments)}
-            assert sum(scores[place[i, j], t] for i, j, t in pii._decode(lattice, scores)) == pytest.approx(best(lattice, scores, 0))
+        later = [(k, i) for k, (i, _) in enumerate(lattice.segments) if i >= at]
+        return max([0.0, *(scores[k].max() + best(lattice, scores, lattice.segments[k][1]) for k, _ in later)])
+
+    tried = 0
+    for text, _ in pii._islands(5, 300):
+        lattice = pii.Lattice(text[:30])
+        if 0 < len(lattice.segments) < 14:
+            tried += 1
+            scores = np.array([model.score(f) for f in lattice.features])
+            place = {p: k for k, p in enumerate(lattice.places)}
+            got = own_spans(model, text[:30])
+            assert sum(scores[place[a, z], pii.ALL_KINDS.index(kind)] for kind, a, z in got) == pytest.approx(best(lattice, scores, 0))
             p = pii._marginals(lattice, scores)
             assert (p >= 0).all() and p.sum(axis=1).max() <= 1 + 1e-9
+    assert tried > 50
+
+
+def test_op9_very_long_texts_take_linear_time(model):
+    import time
+
+    r = random.Random(1)
+    address = lambda: ".".join(str(r.randrange(256)) for _ in range(4))
+    makers = [
+        lambda n: " ".join(address() for _ in range(n)), lambda n: "\n".join(f'{address()} [10/Oct/2000:13:55:36 -0700] "GET /b{i}.gif" token=a{i}b{i}c' for i in range(n)), lambda n: "x" * 50 * n + "1", lambda n: "1 2 3 4 5 6 7 " * (n // 4),
+        lambda n: "token=" * n, lambda n: "=a1b2c3d4" * n, lambda n: " dot" * n, lambda n: "a@" * n, lambda n: " " * 50 * n + "1", lambda n: "1a2b:" * (n // 2),
+    ]
+    for make in makers:
+        small, large = make(2_000), make(16_000)
+        t0 = time.perf_counter()
+        pii.all_spans(small, model)
+        t1 = time.perf_counter()
+        pii.all_spans(large, model)
+        assert time.perf_counter() - t1 < 20 * (t1 - t0) + 0.5
+
+
+def test_op9_an_island_gives_the_same_spans_in_any_company(model):
+    """Many entities in one island, against each alone."""
+    r = random.Random(3)
+    pieces = ["(988) 555-2485", "fe80:12ab:33cd::9f1:22", "4111.1111.1111.1111", "a@b.com", "1.2.3.4", "#12345678"]
+    chosen = [r.choice(pieces) for _ in range(300)]
+    text = " x1 ; ".join(chosen)
+    want, at = set(), 0
+    for p in chosen:
+        want |= {(k, at + a, at + z) for k, a, z in pii.all_spans(p, model)[1]}
+        at += len(p) + 6
+    assert set(pii.all_spans(text, model)[1]) == want
 
 
 def test_op9_passes_other_columns_and_empty(spark, odd):
