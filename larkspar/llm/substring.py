@@ -12,15 +12,13 @@ A window is WINDOW consecutive words. A word goes if a window that covers it als
    two windows are taken for one only if words at the same places have equal hashes, or both halves collide.
 3. Removal. Each part marks the words of its windows whose least doc_id is smaller than the document's own.
 
-Parts. A part is a range of rows of one file, by their index in the file, among texts of about one length; a text of a part's size is a part of its own. So a row's
-part follows from the data and a number fixed before the first pass, never from how Spark splits the files: each pass may run with other splits, tasks and
-executors. A task may hold a piece of a part or pieces of several; it sends what it has and reads back what the whole part got. Inputs without a row index (anything but a Parquet
-scan) are first written to the shared folder. Where files are replaced between two passes, a part is missing, which is an error.
+Parts are ranges of rows that follow from the data, not from how Spark splits the files (see larkspar.llm.parts): each pass may run with other splits, tasks and executors. A task
+sends what it has of a part and reads back what the whole part got.
 
 Only packed keys are shuffled, never texts. A window that occurs everywhere is one entry a part, so hot passages make no hot tasks. What goes back to a part is
-read by the part's own tasks from the shared folder (any file system pyarrow knows), from one of at most MOST_BUCKETS folders, so nothing that grows with the corpus is broadcast, collected or listed.
+read by the part's own tasks from the shared folder (any file system pyarrow knows), from one of a bounded number of folders, so nothing that grows with the corpus is broadcast, collected or listed.
 An entry of the exchange is what a part has in a block. Blocks grow with the input so that an entry holds about 1,024 windows: entries grow as the input
-up to about half a TB (blocks of MOST_BLOCK windows), and parts grow from there (80 windows an entry at 100 TB, where splits of MOST_PART bytes save reading a part's rows more than once).
+up to about half a TB (blocks of MOST_BLOCK windows), and parts grow from there (80 windows an entry at 100 TB, where splits of 512 MB save reading a part's rows more than once).
 
 Null text: no words. Null doc_id: larger than every other, so such rows lose what any numbered document has, and nothing to each other. Rows with one doc_id
 never remove from each other. Documents under WINDOW words, empty texts and empty tables lose nothing. Other columns are ignored, or passed through by remove().
@@ -30,27 +28,22 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections import OrderedDict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as ds
 import xxhash
-from pyarrow import fs
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspar.llm.common import Kept, groups, keep, raw, table
+from larkspar.llm.common import groups, raw, table
+from larkspar.llm.parts import Parts, Side
 
 WINDOW, DEPTH, CELLS = 13, 2, 4
 #: Windows a block of the sketch or of the keys is cut for, at least and at most (a block is merged in one task's memory, some 50 bytes a window), and windows after
 #: which a task's sketches are sent off (a part may send several).
 BLOCK, MOST_BLOCK, FLUSH = 1 << 20, 1 << 24, 1 << 22
-#: Bytes of text in a part, at least and at most; folders for what comes back to the parts, at most; bytes of a row group in them.
-LEAST_PART, MOST_PART, MOST_BUCKETS, ROW_GROUP = 32 << 20, 512 << 20, 4096, 2 << 20
 NONE = np.iinfo(np.int64).max
 
 #: Odd bases: of the words' hashes, and of the two halves of a window's key; odd multipliers that mix them; and a random number for each byte.
@@ -271,41 +264,7 @@ def _merged(t: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_frame(out, names)])
 
 
-class _Side:
-    """What the exchange gave back to the parts, read from the shared folder: a folder for each of a bounded number of buckets, sorted by part within.
-
-    make turns a part's rows into what is looked up; the last few are kept, as a task's rows come from few parts at a time."""
-
-    def __init__(self, path: str, buckets: int, make: Callable[[pa.Table], object], most: int = 6):
-        self.path, self.buckets, self.make, self.most = path, buckets, make, most
-        self.held: OrderedDict[int, object] = OrderedDict()
-
-    def of(self, part: int):
-        if part in self.held:
-            self.held.move_to_end(part)
-        else:
-            while len(self.held) >= self.most:
-                self.held.popitem(last=False)
-            self.held[part] = self.make(self._rows(part))
-        return self.held[part]
-
-    def _rows(self, part: int) -> pa.Table:
-        where, path = fs.FileSystem.from_uri(self.path)
-        at = f"{path}/bucket={part % self.buckets}"
-        if where.get_file_info(at).type != fs.FileType.NotFound:
-            t = ds.dataset(at, filesystem=where, format="parquet").to_table(filter=ds.field("part") == part)
-            if t.num_rows:
-                return t
-        raise RuntimeError(f"no exchange for part {part} in {self.path}: the input changed between two passes")
-
-
-def _exchanged(df: DataFrame, name: str, buckets: int) -> Kept:
-    """Rows by part, written so that _Side finds them: small row groups, whose statistics tell where a part is."""
-    rows = df.withColumn("bucket", F.pmod("part", F.lit(buckets)).cast("int")).repartition(buckets, "bucket").sortWithinPartitions("bucket", "part")
-    return Kept(rows, name, by="bucket", **{"parquet.block.size": ROW_GROUP})
-
-
-def _candidates(batches: Iterator[pa.RecordBatch], window: int, bits: int, blocks: int, side: _Side) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], window: int, bits: int, blocks: int, side: Side) -> Iterator[pa.RecordBatch]:
     """Pass 2: (part, blk, n, keys) of the windows estimated repeated; keys: packed first halves, then second halves, least doc_ids and flags of two documents."""
     held: dict[int, list] = {}
     size = 0
@@ -368,7 +327,7 @@ def _least(t: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_frame(out, ["part", "n", "a", "b", "d"])])
 
 
-def _removed(batches: Iterator[pa.RecordBatch], window: int, side: _Side, columns: list[str], texts: bool) -> Iterator[pa.RecordBatch]:
+def _removed(batches: Iterator[pa.RecordBatch], window: int, side: Side, columns: list[str], texts: bool) -> Iterator[pa.RecordBatch]:
     """Pass 3: for each row, its columns, number of words, of removed ones, and the kept words: their SHA-256 or text."""
     for part, batch, at_rows, x in _parts(batches, window):
         drop = np.zeros(len(x.starts), bool)
@@ -409,33 +368,22 @@ def _power(x: float) -> int:
 
 def remove(docs: DataFrame, columns: list[str], window: int = WINDOW, texts: bool = False) -> DataFrame:
     """Of each row of docs (doc_id, text, ...): the named columns, n_words, n_removed, and kept_sha256 (or kept_text, if texts)."""
-    try:
-        docs.select("_metadata.file_path", "_metadata.row_index")
-    except AnalysisException:
-        docs = keep(docs, "documents")
-    size = F.octet_length("text")
-    total, n_rows = docs.agg(F.coalesce(F.sum(size), F.lit(0)), F.count("*")).first()
-    n = max(1 << 16, total // 6)  # about so many windows
-    part_bytes = min(MOST_PART, max(LEAST_PART, total // 8192))
-    block = min(MOST_BLOCK, max(BLOCK, 1024 * 6 * n // part_bytes))
-    blocks, buckets = _power(n / block), min(MOST_BUCKETS, max(1, math.ceil(total / part_bytes)))
+    parts = Parts(docs)
+    docs, part = parts.df, parts.column.alias("__part")
+    n = max(1 << 16, parts.total // 6)  # about so many windows
+    blocks = _power(n / min(MOST_BLOCK, max(BLOCK, 1024 * 6 * n // parts.bytes)))
     bits = max(math.ceil(math.log2(n * CELLS)), int(math.log2(blocks)) + 1)
-    mean = max(1.0, total / max(1, n_rows))
-    # rows of about one size class (a factor of 4) share a part, the larger the fewer
-    wide = F.when(size > mean, F.ceil(F.log2(size / F.lit(mean)) / 2)).otherwise(0)
-    rows_a_part = F.greatest(F.lit(1.0), F.lit(part_bytes / mean) / F.pow(F.lit(4.0), wide))
-    part = F.shiftrightunsigned(F.xxhash64("_metadata.file_path", F.coalesce(wide, F.lit(0)), F.floor(F.col("_metadata.row_index") / F.coalesce(rows_a_part, F.lit(1.0)))), 1).alias("__part")
     thin = docs.select(part, F.col("doc_id").cast("long").alias("__id"), "text")
     sent = thin.mapInArrow(lambda x: _sketches(x, window, bits, blocks), "part long, row int, blk long, n long, cells binary")
     merged = sent.groupBy("row", "blk").applyInArrow(_merged, "part long, row int, blk long, n long, cells binary")
-    cells = _exchanged(merged, "cells", buckets)
-    side = _Side(cells.path, buckets, lambda t: _twice(t, bits))
+    cells = parts.sent_back(merged, "cells")
+    side = Side(cells.path, parts.buckets, lambda t: _twice(t, bits))
     found = thin.mapInArrow(lambda x: _candidates(x, window, bits, blocks, side), "part long, blk long, n long, a binary, b binary, d binary, many binary")
     least = found.groupBy("blk").applyInArrow(_least, "part long, n long, a binary, b binary, d binary")
     # parts without a key that repeats have an empty row too, so that a part that is missing means an error
     all_parts = cells.df.where("row = -1").select("part", F.lit(0).cast("long").alias("n"), *(F.lit(b"").alias(c) for c in "abd"))
-    keys = _exchanged(least.unionByName(all_parts), "keys", buckets)
-    last = _Side(keys.path, buckets, _repeats)
+    keys = parts.sent_back(least.unionByName(all_parts), "keys")
+    last = Side(keys.path, parts.buckets, _repeats)
     cells.drop()
     whole = docs.select(part, F.col("doc_id").cast("long").alias("__id"), "text", *[c for c in columns if c != "text"])
     fields = [f for c in columns for f in docs.schema.fields if f.name == c]

@@ -1,13 +1,14 @@
 """WARC archives, index first (op8).
 
 Writing: a record a page, each a gzip member of its own, in archives of about ARCHIVE_BYTES in the shared folder. Of the records with one payload, that of the
-largest page_id is the response and the others are revisits without the payload. Who is which is decided on (page_id, url, digest) rows alone; only the payloads
-that get written are shuffled, by digest and page_id together, so a payload that a third of the pages share is one row. The writer returns the index: archive,
+largest page_id is the response and the others are revisits without the payload. Who is which is decided on rows of (part, row, page_id, digest, size) alone; the
+revisits among them go back to the parts of the input they are in (see larkspar.llm.parts), and each task of a second scan writes its own pages: no payload is ever
+shuffled. A payload that a third of the pages share is one row of an aggregate. The writer returns the index: archive,
 offset, length, URL and digest of each record. An archive is named at random by the task attempt that writes it and counts only through its index rows, so a
 lost executor leaves at worst a file that nobody reads.
 
-Reading: the selected index rows are sorted by archive and offset, neighbours at most GAP bytes apart are read as one range of at most RANGE bytes, and records are
-parsed from the ranges. Payload digests are verified.
+Reading: the selected index rows are range-partitioned by archive and offset into as many tasks as their bytes ask for, neighbours at most GAP bytes apart are read as one
+range of at most RANGE bytes, and records are parsed from the ranges. Payload digests are verified.
 
 Null html: empty payload. Null or odd URLs are escaped to a valid header. Null page_id: smaller than any other, record name "null". Rows with equal page_id and
 payload: one of them is the candidate for response, the others are revisits of that id. Empty tables give no archives and no rows. Other columns are ignored.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import urllib.parse
 import uuid
 import zlib
@@ -25,12 +27,16 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspar.llm.common import keep, scratch_path, table
+from larkspar.llm.parts import Parts, Side
 
 ARCHIVE_BYTES, GAP, RANGE, MIN_BYTES = 32 << 20, 64 << 10, 8 << 20, 0
+#: Bytes of archives a reading task gets, at most on average, and at least where that leaves cores idle.
+READ_BYTES, LEAST_READ = 64 << 20, 1 << 20
+#: Shared payloads up to which (digest, page_id) of their responses is broadcast, about 100 bytes each; beyond, Spark's shuffled join.
+BROADCAST_SHARED = 20_000
 DATE, PROFILE, NAME = "1970-01-01T00:00:00Z", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "urn:larkspar:page:"
 INDEX = "archive string, offset long, length long, page_id long, url string, digest string, record_type string"
 
@@ -39,27 +45,29 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def decided(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(page_id, url, sha, size, nth, winner) for each page: the hex SHA-1, and for revisits the page_id of the response (winner is null and nth 1 for responses).
-
-    nth numbers rows of equal page_id and payload."""
+def decided(pages: DataFrame, min_bytes: int = MIN_BYTES) -> tuple[Parts, DataFrame, DataFrame]:
+    """The parts of pages; (part, row, page_id, sha, size) of all rows, with the hex SHA-1 of the payload; and (part, row, best) of the revisits: the page_id of their
+    response."""
+    parts = Parts(pages, "html")
     html = F.coalesce("html", F.lit(""))
-    thin = keep(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).cast("long").alias("size")), "thin")
-    best = thin.where(F.col("size") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("best"), F.lit(True).alias("shared"))
-    nth = F.row_number().over(W.partitionBy("sha", "page_id").orderBy("url"))
-    got = thin.join(best, "sha", "left").withColumn("nth", nth)
-    revisit = F.col("shared") & ~(F.col("page_id").eqNullSafe(F.col("best")) & (F.col("nth") == 1))
-    return got.select("page_id", "url", "sha", "size", "nth", "best", F.coalesce(revisit, F.lit(False)).alias("revisit"))
-
-
-def record(page_id: int | None, url: str | None, payload: bytes, sha: str, size: int, nth: int, revisit: bool, of: int | None) -> bytes:
-    """One WARC/1.1 record."""
-    digest = base64.b32encode(bytes.fromhex(sha)).decode()
+    thin = keep(parts.df.select(parts.column.alias("part"), parts.row.alias("row"), F.col("page_id").cast("long").alias("page_id"), F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).cast("long").alias("size")), "thin")
+    # the response: the largest page_id, null before any; of equal ones any, but always the same
+    rank = F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "part", "row")
+    best = thin.where(F.col("size") >= min_bytes).groupBy("sha").agg(F.max(rank).alias("b"), F.count("*").alias("n")).where("n > 1").select("sha", "b")
+    best = keep(best, "shared")
+    near = F.broadcast(best) if best.limit(BROADCAST_SHARED + 1).count() <= BROADCAST_SHARED else best
+    revisits = thin.join(near, "sha").where("part <> b.part or row <> b.row")
+    return parts, thin, revisits.select("part", "row", F.col("b.page_id").alias("best"))
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, key: str, revisit: bool, of: int | None) -> bytes:
+    """One WARC/1.1 record; key tells it from others of the page_id."""
+    digest, size = digest32(payload), len(payload)
     name = NAME + ("null" if page_id is None else str(page_id))
     uri = urllib.parse.quote(url or "urn:larkspar:unknown", safe="/:?#[]@!$&'()*+,;=%-._~")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{name}{f':{nth}' if nth > 1 else ''}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{name}:{key}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest}"]
     if revisit:
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{NAME}{'null' if of is None else of}>"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -88,7 +96,12 @@ def parse(data: bytes) -> dict:
     return {"page_id": page(h["WARC-Record-ID"]), "type": h["WARC-Type"], "url": h["WARC-Target-URI"], "payload": None if revisit else payload, "digest": digest, "size": size, "refers_to": page(h["WARC-Refers-To"]) if revisit else None}
 
 
-def _write(batches: Iterator[pa.RecordBatch], base: str, limit: int) -> Iterator[pa.RecordBatch]:
+def _revisits(t: pa.Table) -> dict[int, int | None]:
+    """Row and response of the revisits of a part."""
+    return {row: best for row, best in zip(t["row"].to_pylist(), t["best"].to_pylist(), strict=True) if row >= 0}
+
+
+def _write(batches: Iterator[pa.RecordBatch], base: str, limit: int, side: Side) -> Iterator[pa.RecordBatch]:
     where, path = fs.FileSystem.from_uri(base)
     out, archive, at, rows = None, "", 0, []
 
@@ -100,7 +113,7 @@ def _write(batches: Iterator[pa.RecordBatch], base: str, limit: int) -> Iterator
         return got
 
     for b in batches:
-        for r in b.to_pylist():
+        for part, row, page_id, url, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if out is None or at >= limit:
                 if out is not None:
                     out.close()
@@ -108,10 +121,11 @@ def _write(batches: Iterator[pa.RecordBatch], base: str, limit: int) -> Iterator
                 archive, at = f"{uuid.uuid4().hex}.warc.gz", 0
                 where.create_dir(path, recursive=True)
                 out = where.open_output_stream(f"{path}/{archive}", compression=None)
+            payload, of = (html or "").encode(), side.of(part)
             z = zlib.compressobj(3, zlib.DEFLATED, 31)
-            data = z.compress(record(r["page_id"], r["url"], (r["html"] or "").encode(), r["sha"], r["size"], r["nth"], r["revisit"], r["best"])) + z.flush()
+            data = z.compress(record(page_id, url, payload, f"{part:x}-{row:x}", row in of, of.get(row))) + z.flush()
             out.write(data)
-            rows.append((archive, at, len(data), r["page_id"], r["url"], base64.b32encode(bytes.fromhex(r["sha"])).decode(), "revisit" if r["revisit"] else "response"))
+            rows.append((archive, at, len(data), page_id, url, digest32(payload), "revisit" if row in of else "response"))
             at += len(data)
     if out is not None:
         out.close()
@@ -120,16 +134,13 @@ def _write(batches: Iterator[pa.RecordBatch], base: str, limit: int) -> Iterator
 
 def write(pages: DataFrame, base: str, min_bytes: int = MIN_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes the archives below base; the index."""
-    rows = keep(decided(pages, min_bytes), "records")
-    html = F.coalesce("html", F.lit(""))
-    texts = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(html.cast("binary")).alias("sha"), html.alias("html"))
-    one = rows.where(~F.col("revisit"))
-    if rows.where("nth > 1").limit(1).count():
-        texts = texts.dropDuplicates(["sha", "page_id"])
-    t = texts.select(F.col("page_id").alias("p"), F.col("sha").alias("s"), "html")
-    full = one.hint("shuffle_merge").join(t, (F.col("sha") == F.col("s")) & F.col("page_id").eqNullSafe(F.col("p"))).drop("p", "s")
-    records = full.unionByName(rows.where("revisit").withColumn("html", F.lit(None).cast("string")))
-    return keep(records.mapInArrow(lambda x: _write(x, base, archive_bytes), INDEX), "index")
+    parts, thin, revisits = decided(pages, min_bytes)
+    # a row for each part, so that a part that is missing means an error
+    there = thin.select("part", F.lit(-1).cast("long").alias("row"), F.lit(None).cast("long").alias("best")).distinct()
+    back = parts.sent_back(revisits.unionByName(there), "revisits", ("row",))
+    side = Side(back.path, parts.buckets, _revisits)
+    rows = parts.df.select(parts.column.alias("part"), parts.row.alias("row"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    return keep(rows.mapInArrow(lambda x: _write(x, base, archive_bytes, side), INDEX), "index")
 
 
 def ranges(rows: list[tuple[int, int]], gap: int = GAP, most: int = RANGE) -> Iterator[tuple[int, int, int, int]]:
@@ -164,7 +175,9 @@ def _read(batches: Iterator[pa.RecordBatch], base: str, make, schema: pa.Schema)
 
 def read(index: DataFrame, base: str, make, fields: str, schema: pa.Schema) -> DataFrame:
     """The records of the selected index rows; make turns what parse() gives into a row of the fields."""
-    sorted_rows = index.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset")
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(1, math.ceil(size / READ_BYTES), min(math.ceil(size / LEAST_READ), index.sparkSession.sparkContext.defaultParallelism))
+    sorted_rows = index.select("archive", "offset", "length").repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     return sorted_rows.mapInArrow(lambda x: _read(x, base, make, schema), fields)
 
 

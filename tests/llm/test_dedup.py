@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from larkspar.llm import simhash, substring
+from larkspar.llm import parts, simhash, substring
 from larkspar.llm.graph import components
 
 WS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -174,7 +174,7 @@ def test_op10_does_not_depend_on_splits(spark, docs, tmp_path, monkeypatch, befo
     name, old = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
         for least in (100_000, 32 << 20):
-            monkeypatch.setattr(substring, "LEAST_PART", least)
+            monkeypatch.setattr(parts, "LEAST_PART", least)
             spark.conf.set(name, before)
             got = substring.remove(spark.read.parquet(path), ["doc_id"])
             first = got.rdd.getNumPartitions()

@@ -300,8 +300,26 @@ def test_op8_archives_are_standard_and_round_trip(spark, pages, tmp_path):
 
 
 def test_op8_small_payloads_can_all_be_responses(spark, pages):
-    got = warc.decided(pages, min_bytes=10)
-    assert got.where("size < 10 and revisit").count() == 0 and got.where("size >= 10 and revisit").count() == 2
+    _, thin, revisits = warc.decided(pages, min_bytes=10)
+    got = thin.join(revisits, ["part", "row"])
+    assert got.where("size < 10").count() == 0 and got.where("size >= 10").count() == 2
+
+
+def test_op8_without_broadcast_is_the_same(spark, pages, folder, monkeypatch):
+    path = folder(pages=pages)
+    monkeypatch.setattr(warc, "BROADCAST_SHARED", 0)
+    assert sorted(map(tuple, warc.op8_warc(spark, path).collect()), key=repr) == brute_warc(pages.collect())
+
+
+def test_op8_hot_payload_over_many_files_and_parts(spark, tmp_path, monkeypatch):
+    """A third of all pages share a payload; parts smaller than a file; other splits in the second scan than in the first."""
+    from larkspar.llm import parts
+
+    monkeypatch.setattr(parts, "LEAST_PART", 20_000)
+    rows = [(i, f"http://h/{i}", "the same page" if i % 3 == 0 else f"page {i // 2} " * (i % 40)) for i in range(3000)]
+    spark.createDataFrame(rows, PAGES).repartition(4).write.parquet(f"file://{tmp_path}/pages.parquet")
+    got = warc.op8_warc(spark, f"file://{tmp_path}")
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_warc([{"page_id": i, "html": h} for i, _, h in rows])
 
 
 def test_op8_ranges():
