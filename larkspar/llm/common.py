@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +77,11 @@ def alnum_words(c: Column) -> Column:
     return F.regexp_extract_all(lower_az(F.coalesce(c, F.lit(""))), F.lit(ALNUM), F.lit(0))
 
 
-def row_key(df: DataFrame) -> Column:
-    """A row's identity by what it says: doc_id and text. Rows equal in both are one document twice."""
-    return F.xxhash64(F.col("doc_id"), F.col("text"))
+def identified(df: DataFrame) -> tuple[DataFrame, Column]:
+    """df and its rows' identity: hash of the file and index in it. Rows that say the same are told apart. Tables without a row index (anything but a Parquet scan) are first written to the
+    shared folder. The column is for use on the DataFrame that is returned, before any join."""
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        df = keep(df, "rows")
+    return df, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").cast("long").alias("row"))

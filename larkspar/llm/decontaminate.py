@@ -11,7 +11,8 @@ a run of MIN_WORDS words within other text counts as it does at a text's edge (t
 to the benchmark's seeds, and the alignments that meet go back to their documents to be verified in the same way. Matches are grouped by document and item,
 combined before the shuffle.
 
-Items under MIN_WORDS words can't be told from chance and are never found. Null or empty texts are clean; a null item text has no seeds. Null ids stay null:
+Items under MIN_WORDS words can't be told from chance in parts, so they count whole and unchanged only: items of SHORTEST words or more anywhere in a text, shorter ones where they are all
+of it. Each length that occurs has a seed of its own, the hash of all its words. Null or empty texts are clean; a null item text has no seeds. Null ids stay null:
 their matches are reported with a null id. Repeated rows are one finding in findings(), and clean() removes each of them. Empty tables give an empty result or
 leave the documents unchanged. Other columns are ignored, or passed through by clean().
 """
@@ -23,12 +24,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspar.llm.common import alnum_words, keep, row_key, table
+from larkspar.llm.common import alnum_words, identified, keep, table
 
 MASKS = ((0, 1, 3, 5, 6, 8), (0, 2, 3, 7, 8, 10))
 #: Found by search: with it, and each mask up to its own last place, every pattern of replacements that SHARE allows in 13 to 20 words leaves a seed. The SQL has MASKS only.
 SHORT = (0, 2, 3, 4, 6)
-MIN_WORDS, REACH, SHARE = 13, 20, 0.8
+MIN_WORDS, REACH, SHARE, SHORTEST = 13, 20, 0.8, 5
 SPAN = 1 + max(map(max, MASKS))
 BROADCAST_SEEDS = 1_000_000
 
@@ -41,24 +42,32 @@ def _at(words: str, place: Column) -> Column:
     return F.get(F.col(words), place)
 
 
-def _seeds(words: str, place: str) -> Column:
-    """The seed of each mask at a place, as an array; null for a mask that goes beyond the last word; a mask's number is part of its seed."""
+def _seeds(words: str, place: str, lengths: list[int]) -> Column:
+    """The seed of each mask at a place, as an array, and that of each length of short items; null for a mask that goes beyond the last word; a mask's number is part of its seed."""
     fits = lambda mask: F.col(place) < F.size(words) - max(mask)
-    return F.array(*(F.when(fits(mask), F.xxhash64(F.lit(m), *(_at(words, F.col(place) + p) for p in mask))) for m, mask in enumerate((*MASKS, SHORT))))
+    found = [F.when(fits(mask), F.xxhash64(F.lit(m), *(_at(words, F.col(place) + p) for p in mask))) for m, mask in enumerate((*MASKS, SHORT))]
+    for n in lengths:
+        ok = F.col(place) <= F.size(words) - n if n >= SHORTEST else F.size(words) == n
+        found.append(F.when(ok, F.xxhash64(F.lit(100 + n), *(_at(words, F.col(place) + p) for p in range(n)))))
+    return F.array(*found)
 
 
-def _places(df: DataFrame, words: str) -> DataFrame:
+def _places(df: DataFrame, words: str, lengths: list[int]) -> DataFrame:
     """A row for each place a seed can start at. The outer explode keeps Spark from testing the word array in a filter, which would build it twice."""
-    last = F.size(words) - 1 - min(map(max, (*MASKS, SHORT)))
+    last = F.size(words) - min(1 + min(map(max, (*MASKS, SHORT))), *lengths, 99)
     got = df.withColumn("place", F.explode_outer(F.when(last >= 0, F.sequence(F.lit(0), last))))
-    return got.withColumn("seed", F.explode_outer(F.when(F.col("place").isNotNull(), _seeds(words, "place"))))
+    return got.withColumn("seed", F.explode_outer(F.when(F.col("place").isNotNull(), _seeds(words, "place", lengths))))
 
 
-def benchmark_seeds(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(iid, item_id, item): each item and its word hashes; (seed, iid, start): its seeds and their places."""
-    rows = benchmark.select(F.xxhash64("item_id", "text").alias("iid"), "item_id", _hashed("text").alias("item")).where(F.size("item") >= MIN_WORDS)
+def benchmark_seeds(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
+    """(iid, item_id, item): each item and its word hashes; (seed, iid, start): its seeds and their places; the lengths of items under MIN_WORDS words."""
+    rows = benchmark.select(F.xxhash64("item_id", "text").alias("iid"), "item_id", _hashed("text").alias("item")).where(F.size("item") > 0)
     items = keep(rows.dropDuplicates(["iid"]), "items")
-    return items, keep(_places(items, "item").where("seed is not null").select("seed", "iid", F.col("place").alias("start")).distinct(), "seeds")
+    lengths = sorted(r[0] for r in items.where(F.size("item") < MIN_WORDS).select(F.size("item")).distinct().collect())  # under MIN_WORDS numbers
+    found = _places(items, "item", []).where(F.size("item") >= MIN_WORDS).where("seed is not null").select("seed", "iid", F.col("place").alias("start"))
+    for n in lengths:
+        found = found.unionByName(items.where(F.size("item") == n).select(F.xxhash64(F.lit(100 + n), *(_at("item", F.lit(p)) for p in range(n))).alias("seed"), "iid", F.lit(0).alias("start")))
+    return items, keep(found.distinct(), "seeds"), lengths
 
 
 def _verified(met: DataFrame) -> DataFrame:
@@ -80,19 +89,21 @@ def _verified(met: DataFrame) -> DataFrame:
 
     least, end = F.greatest(F.col("first"), F.col("start") + SPAN - REACH), F.least(F.col("start") + SPAN, F.col("last"))
     short = some(least, F.col("start"), lambda a: some(F.greatest(a + MIN_WORDS, end), F.least(a + REACH, F.col("last")), lambda b: good(a, b)))
-    met = met.where(good(F.col("low"), F.col("high")) | short)
+    whole = (F.col("first") == 0) & (F.col("last") == F.size("item")) & (equal(F.col("first"), F.col("last")) == F.size("item"))
+    met = met.where(F.when(F.size("item") < MIN_WORDS, whole).otherwise(good(F.col("low"), F.col("high")) | short))
     return met.withColumn("equal_words", equal(F.col("first"), F.col("last")))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Verified matches of (doc_id, text) rows: doc_id, the row's key rid, item_id, where the item's first word would stand, its words and how many are equal."""
-    items, seeds = benchmark_seeds(benchmark)
-    own = docs.select("doc_id", row_key(docs).alias("rid"), "text")
+    """Verified matches of (doc_id, text) rows: doc_id, the row's identity rid, item_id, where the item's first word would stand, its words and how many are equal."""
+    items, seeds, lengths = benchmark_seeds(benchmark)
+    docs, rid = identified(docs)
+    own = docs.select("doc_id", rid.alias("rid"), "text")
     if seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
-        places = _places(own.select("doc_id", "rid", _hashed("text").alias("words")), "words")
+        places = _places(own.select("doc_id", "rid", _hashed("text").alias("words")), "words", lengths)
         met = places.join(F.broadcast(seeds), "seed").withColumn("shift", F.col("place") - F.col("start")).join(F.broadcast(items), "iid")
     else:
-        places = _places(own.select("rid", _hashed("text").alias("words")), "words").select("rid", "place", "seed")
+        places = _places(own.select("rid", _hashed("text").alias("words")), "words", lengths).select("rid", "place", "seed")
         hits = places.join(seeds.hint("shuffle_hash"), "seed").select("rid", "iid", "start", (F.col("place") - F.col("start")).alias("shift")).distinct()
         hits = keep(hits, "hits")
         met = own.hint("shuffle_merge").join(hits, "rid").withColumn("words", _hashed("text")).drop("text").join(items, "iid")
@@ -108,8 +119,9 @@ def findings(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold a benchmark passage; columns stay."""
+    docs, rid = identified(docs)
     hit = matches(docs, benchmark).select(F.col("rid").alias("__rid")).distinct()
-    return docs.withColumn("__rid", row_key(docs)).join(keep(hit, "contaminated"), "__rid", "left_anti").drop("__rid")
+    return docs.withColumn("__rid", rid).join(keep(hit, "contaminated"), "__rid", "left_anti").drop("__rid")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

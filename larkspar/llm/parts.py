@@ -19,13 +19,12 @@ import pyarrow as pa
 import pyarrow.compute
 import pyarrow.dataset as ds
 from pyarrow import fs
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from larkspar.llm.common import Kept, keep
+from larkspar.llm.common import Kept, identified
 
 #: Bytes of text in a part, at least and at most; folders for what comes back to the parts, at most; bytes of a row group in them.
 LEAST_PART, MOST_PART, MOST_BUCKETS, ROW_GROUP = 32 << 20, 512 << 20, 4096, 2 << 20
@@ -37,11 +36,8 @@ class Parts:
     """df: the table; column: a row's part (long, not negative); row: its index in its file; total: bytes of the text column; bytes: those of a part."""
 
     def __init__(self, df: DataFrame, text: str = "text"):
-        try:
-            df.select("_metadata.file_path", "_metadata.row_index")
-        except AnalysisException:
-            df = keep(df, "rows")
-        self.df = df
+        self.df, _ = identified(df)
+        df = self.df
         size = F.octet_length(text)
         self.total, n = df.agg(F.coalesce(F.sum(size), F.lit(0)), F.count("*")).first()
         self.bytes = min(MOST_PART, max(LEAST_PART, self.total // 8192))

@@ -26,6 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspar.llm.common import keep, table, without
+from larkspar.llm.parts import Parts, attach
 
 SHARDS, BYTES_A_RANGE, MIN_RANGES, MAX_RANGES, SAMPLES_A_RANGE, LARGE, WHOLE = 16, 4 << 20, 128, 65_536, 16, 0.01, 0.05
 
@@ -101,9 +102,9 @@ def levels(held: list[int], rest: int) -> list[int]:
     return [int(x) for x in np.cumsum([max(0.0, level - h) for h in held])]
 
 
-def shard(rows: DataFrame, shards: int = SHARDS, thin: DataFrame | None = None) -> DataFrame:
-    """rows (from keyed(): doc_id, __size, __h and any others) with shard and slot; thin: the same rows with these three only, where a table of them exists."""
-    thin, spark = rows if thin is None else thin, rows.sparkSession
+def shard(thin: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """thin (from keyed(): doc_id, __size, __h and others, no texts) with shard and slot."""
+    spark = thin.sparkSession
     total = thin.agg(F.coalesce(F.sum("__size"), F.lit(0))).first()[0]
     cuts = splitters(thin, total)
     by_range = dict(thin.groupBy(_range_of(cuts).alias("r")).agg(F.sum("__size")).collect())  # at most 2 * MAX_RANGES rows
@@ -124,7 +125,7 @@ def shard(rows: DataFrame, shards: int = SHARDS, thin: DataFrame | None = None)
     offsets = F.broadcast(spark.createDataFrame([(p, at, alone[p]) for (p, _), at in zip(exact, starts, strict=False)], "__piece int, __at long, __alone boolean"))
     order = W.partitionBy("__piece").orderBy("__h", "doc_id", "__size")
     group = W.partitionBy("__piece", "__h")
-    x = placed(rows).withColumn("__end", F.sum("__fill").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    x = placed(thin).withColumn("__end", F.sum("__fill").over(order.rowsBetween(W.unboundedPreceding, 0)))
     x = x.withColumn("__group", F.sum("__fill").over(group)).withColumn("__group_end", F.max("__end").over(group)).join(offsets, "__piece")
     row_wise = F.col("__alone") | (F.col("__group") > WHOLE * total / shards)
     twice_mid = F.when(row_wise, 2 * F.col("__end") - F.col("__fill")).otherwise(2 * F.col("__group_end") - F.col("__group")) + 2 * F.col("__at")
@@ -132,21 +133,22 @@ def shard(rows: DataFrame, shards: int = SHARDS, thin: DataFrame | None = None)
     filled = F.size(F.filter(F.array(*(F.lit(2 * e).cast("long") for e in ends[:-1])), lambda e: e <= twice_mid)) if shards > 1 else F.lit(0)
     x = x.withColumn("shard", F.coalesce("__fixed", filled))
     x = x.withColumn("__n", F.row_number().over(W.partitionBy("__piece", "shard").orderBy("__h", "doc_id", "__size")))
-    x = keep(x.select(*rows.columns, "__piece", "shard", "__n"), "shards")
+    x = keep(x.select(*thin.columns, "__piece", "shard", "__n"), "shards")
     counts, at, now = [], 0, None
     for s, p, n in sorted(x.groupBy("shard", "__piece").count().collect()):  # pieces, and a row more for each large unit and boundary at most
         at, now = (0, s) if s != now else (at, now)
         counts.append((s, p, at))
         at += n
     before = F.broadcast(spark.createDataFrame(counts, "shard int, __piece int, __before long"))
-    return x.join(before, ["shard", "__piece"]).withColumn("slot", F.col("__before") + F.col("__n") - 1).select(*rows.columns, "shard", "slot")
+    return x.join(before, ["shard", "__piece"]).withColumn("slot", F.col("__before") + F.col("__n") - 1).select(*thin.columns, "shard", "slot")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """docs with shard and slot."""
-    docs = without(docs, "shard", "slot")
-    rows = keyed(docs)
-    return shard(rows, shards, keep(rows.select("doc_id", "__size", "__h"), "sizes")).select(*docs.columns, "shard", "slot")
+    """docs with shard and slot. Rows are placed by id and size alone and stay where they are (see larkspar.llm.parts): texts aren't shuffled. A sink that wants files by shard has
+    partitionBy("shard")."""
+    parts = Parts(without(docs, "shard", "slot"))
+    thin = keep(keyed(parts.df).select(parts.column.alias("part"), parts.row.alias("row"), "doc_id", "__size", "__h"), "sizes")
+    return attach(parts, shard(thin, shards).select("part", "row", "shard", "slot"), "places")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

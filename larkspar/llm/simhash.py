@@ -9,7 +9,7 @@ are left to an exact way instead: each fingerprint that reaches one lists the 65
 linked to the least of them. Two fingerprints list a common word exactly if they differ in at most two bits, and no word is listed by more than 65 of them, so
 this loses no link and makes no invalid one (any two listers of a word are within two bits of each other).
 
-Equal texts have equal fingerprints and meet once, in the aggregate over fingerprints; only (doc_id, fingerprint) rows are shuffled, never texts.
+Equal texts have equal fingerprints and meet once, in the aggregate over fingerprints; only rows of ids and fingerprints are shuffled, never texts.
 
 Nulls and texts without a word have fingerprint zero and are linked like any other. A null doc_id is larger than every other; a component of nulls only has a
 null id. Repeated rows are kept. An empty table gives an empty result. Other columns are ignored, or passed through by dedup().
@@ -23,13 +23,16 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspar.llm.common import Kept, keep, raw, row_key, table
+from larkspar.llm.common import Kept, keep, raw, table
 from larkspar.llm.graph import components
+from larkspar.llm.parts import Parts, attach
 
 SHINGLE, BITS, HEAVY, SEED = 3, 2, 64, 42
+#: Fingerprints a task expands into probes, at most.
+A_TASK = 1 << 16
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -50,13 +53,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = np.array([fingerprint(t, shingle) for t in raw(b)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found)], ["doc_id", "rid", "f"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found)], [*b.schema.names[:-1], "f"])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, rid, f) for each row of docs; f is the fingerprint as a signed long."""
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("rid"), "text")
-    return got.mapInArrow(lambda batches: _fingerprints(batches, shingle), "doc_id long, rid long, f long")
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *ids: Column) -> DataFrame:
+    """(doc_id, ids, f) for each row of docs; f is the fingerprint as a signed long."""
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *ids, "text")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in got.schema.fields[:-1])
+    return got.mapInArrow(lambda batches: _fingerprints(batches, shingle), f"{schema}, f long")
 
 
 def _segments(f: str) -> list:
@@ -67,6 +71,9 @@ def _segments(f: str) -> list:
 def links(fps: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """Edges (u, v) between distinct fingerprints in column f, whose components are those of all links of at most two differing bits."""
     distinct = fps.select("f").distinct()
+    n = distinct.count()
+    # each fingerprint becomes 66 rows below, so many tasks share them, however few bytes they come from
+    distinct = distinct.repartition(max(distinct.sparkSession.sparkContext.defaultParallelism, n // A_TASK), "f")
     index = distinct.select("f", F.explode(F.array(*_segments("f"))).alias("key"))
     ball = F.array(*(F.struct(F.lit(s).alias("s"), F.lit(1 << i if i >= 0 else 0).cast("long").alias("mask")) for s in (0, 1) for i in range(-1, 32)))
     low, high = _segments("f")
@@ -87,28 +94,29 @@ def links(fps: DataFrame, heavy: int = HEAVY) -> DataFrame:
     return edges
 
 
-def members(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, rid, f, component_id) for each row of docs, component_id being the smallest doc_id of the row's component."""
-    rows = keep(fingerprints(docs, shingle), "fingerprints")
+def members(rows: DataFrame) -> DataFrame:
+    """(f, component_id) for the fingerprints in rows (doc_id, f), component_id being the smallest doc_id of the component."""
     distinct = keep(rows.groupBy("f").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(distinct)).select(F.col("node").alias("f"), "root")
     placed = distinct.join(roots, "f", "left").select("f", F.coalesce("root", "f").alias("root"), "first")
     ids = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = placed.join(ids, "root").select("f", "component_id")
-    return rows.join(of, "f").select("doc_id", "rid", "f", "component_id")
+    return placed.join(ids, "root").select("f", "root", "component_id")
 
 
 def dedup(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """docs with one row of each component: the row of its smallest doc_id (of equal ones, that of the smaller text hash). All columns pass unchanged."""
-    rows = keep(members(docs, shingle).withColumn("group", F.coalesce("component_id", "f")).withColumn("none", F.col("component_id").isNull()), "members")
-    first = rows.groupBy("none", "group").agg(F.min_by("rid", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("rid"))
-    chosen = keep(first.select(F.col("rid").alias("__rid")), "chosen")
-    kept = docs.withColumn("__rid", row_key(docs)).join(chosen, "__rid", "left_semi")
-    if rows.groupBy("rid").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["__rid"])
-    return kept.drop("__rid")
+    """docs with one row of each component_id (of null, of each component): that of its smallest doc_id; of rows with that doc_id, that of the smallest hash of all columns, so reruns choose equal rows. All columns pass
+    unchanged. Rows stay where they are (see larkspar.llm.parts): texts aren't shuffled."""
+    parts = Parts(docs)
+    comparable = [c for c in parts.df.columns if "map<" not in parts.df.schema[c].dataType.simpleString() and "variant" not in parts.df.schema[c].dataType.simpleString()]
+    ids = parts.column.alias("part"), parts.row.alias("row"), F.xxhash64(*comparable).alias("tie")
+    rows = keep(fingerprints(parts.df, shingle, *ids), "fingerprints")
+    found = rows.join(members(rows), "f").withColumn("group", F.struct(F.col("component_id").isNull(), F.coalesce("component_id", "root")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "part", "row")
+    first = found.groupBy("group").agg(F.min(order).alias("x"))
+    return attach(parts, first.select("x.part", "x.row"), "chosen")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = members(table(spark, sf_dir, "documents"))
+    rows = keep(fingerprints(table(spark, sf_dir, "documents")), "fingerprints")
+    got = rows.join(members(rows), "f")
     return got.select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")

@@ -141,15 +141,35 @@ def test_op6_finds_substitutions_and_parts(spark, docs):
         (1, f"intro words {ITEM} and more"), (2, "x " + " ".join(swapped).upper().replace(" ", " - ")), (3, " ".join(half)), (4, " ".join(words[:14])), (5, "nothing of the kind, the old town of the sea"), (6, None), (7, ""), (8, "too short to tell"), (None, ITEM), (1, f"intro words {ITEM} and more"),
     )
     got = decontaminate.findings(d, b).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (2, 1), (4, 1), (None, 1)} and len(got) == 4
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (2, 1), (4, 1), (8, 2), (None, 1)} and len(got) == 5
     assert {r["doc_id"]: r["equal_words"] for r in got}[1] == 20
     extra = d.withColumn("words", F.lit("mine")).withColumn("seed", F.lit(1)).withColumn("item_id", F.lit(2))
     kept = decontaminate.clean(extra, b)
-    assert kept.columns == extra.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 5, 6, 7, 8]
+    assert kept.columns == extra.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 5, 6, 7]
     assert decontaminate.findings(d.limit(0), b).count() == 0 and decontaminate.findings(d, b.limit(0)).count() == 0
     assert decontaminate.clean(d, b.limit(0)).count() == d.count()
 
 
+@pytest.mark.parametrize("seeds", [1_000_000, 0])
+def test_op6_short_items_count_whole(spark, docs, monkeypatch, seeds):
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", seeds)
+    b = spark.createDataFrame([(1, "one two three four five six"), (2, "yes"), (3, "a b c d"), (4, "l1 l2 l3 l4 l5 l6 l7 l8 l9 l10 l11 l12"), (5, "p q r s t")], "item_id long, text string")
+    d = docs(
+        (1, "say One two, three four FIVE six!"), (2, "one two three four five"), (3, "yes and no"), (4, "Yes!"), (5, "a b c d e"), (6, "A b; c d."), (7, "x l1 l2 l3 l4 l5 l6 l7 l8 l9 l10 l11 l12 x"), (8, "x l1 l2 l3 l4 l5 l6 l7 l8 l9 l10 l11 x l12 x"), (9, "p q r s t"),
+        (10, "one two x three four five six"),
+    )
+    got = {(r["doc_id"], r["item_id"], r["equal_words"]) for r in decontaminate.findings(d, b).collect()}
+    assert got == {(1, 1, 6), (4, 2, 1), (6, 3, 4), (7, 4, 12), (9, 5, 5)}
+    assert {r["doc_id"] for r in decontaminate.clean(d, b).collect()} == {2, 3, 5, 8, 10}
+
+
+def test_op6_finds_a_passage_deep_in_a_very_long_text(spark, docs):
+    b = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    filler = " ".join(f"z{i}" for i in range(60_000))
+    d = docs((1, f"{filler} {ITEM} {filler}"), (2, f"{filler} {filler}"))
+    assert [(r["doc_id"], r["start"]) for r in decontaminate.findings(d, b).collect()] == [(1, 60_000)]
+
+
 def test_op6_finds_short_runs_within_other_text(spark, docs):
     words = ITEM.split()
     b = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
