@@ -77,7 +77,7 @@ def spark_hash(x: int) -> int:
 class Side:
     """What was sent back, for the tasks of a pass. make turns a part's rows into what is looked up; the last few are kept, as a task's rows come from few parts at a time."""
 
-    def __init__(self, path: str, buckets: int, make: Callable[[pa.Table], object], most: int = 6):
+    def __init__(self, path: str, buckets: int, make: Callable[[pa.Table], object], most: int = 3):
         self.path, self.buckets, self.make, self.most = path, buckets, make, most
         self.held: OrderedDict[int, object] = OrderedDict()
 

@@ -43,7 +43,7 @@ from larkspar.llm.parts import Parts, Side
 WINDOW, DEPTH, CELLS = 13, 2, 4
 #: Windows a block of the sketch or of the keys is cut for, at least and at most (a block is merged in one task's memory, some 50 bytes a window), and windows after
 #: which a task's sketches are sent off (a part may send several).
-BLOCK, MOST_BLOCK, FLUSH = 1 << 20, 1 << 24, 1 << 22
+BLOCK, MOST_BLOCK, FLUSH = 1 << 20, 1 << 24, 1 << 21
 NONE = np.iinfo(np.int64).max
 
 #: Odd bases: of the words' hashes, and of the two halves of a window's key; odd multipliers that mix them; and a random number for each byte.
@@ -53,6 +53,8 @@ _BYTE = np.random.default_rng(13).integers(1, 2**63, 256, np.uint64)
 _SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 #: Bytes hashed at once; words longer than LONG are hashed one by one (sums modulo a power of two are weak for long, regular strings).
 CHUNK, LONG = 1 << 19, 32
+#: Rows of a batch whose texts are taken out of Arrow at once.
+ROWS = 512
 
 
 @lru_cache(8)
@@ -178,16 +180,16 @@ def _cells(a: np.ndarray, b: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndar
 
 def _parts(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, Piece]]:
     """A batch's rows by part, in small groups: part, batch, its rows, and the texts' words and windows."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        part, texts = batch.column(batch.schema.get_field_index("__part")).to_numpy(zero_copy_only=False), raw(batch)
-        order = np.argsort(part, kind="stable")
-        for now, cut in _by_part(part[order]):
-            rows = order[cut]
-            own = [texts[i] for i in rows.tolist()]
-            for i, j in groups(own, CHUNK):
-                yield now, batch, rows[i:j], Piece(own[i:j], window)
+    for whole in batches:
+        for low in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(low, ROWS)
+            part, texts = batch.column(batch.schema.get_field_index("__part")).to_numpy(zero_copy_only=False), raw(batch)
+            order = np.argsort(part, kind="stable")
+            for now, cut in _by_part(part[order]):
+                rows = order[cut]
+                own = [texts[i] for i in rows.tolist()]
+                for i, j in groups(own, CHUNK):
+                    yield now, batch, rows[i:j], Piece(own[i:j], window)
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -272,6 +274,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], window: int, bits: int, block
     def send() -> Iterator[pa.RecordBatch]:
         for part, found in held.items():
             a, b, d = (np.concatenate(x) for x in zip(*found, strict=True))
+            found.clear()
             order = np.lexsort((d, b, a))
             a, b, d = a[order], b[order], d[order]
             new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
