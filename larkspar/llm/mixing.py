@@ -40,7 +40,10 @@ def unit_hash(seed: int = SEED) -> Column:
 
 
 def targets(sources: DataFrame, budget: float = BUDGET, epochs: float = EPOCHS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """(source, source_size) -> with weight and target. One row a source comes in, so the windows without a partition are over that small table."""
+    """(source, source_size) -> with weight and target.
+
+    One row a source comes in, never documents, so the windows without a partition see a table of sources: some 50 bytes a row, sorted with spill, so that ten million sources take
+    one task about a minute."""
     by_name = W.orderBy(F.col("source").isNull(), "source")
     weight = F.element_at(F.array(*(F.lit(w) for w in weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
     x = sources.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(epochs)))
@@ -68,7 +71,8 @@ def cutoffs(rows: DataFrame, budget: float = BUDGET, epochs: float = EPOCHS, wei
     edge = keep(edge.select("source", "source_size", "weight", "target", "whole", "need", "edge.bucket", "edge.before"), "edges")
     key = edge.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before", "need")
     inside = rows.withColumn("bucket", F.shiftright("u", shift)).join(F.broadcast(key) if small else key, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    running = F.sum("size").over(W.partitionBy("s").orderBy("u").rangeBetween(W.unboundedPreceding, 0))
+    inside = inside.groupBy("s", "u", "before", "need").agg(F.sum("size").alias("size"))  # null or repeated ids share a hash: one row, combined before the shuffle
+    running = F.sum("size").over(W.partitionBy("s").orderBy("u").rowsBetween(W.unboundedPreceding, 0))
     choices = inside.select("s", "u", (F.col("before") + running).alias("sum"), "need").unionByName(key.select("s", (F.shiftleft("b", shift) - 1).alias("u"), F.col("before").alias("sum"), "need"))
     best = choices.groupBy("s").agg(F.min(F.struct(F.abs(F.col("sum") - F.col("need")), F.col("u"))).alias("best"))
     best = best.select("s", F.col("best.u").alias("cutoff"))

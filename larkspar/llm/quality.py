@@ -9,17 +9,22 @@ the whole corpus in a first pass (fixed-point sums, so reruns agree to the bit);
 without a list of common words share one reference "other" for character classes and have no word comparison. What is collected is one row for each
 of the (at most five) languages and bin. The second pass scores and filters, row by row; nothing is shuffled but the sums.
 
+Texts above LONG bytes are worked on in pieces, so that memory stays at a few times the text whatever it repeats; their windows and lines are told apart by 128 bits of hash instead of byte by
+byte.
+
 Null or empty text: no words, fails. Null or unknown lang: "other". Repeated rows get equal verdicts. Without documents there are no references and no rows.
 Other columns are ignored, or passed through unchanged by filter_quality().
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +39,11 @@ COMMON = {
 }
 LANGS = (*COMMON, "other")
 WORDS = {lang: [w.encode() for w in COMMON.get(lang, "").split()] for lang in LANGS}
+_KNOWN = {lang: frozenset(w) for lang, w in WORDS.items()}
 SYMBOLS = b"#*$%&|<>"
+#: Bytes above which a text is worked on in pieces of CHUNK bytes.
+LONG, CHUNK = 4 << 20, 1 << 20
+_SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 MIN_N_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 #: Length guards, in characters and words; documents a reference needs; and the largest distances that are kept.
 MIN_CHARS, MIN_COMPARED, MIN_REFERENCE, MAX_CLASS, MAX_WORDS = 300, 100, 20, 0.32, 0.36
@@ -53,19 +62,95 @@ def _class_of(b: int) -> int | None:
     return 5 if c in ".,;:!?'\"()-" else 6 if b in SYMBOLS else 7
 
 
+_SYMBOLS = np.frombuffer(SYMBOLS, np.uint8)
+_IN_WORDS = np.array([b for b in range(256) if not 0x80 <= b < 0xC0 and bytes([b]) not in b" \t\n\r\x0b\x0c"])
 _CLASS = np.array([[float(_class_of(b) == k) for k in range(len(CLASSES))] for b in range(256)])
 _MULT = np.random.default_rng(8).integers(0, 2**63, REPEAT_WINDOW, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def _pieces(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """The text cut at white space into pieces of about so many bytes."""
+    i = 0
+    while i < len(text):
+        m = _SPACE.search(text, i + size)
+        j = m.start() if m else len(text)
+        yield text[i:j]
+        i = j
+
+
+def _byte_counts(text: bytes) -> np.ndarray:
+    return sum((np.bincount(np.frombuffer(text, np.uint8, min(CHUNK, len(text) - i), i), minlength=256) for i in range(0, len(text), CHUNK)), np.zeros(256, np.int64))
+
+
+def _window_keys(h: np.ndarray, window: int, multipliers: np.ndarray) -> np.ndarray:
+    n = len(h) - window + 1
+    k = np.zeros(n, np.uint64)
+    for j in range(window):
+        k += h[j : j + n] * multipliers[j]
+    return k
+
+
+def _long_repeats(text: bytes, window: int = REPEAT_WINDOW) -> tuple[int, int]:
+    """n_words and n_repeat_words of a long text in little memory (some 60 bytes a word): windows are told apart by 128 bits of hash."""
+
+    def hashed(f) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint64), *(np.array([f(w) & 0xFFFFFFFFFFFFFFFF for w in p.split()], np.uint64) for p in _pieces(text))])
+
+    h = hashed(hash)
+    n_words = len(h)
+    if n_words <= window:
+        return n_words, 0
+    k = _window_keys(h, window, _MULT)
+    del h
+    s = np.sort(k)
+    twice = np.unique(s[1:][s[1:] == s[:-1]])
+    del s
+    if not len(twice):
+        return n_words, 0
+    place = np.minimum(np.searchsorted(twice, k), len(twice) - 1)
+    at = np.flatnonzero(twice[place] == k)
+    del place
+    k, other = k[at], _window_keys(hashed(xxhash.xxh3_64_intdigest), window, _MULT[::-1])[at]
+    order = np.lexsort((other, k))
+    same = (k[order][1:] == k[order][:-1]) & (other[order][1:] == other[order][:-1])
+    at = at[order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]]
+    cover = np.zeros(n_words + 1, np.int32)
+    cover[at] += 1
+    cover[at + window] -= 1
+    return n_words, int((np.cumsum(cover) > 0).sum())
+
+
+def n_and_repeats(text: bytes) -> tuple[int, int]:
+    """n_words and n_repeat_words."""
+    if len(text) > LONG:
+        return _long_repeats(text)
+    words = text.split()
+    return len(words), repeated_words(words)
+
+
+def _dup_lines(text: bytes) -> int:
+    """Lines with a word that equal an earlier one; in long texts told apart by 128 bits of hash."""
+    if len(text) <= LONG:
+        lines = [x for x in text.split(b"\n") if x.strip()]
+        return len(lines) - len(set(lines))
+    found, i = [], 0
+    while i < len(text):  # whole lines of about a piece together
+        j = text.find(b"\n", i + CHUNK)
+        j = len(text) if j < 0 else j
+        found.append(np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in text[i:j].split(b"\n") if x.strip()), "<u8").reshape(-1, 2))
+        i = j + 1
+    h = np.concatenate([np.zeros((0, 2), "<u8"), *found])
+    order = np.lexsort((h[:, 0], h[:, 1]))
+    return int((h[order][1:] == h[order][:-1]).all(axis=1).sum())
+
+
 def repeated_words(words: list[bytes], window: int = REPEAT_WINDOW) -> int:
     """Words in windows that stand twice or more in the text. Hashes find the windows, comparing them settles it."""
     n = len(words) - window + 1
     if n < 2:
         return 0
     h = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
-    k = np.zeros(n, np.uint64)
-    for j in range(window):
-        k += h[j : j + n] * _MULT[j]
+    k = _window_keys(h, window, _MULT)
     s = np.sort(k)
     twice = s[1:][s[1:] == s[:-1]]
     if not len(twice):
@@ -83,10 +168,9 @@ def repeated_words(words: list[bytes], window: int = REPEAT_WINDOW) -> int:
 
 def base(text: bytes) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    words = text.split()
-    lines = [x for x in text.split(b"\n") if x.strip()]
-    chars = len(b"".join(words).decode("utf-8", "replace"))
-    return len(words), chars, sum(text.count(c) for c in SYMBOLS), len(lines) - len(set(lines)), repeated_words(words)
+    n, repeats = n_and_repeats(text)
+    counts = _byte_counts(text)
+    return n, int(counts[_IN_WORDS].sum()), int(counts[_SYMBOLS].sum()), _dup_lines(text), repeats
 
 
 def failed(n_words: int, n_repeat: int) -> bool:
@@ -95,16 +179,19 @@ def failed(n_words: int, n_repeat: int) -> bool:
 
 def histograms(text: bytes, lang: str) -> tuple[np.ndarray | None, np.ndarray | None]:
     """Normalised histograms of character classes, and of common words with all others as one last bin; None where the text is too short or the list empty."""
-    classes = np.bincount(np.frombuffer(text, np.uint8), minlength=256) @ _CLASS
+    classes = _byte_counts(text) @ _CLASS
     chars = classes.sum()
-    known = WORDS[lang]
-    words = text.translate(ALNUM_BYTES).split() if known else []
+    known = _KNOWN[lang]
     c = classes / chars if chars >= MIN_CHARS else None
-    if len(words) < MIN_COMPARED:
+    n, times = 0, Counter()
+    for p in (text,) if len(text) <= LONG else _pieces(text):
+        words = p.translate(ALNUM_BYTES).split() if known else []
+        n += len(words)
+        times.update(filter(known.__contains__, words))
+    if n < MIN_COMPARED:
         return c, None
-    times = Counter(words)
-    counts = [times[w] for w in known]
-    return c, np.array([*counts, len(words) - sum(counts)]) / len(words)
+    counts = [times[w] for w in WORDS[lang]]
+    return c, np.array([*counts, n - sum(counts)]) / n
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -124,8 +211,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n: Counter = Counter()
     for b in batches:
         for text, lang in zip(raw(b), _langs(b), strict=True):
-            words = text.split()
-            if failed(len(words), repeated_words(words)):
+            if failed(*n_and_repeats(text)):
                 continue
             for kind, h in enumerate(histograms(text, lang)):
                 if h is not None:
@@ -186,8 +272,7 @@ def filter_quality(docs: DataFrame) -> DataFrame:
         for b in batches:
             keep = []
             for text, lang in zip(raw(b), _langs(b), strict=True):
-                words = text.split()
-                bad = failed(len(words), repeated_words(words))
+                bad = failed(*n_and_repeats(text))
                 keep.append(not bad and _kept(bad, distances(text, lang, refs)))
             yield b.filter(pa.array(keep, pa.bool_()))
 

@@ -60,6 +60,19 @@ def test_op7_sources_come_near_their_targets(spark):
         assert abs(r["taken"] - r["target"]) <= r["most"]
 
 
+def test_op7_without_broadcast_is_the_same(spark, sf, monkeypatch):
+    want = result(mixing.op7_mixing(spark, sf))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert result(mixing.op7_mixing(spark, sf)) == want and want
+
+
+def test_op7_null_and_repeated_ids_share_a_hash(spark, docs, folder):
+    d = docs(*[(None, "a b c", "en", "s")] * 500, *[(7, "a b", "en", "s")] * 100, *[(i, "x y z", "en", "t") for i in range(1000, 1300)], (None, None, None, None))
+    got = mixing.op7_mixing(spark, folder(documents=d)).collect()
+    assert len(got) == 901 and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    assert len({(r["doc_id"], r["size"], r["taken"]) for r in got if r["size"] in (2, 3) and r["doc_id"] in (None, 7)}) == 2
+
+
 def test_mix_repeats_rows(spark, odd):
     got = mixing.mix(odd)
     assert got.columns == odd.columns
@@ -221,6 +234,56 @@ def test_op5_held_out(spark):
     assert auc > 0.97 and (s[y] >= 0.3).mean() > 0.98 and (s[~y] < 0.3).mean() > 0.6
 
 
+def plain_features(text):
+    words, seen = text.split(), {0}
+    stream = [(1 << 32) if i and w == words[i - 1] else zlib.crc32(w) for i, w in enumerate(words)]
+    low = (1 << 64) - 1
+    seen |= {(h * 0xC2B2AE3D27D4EB4F & low) >> 44 for h in stream}
+    seen |= {((a * 0x9E3779B97F4A7C15 + b) * 0xD6E8FEB86659FD93 & low) >> 44 for a, b in itertools.pairwise(stream)}
+    return sorted(seen)
+
+
+def test_op5_equals_a_plain_loop(spark, sf):
+    """The whole query again: features as sets, FTRL updates one weight at a time, in the order of the sample's hashes."""
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality", F.xxhash64("doc_id").alias("h")).orderBy("h").collect()
+    sample = [(plain_features(docs[r["doc_id"]]), r["quality"]) for r in labels if zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    z, n = {}, {}
+
+    def weight(k):
+        if abs(z.get(k, 0.0)) <= classifier.L1:
+            return 0.0
+        return -(z[k] - math.copysign(classifier.L1, z[k])) / ((classifier.BETA + math.sqrt(n[k])) / classifier.ALPHA + classifier.L2)
+
+    def chance(at):
+        return 1 / (1 + math.exp(-max(-35, min(35, sum(map(weight, at)) / math.sqrt(len(at))))))
+
+    for _ in range(classifier.EPOCHS):
+        for at, y in sample:
+            g = (chance(at) - y) / math.sqrt(len(at))
+            for k, w in [(k, weight(k)) for k in at]:
+                old = n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / classifier.ALPHA * w
+                n[k] = old + g * g
+    got = {r["doc_id"]: r for r in classifier.op5_classifier(spark, sf).collect()}
+    assert got.keys() == docs.keys() and len(sample) > 20
+    for i, text in docs.items():
+        s = chance(plain_features(text))
+        assert got[i]["score"] == pytest.approx(s, abs=1e-6) and (got[i]["predicted"] == (s >= 0.3) or abs(s - 0.3) < 1e-6)
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_op5_repeated_ids_and_rows(spark, docs, folder):
+    """Many documents of one id, and many repeated rows, don't outgrow the sample."""
+    d = docs(*[(1, f"good words number {i}") for i in range(200)], *[(2, "bad bad bad")] * 300, *[(i, "some other text") for i in range(3, 9)])
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0), (4, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")
+    model = classifier.train(d, labels, sample=50)
+    again = classifier.train(d.unionByName(d).repartition(5), labels, sample=50)
+    assert (model[0] == again[0]).all() and (model[1] == again[1]).all()
+    got = classifier.op5_classifier(spark, folder(documents=d, labels=labels))
+    assert got.count() == d.count() and got.where("score is null or score < 0 or score > 1").count() == 0
+
+
 def test_op5_held_out_labels_and_metadata_do_not_matter(spark, sf, folder):
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     a = result(classifier.op5_classifier(spark, folder(documents=d, labels=labels)))
@@ -241,10 +304,13 @@ def test_op5_odd_rows(spark, odd, folder):
 
 
 def test_op5_features_of_chunks_equal_those_of_the_whole(monkeypatch):
-    text = " ".join(f"w{i % 50}" for i in range(1000)).encode()
-    whole = classifier.features(text)
-    monkeypatch.setattr(classifier, "CHUNK", 7)
-    assert (classifier.features(text)[0] == whole[0]).all()
+    for text in (" ".join(f"w{i % 50}" for i in range(1000)).encode(), " ".join(f"w{i // 5}" for i in range(300)).encode(), b"a " * 50, b"a", b"a b", b""):
+        monkeypatch.setattr(classifier, "CHUNK", 200_000)
+        whole = classifier.features(text)
+        assert whole[0].tolist() == plain_features(text)
+        for chunk in (1, 2, 7):
+            monkeypatch.setattr(classifier, "CHUNK", chunk)
+            assert (classifier.features(text)[0] == whole[0]).all()
 
 
 def test_ftrl_learns_by_the_formula():

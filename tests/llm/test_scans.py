@@ -79,6 +79,29 @@ def test_op3_base_equals_brute_force(spark, sf, odd, folder, which):
     assert got.where("base_failed and kept").count() == 0
 
 
+def test_op3_long_texts_in_pieces_are_the_same(monkeypatch):
+    r = random.Random(5)
+    texts = ["", " ", "a", "\n\n a\n\n a \n", "x " * 500, " ".join(f"w{r.randrange(40)}" for _ in range(4000)), "\n".join(f"line {r.randrange(30)} of it" for _ in range(900)) + "\n", "é\n" * 300 + "Ä b\u00a0c|" * 200, "a" * 5000 + " b"]
+    want = [(quality.base(t.encode()), quality.n_and_repeats(t.encode()), quality.histograms(t.encode(), "fr")) for t in texts]
+    for t, (b, _, _) in zip(texts, want, strict=True):
+        assert b == brute_quality(t)[:5]
+    monkeypatch.setattr(quality, "LONG", -1)
+    monkeypatch.setattr(quality, "CHUNK", 64)
+    for t, (b, n, h) in zip(texts, want, strict=True):
+        assert (quality.base(t.encode()), quality.n_and_repeats(t.encode())) == (b, n)
+        for x, y in zip(quality.histograms(t.encode(), "fr"), h, strict=True):
+            assert (x is None and y is None) or (x == y).all()
+
+
+def test_op3_repetitive_long_text_in_bounded_memory():
+    """50 MB that repeat eight words, in a process of its own with 1 GB."""
+    import subprocess
+    import sys
+
+    code = "import resource; from larkspar.llm import quality; a = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; t = b'the same eight words again and again here\\n' * 1_200_000; n = quality.base(t); b = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; assert n[4] == 9_600_000 and b - a < 1_000_000, (n, b - a)"
+    subprocess.run([sys.executable, "-c", code], check=True)
+
+
 def test_op3_verdict_by_hand(spark, sf):
     """References and distances again, by plain Python over all rows."""
     rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
