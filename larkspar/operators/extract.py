@@ -14,58 +14,44 @@ from pyspark.sql import DataFrame
 
 from larkspar.functions.scalars import LANGUAGES
 from larkspar.schemas import RAW_UNIT, ddl
+from larkspar.tables import spread
 
-_WORD = re.compile(r"[^\W\d]\w*|`[^`]+`")
+#: What a lexer has to know of, in the order it is tried at a place: line comments, starts of block comments (which nest), literals. Unterminated ones reach to the end.
+_RUST = re.compile(r"""//[^\n]*+|(?P<block>/\*)|(?<!\w)(?:br|r)(?P<hashes>\#*)"(?s:.*?)(?:"(?P=hashes)|\Z)|"(?:[^"\\]|\\[\s\S]?)*+"?|'(?:\\u\{[0-9a-fA-F]+\}|\\x[0-9a-fA-F]{2}|\\.|[^\\'\n])'""")
+_SWIFT = re.compile(r"""//[^\n]*+|(?P<block>/\*)|\"\"\"(?s:.*?)(?:\"\"\"|\Z)|(?<!\w)(?P<hashes>\#+)"(?s:.*?)(?:"(?P=hashes)|\Z)|"(?:[^"\\]|\\[\s\S]?)*+"?""")
+_NEST = re.compile(r"/\*|\*/")
+_SHOWN = re.compile(r"[^\n]+")
+
+
+def _spaces(m: re.Match) -> str:
+    return " " * len(m[0])
 
 
 def blanked(code: str, language: str) -> str:
     """The code with comments and literals replaced by spaces of equal length (line breaks stay)."""
-    out, i, n = list(code), 0, len(code)
-
-    def wipe(a: int, b: int) -> None:
-        for k in range(a, min(b, n)):
-            if out[k] != "\n":
-                out[k] = " "
-
-    while i < n:
-        if code.startswith("//", i):
-            j = code.find("\n", i)
-            j = n if j < 0 else j
-        elif code.startswith("/*", i):
-            depth, j = 1, i + 2
-            while j < n and depth:
-                if code.startswith("/*", j):
-                    depth, j = depth + 1, j + 2
-                elif code.startswith("*/", j):
-                    depth, j = depth - 1, j + 2
-                else:
-                    j += 1
-        elif language == "swift" and code.startswith('"""', i):
-            j = code.find('"""', i + 3)
-            j = n if j < 0 else j + 3
-        elif (m := re.compile(r'(?:br|r)(#*)"' if language == "rust" else r'(#+)"').match(code, i)) and (i == 0 or not (code[i - 1].isalnum() or code[i - 1] == "_")):
-            end = '"' + m[1]
-            j = code.find(end, m.end())
-            j = n if j < 0 else j + len(end)
-        elif code[i] == '"':
-            j = i + 1
-            while j < n and code[j] != '"':
-                j += 2 if code[j] == "\\" else 1
-            j += 1
-        elif language == "rust" and (m := re.compile(r"'(?:\\u\{[0-9a-fA-F]+\}|\\x[0-9a-fA-F]{2}|\\.|[^\\'\n])'").match(code, i)):
-            j = m.end()
-        else:
-            i += 1
-            continue
-        wipe(i, j)
-        i = j
-    return "".join(out)
+    lexer, out, at = _RUST if language == "rust" else _SWIFT, [], 0
+    while m := lexer.search(code, at):
+        end = m.end()
+        if m["block"]:
+            depth = 1
+            while depth:
+                nest = _NEST.search(code, end)
+                if not nest:
+                    end = len(code)
+                    break
+                depth, end = depth + (1 if nest[0] == "/*" else -1), nest.end()
+        out += [code[at : m.start()], _SHOWN.sub(_spaces, code[m.start() : end])]
+        at = end
+    return "".join(out) + code[at:]
+
+
+_BRACES, _BODY, _FIELD = re.compile("[{}]"), re.compile(r"[()\[\]{};]"), re.compile(r"[()\[\]{}<>,]")
 
 
 def _close(code: str, at: int) -> int:
     """The place after the brace that closes the one at this place."""
     depth = 0
-    for m in re.compile("[{}]").finditer(code, at):
+    for m in _BRACES.finditer(code, at):
         depth += 1 if m[0] == "{" else -1
         if not depth:
             return m.end()
@@ -75,7 +61,7 @@ def _close(code: str, at: int) -> int:
 def _body(code: str, at: int, end: int) -> int | None:
     """The brace that opens the body of a declaration, or None if it ends without one."""
     depth = 0
-    for m in re.compile(r"[()\[\]{};\n]").finditer(code, at, end):
+    for m in _BODY.finditer(code, at, end):
         c = m[0]
         if c in "([":
             depth += 1
@@ -91,7 +77,7 @@ def _body(code: str, at: int, end: int) -> int | None:
 def _fields(code: str, clean: str, start: int, end: int) -> list[str]:
     """The comma-separated fields of a struct's braces, as written, without attributes and comments before them."""
     out, depth, last = [], 0, start
-    for m in re.compile(r"[()\[\]{}<>,]").finditer(clean, start, end):
+    for m in _FIELD.finditer(clean, start, end):
         c = m[0]
         if c in "([{<":
             depth += 1
@@ -219,7 +205,8 @@ def functions_of(code: str, path: str, min_lines: int = 5, strict_names: bool =
 
 
 def extract_functions(files: DataFrame, min_lines: int = 5, keep: list[str] | None = None, strict_names: bool = False) -> DataFrame:
-    """RAW_UNIT rows of (file_path, content) files, with the kept columns of the file before them. Files are parsed where they are; nothing is shuffled."""
+    """RAW_UNIT rows of (file_path, content) files, with the kept columns of the file before them. Files are parsed where they are; nothing is shuffled, unless there are fewer splits than
+    cores."""
     keep = keep or []
     names = [f.name for f in RAW_UNIT]
 
@@ -233,4 +220,4 @@ def extract_functions(files: DataFrame, min_lines: int = 5, keep: list[str] | No
 
     kinds = {f.name: f.dataType.simpleString() for f in files.schema}
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), ddl(RAW_UNIT)])
-    return files.select(*dict.fromkeys(["file_path", "content", *keep])).mapInPandas(parse, schema)
+    return spread(files.select(*dict.fromkeys(["file_path", "content", *keep]))).mapInPandas(parse, schema)

@@ -25,7 +25,9 @@ from larkspar.functions.vectors import dot, norm
 from larkspar.tables import written
 
 BROADCAST_BYTES, BLOCK_BYTES, PIVOTS = 64 << 20, 32 << 20, 64
-_ROWS, MARGIN = 1024, 1e-4
+#: Stands for a null group.
+NONE = -(1 << 63)
+_ROWS, _COLUMNS, MARGIN = 1024, 16_384, 1e-4
 
 
 def _unit(vectors: list | np.ndarray) -> np.ndarray:
@@ -39,26 +41,50 @@ def _unit(vectors: list | np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def _hits(ids: pa.Array, a: np.ndarray, other: pa.Array, b: np.ndarray, threshold: float | None, k: int | None, names: tuple[str, ...] = ("q", "c", "similarity")) -> Iterator[pa.RecordBatch]:
-    """(id, other id, similarity) of two sets of unit vectors: those at or above the threshold, of each id the best k (and whatever comes within MARGIN of the last of them).
+def _hits(ids: pa.Array, a: np.ndarray, other: pa.Array, b: np.ndarray, threshold: float | None, k: int | None, names: tuple[str, ...] = ("q", "c", "similarity"), same: tuple[np.ndarray, np.ndarray, bool] | None = None) -> Iterator[pa.RecordBatch]:
+    """(id, other id, similarity) of two sets of unit vectors: those at or above the threshold, of each id the best k (and those as similar as the last of them).
 
-    Single precision finds them, with a margin; those found are computed again in double precision."""
+    Tiles of _ROWS by _COLUMNS are multiplied in single precision, which finds candidates with a margin; those found are computed again in double precision. With k, what the
+    tiles so far have found bars what is below each row's k-th best. same: numbers of the ids and of the others, and whether only equal or only different ones may meet (negative: any)."""
     narrow = b.astype(np.float32).T
     for i in range(0, len(ids), _ROWS):
         x = a[i : i + _ROWS]
-        s = x.astype(np.float32) @ narrow
-        ok = ~np.isnan(s) if threshold is None else s >= threshold - MARGIN
-        if k is not None and k < s.shape[1] and ok.sum(axis=1).max() > k:
-            s = np.where(ok, s, -np.inf)
-            ok &= s >= np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k][:, None] - MARGIN
-        rows, columns = np.nonzero(ok)
-        for j in range(0, len(rows), 65_536):
-            r, c = rows[j : j + 65_536], columns[j : j + 65_536]
-            exact = np.einsum("ij,ij->i", x[r], b[c])
-            if threshold is not None:
-                keep = exact.astype(np.float32) >= np.float32(threshold)
-                r, c, exact = r[keep], c[keep], exact[keep]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(r + i)), other.take(pa.array(c)), pa.array(exact)], list(names))
+        x32 = x.astype(np.float32)
+        bar = np.full(len(x), -np.inf if threshold is None else threshold - MARGIN, np.float32)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        best = np.full((len(x), 0), -np.inf, np.float32)
+        for j in range(0, narrow.shape[1], _COLUMNS):
+            s = x32 @ narrow[:, j : j + _COLUMNS]
+            ok = ~np.isnan(s)
+            if same:
+                mine, theirs, equal = same[0][i : i + _ROWS, None], same[1][None, j : j + _COLUMNS]
+                ok &= (mine < 0) | ((mine == theirs) == equal)
+            ok &= s >= bar[:, None]
+            if k is not None and ok.any():
+                best = np.concatenate([best, np.where(ok, s, -np.inf)], axis=1)
+                if best.shape[1] > k:
+                    best = np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k :]
+                    bar = np.maximum(bar, best.min(axis=1) - MARGIN)
+                    ok &= s >= bar[:, None]
+            rows, columns = np.nonzero(ok)
+            for n in range(0, len(rows), 65_536):
+                r, c = rows[n : n + 65_536], columns[n : n + 65_536] + j
+                exact = np.einsum("ij,ij->i", x[r], b[c])
+                if threshold is not None:
+                    keep = exact.astype(np.float32) >= np.float32(threshold)
+                    r, c, exact = r[keep], c[keep], exact[keep]
+                if k is None:
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(r + i)), other.take(pa.array(c)), pa.array(exact)], list(names))
+                else:
+                    found.append((r, c, exact))
+        if found:
+            r, c, exact = (np.concatenate(y) for y in zip(*found, strict=True))
+            order = np.lexsort((-exact, r))
+            r, c, exact = r[order], c[order], exact[order]
+            first = np.searchsorted(r, r)  # where each row's best stands
+            last = np.minimum(first + k - 1, np.searchsorted(r, r, "right") - 1)
+            keep = exact >= exact[last]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(r[keep] + i)), other.take(pa.array(c[keep])), pa.array(exact[keep])], list(names))
 
 
 def _size(df: DataFrame) -> tuple[int, int]:
@@ -66,11 +92,13 @@ def _size(df: DataFrame) -> tuple[int, int]:
     return n, 8 * n * (dims or 1)
 
 
-def block_join(queries: DataFrame, corpus: DataFrame, threshold: float | None = None, k: int | None = None, broadcast_bytes: int = BROADCAST_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def block_join(queries: DataFrame, corpus: DataFrame, threshold: float | None = None, k: int | None = None, broadcast_bytes: int = BROADCAST_BYTES, block_bytes: int = BLOCK_BYTES, same: bool | None = None) -> DataFrame:
     """(q, c, similarity) for queries (q, v) against corpus (c, v): cosine at least threshold, of each q the best k (ties by c). Null vectors are left out.
 
-    Keys may be of any orderable type; each q and c is taken to be unique."""
-    queries, corpus = queries.where("v is not null").select("q", "v"), corpus.where("v is not null").select("c", "v")
+    Keys may be of any orderable type; each q and c is taken to be unique. same: both sides have a number g, and before the k are chosen only those of equal (True) or different (False) g
+    count; a null g of a query takes all, a null g of the corpus differs from any."""
+    extra = [] if same is None else [F.coalesce(F.col("g").cast("long"), F.lit(NONE)).alias("g")]
+    queries, corpus = queries.where("v is not null").select("q", "v", *extra), corpus.where("v is not null").select("c", "v", *extra)
     q_type, c_type = queries.schema["q"].dataType, corpus.schema["c"].dataType
     schema = f"q {q_type.simpleString()}, c {c_type.simpleString()}, similarity double"
     n, size = _size(corpus)
@@ -78,14 +106,14 @@ def block_join(queries: DataFrame, corpus: DataFrame, threshold: float | None =
         return queries.sparkSession.createDataFrame([], schema)
     if size <= broadcast_bytes:
         got = corpus.toArrow()
-        held = queries.sparkSession.sparkContext.broadcast((got["c"].combine_chunks(), _unit(_rows(got["v"]))))
+        held = queries.sparkSession.sparkContext.broadcast((got["c"].combine_chunks(), _unit(_rows(got["v"])), None if same is None else got["g"].to_numpy()))
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            other, b = held.value
+            other, b, theirs = held.value
             for batch in batches:
                 for i in range(0, batch.num_rows, _ROWS):
                     part = batch.slice(i, _ROWS)
-                    yield from _hits(part.column(0), _unit(_rows(part.column(1))), other, b, threshold, k)
+                    yield from _hits(part.column(0), _unit(_rows(part.column(1))), other, b, threshold, k, same=_groups(part, theirs, same))
 
         found = _spread(queries).mapInArrow(near, schema)
     else:
@@ -95,7 +123,7 @@ def block_join(queries: DataFrame, corpus: DataFrame, threshold: float | None =
         right = corpus.withColumn("j", F.pmod(F.xxhash64("c"), F.lit(nc))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<bigint>")))
 
         def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-            return _met(a, b, ("q", "c"), threshold, k)
+            return _met(a, b, ("q", "c"), threshold, k, same)
 
         found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, schema)
     if k is None:
@@ -112,13 +140,22 @@ def _rows(v) -> list | np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(n, -1) if n and not flat.null_count and not v.null_count and (lengths == lengths[0]).all() else v.to_pylist()
 
 
-def _met(a: pa.Table, b: pa.Table, ids: tuple[str, str], threshold: float | None, k: int | None) -> pa.Table:
+def _groups(queries: pa.RecordBatch | pa.Table, theirs: np.ndarray | None, same: bool | None) -> tuple[np.ndarray, np.ndarray, bool] | None:
+    if same is None or theirs is None:
+        return None
+    mine = pa.table(queries)["g"].to_numpy() if isinstance(queries, pa.Table) else queries.column(2).to_numpy()
+    codes = {g: i for i, g in enumerate(np.unique(np.concatenate([mine, theirs])).tolist())}
+    number = lambda x, none: np.array([none if g == NONE else codes[g] for g in x.tolist()], np.int64)
+    return number(mine, -1), number(theirs, -2), same
+
+
+def _met(a: pa.Table, b: pa.Table, ids: tuple[str, str], threshold: float | None, k: int | None, same: bool | None = None) -> pa.Table:
     """_hits() of two blocks that meet."""
     x, y = a[ids[0]].combine_chunks(), b[ids[1]].combine_chunks()
     empty = pa.schema([("q", x.type), ("c", y.type), ("similarity", pa.float64())])
     if not len(x) or not len(y):
         return empty.empty_table()
-    return pa.Table.from_batches(list(_hits(x, _unit(_rows(a["v"])), y, _unit(_rows(b["v"])), threshold, k)), empty)
+    return pa.Table.from_batches(list(_hits(x, _unit(_rows(a["v"])), y, _unit(_rows(b["v"])), threshold, k, same=None if same is None else _groups(a, b["g"].to_numpy(), same))), empty)
 
 
 def _spread(df: DataFrame) -> DataFrame:
