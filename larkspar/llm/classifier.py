@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspar.llm.common import keep, raw, table, without
+from larkspar.llm.common import keep, map_texts, raw, table, without
 
 BITS, SAMPLE, EPOCHS, FOLDS, THRESHOLD = 20, 12_000, 8, 5, 0.3
 ALPHA, BETA, L1, L2 = 30.0, 1.0, 1.0, 0.1
@@ -110,7 +110,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
     pairs = own.select("doc_id", "t").join(chosen, "doc_id").distinct().orderBy("h", "doc_id", "quality", "t").limit(sample)
     pairs = F.broadcast(keep(pairs, "sample"))  # sample rows of four numbers
     texts = own.join(pairs, ["doc_id", "t"]).select("text", "quality", "h", "t")
-    rows = texts.mapInArrow(lambda x: _featured(x, bits), "quality int, h long, t long, at binary, value double")
+    rows = map_texts(texts, lambda x: _featured(x, bits), "quality int, h long, t long, at binary, value double")
     rows = rows.groupBy("h", "t", "quality").agg(F.min("at").alias("at"), F.min("value").alias("value"))  # repeated rows, combined before the shuffle
     turns = rows.repartition(1).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs)))).sortWithinPartitions("epoch", "h", "t", "quality")
     got = turns.select("epoch", "quality", "at", "value").mapInArrow(lambda x: _train(x, bits), "place long, weight double").toPandas()
@@ -137,7 +137,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], columns: list[s
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(columns))), pa.array(out, pa.float64())], [*columns, "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[: len(columns)])
-    return own.mapInArrow(rows, f"{schema}, score double")
+    return map_texts(own, rows, f"{schema}, score double")
 
 
 def op5_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from larkspar.tables import delete
+from larkspar.tables import delete, spread
 from larkspar.tables import shared_path as scratch_path
 
+#: Bytes of an Arrow batch of texts.
+BATCH = 4 << 20
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of plain text: runs without ASCII whitespace.
 SPACED = r"[^\x20\x09-\x0D]+"
@@ -69,6 +73,15 @@ def groups(texts: list[bytes], most: int = 2_000_000) -> Iterator[tuple[int, int
         yield start, len(texts)
 
 
+def map_texts(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow over rows with texts: small files spread over all cores, and batches of at most about BATCH bytes (a setting of the session, which is only ever lowered), as each is held several
+    times by the JVM and by Python."""
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH:
+        spark.conf.set(name, f"{BATCH}b")
+    return spread(df).mapInArrow(f, schema)
+
+
 def lower_az(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspar.llm.common import alnum_words, identified, keep, table
+from larkspar.tables import spread
 
 MASKS = ((0, 1, 3, 5, 6, 8), (0, 2, 3, 7, 8, 10))
 #: Found by search: with it, and each mask up to its own last place, every pattern of replacements that SHARE allows in 13 to 20 words leaves a seed. The SQL has MASKS only.
@@ -98,7 +99,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Verified matches of (doc_id, text) rows: doc_id, the row's identity rid, item_id, where the item's first word would stand, its words and how many are equal."""
     items, seeds, lengths = benchmark_seeds(benchmark)
     docs, rid = identified(docs)
-    own = docs.select("doc_id", rid.alias("rid"), "text")
+    own = spread(docs.select("doc_id", rid.alias("rid"), "text"))
     if seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
         places = _places(own.select("doc_id", "rid", _hashed("text").alias("words")), "words", lengths)
         met = places.join(F.broadcast(seeds), "seed").withColumn("shift", F.col("place") - F.col("start")).join(F.broadcast(items), "iid")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspar.llm.common import ALNUM_BYTES, raw, table, without
+from larkspar.llm.common import ALNUM_BYTES, map_texts, raw, table, without
 
 ANCHORS, TOLERANCE, MIN_SCORE = 4, 2, 0.6
 #: Base phrases and their labels.
@@ -148,7 +148,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch], vocabulary: frozenset[bytes]
 
 def build_index(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> Index:
     vocabulary = frozenset(w for t in templates for w in t.words)
-    counts = docs.select("text").mapInArrow(lambda x: _frequencies(x, vocabulary), "word string, n long").groupBy("word").agg(F.sum("n")).collect()
+    counts = map_texts(docs.select("text"), lambda x: _frequencies(x, vocabulary), "word string, n long").groupBy("word").agg(F.sum("n")).collect()
     got = {w: n for w, n in counts}
     return Index({w: got.get(w.decode(), 0) for w in vocabulary}, got.get("", 0), templates)
 
@@ -177,7 +177,7 @@ def scan(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(columns))), *(pa.array([r[i] for r in out], t) for i, t in enumerate(types))], [*columns, *(f.split()[0] for f in FIELDS.split(", "))])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[: len(columns)])
-    return own.mapInArrow(rows, f"{schema}, {FIELDS}")
+    return map_texts(own, rows, f"{schema}, {FIELDS}")
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

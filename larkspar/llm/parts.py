@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from larkspar.llm.common import Kept, identified
+from larkspar.llm.common import Kept, identified, map_texts
 
 #: Bytes of text in a part, at least and at most; folders for what comes back to the parts, at most; bytes of a row group in them.
 LEAST_PART, MOST_PART, MOST_BUCKETS, ROW_GROUP = 32 << 20, 512 << 20, 4096, 2 << 20
@@ -129,4 +129,4 @@ def attach(parts: Parts, chosen: DataFrame, name: str) -> DataFrame:
     fields = [*parts.df.schema.fields, *(chosen.schema[c] for c in added)]
     schema = StructType([StructField(f.name, f.dataType) for f in fields])
     arrow = to_arrow_schema(schema)
-    return parts.rows.mapInArrow(lambda x: _attach(x, side, added, arrow), schema)
+    return map_texts(parts.rows, lambda x: _attach(x, side, added, arrow), schema)

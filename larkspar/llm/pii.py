@@ -34,7 +34,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspar.llm.common import table, without
+from larkspar.llm.common import map_texts, table, without
 
 #: Kinds of the patterns, and those that only the model finds.
 KINDS = ("email", "ip", "card", "phone")
@@ -569,7 +569,7 @@ def find(docs: DataFrame, columns: list[str] | None = None, model: Model | None
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(columns))), *(pa.array([r[i] for r in out], t) for i, t in enumerate(types))], [*columns, *(f.split()[0] for f in FIELDS.split(", "))])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[: len(columns)])
-    return own.mapInArrow(rows, f"{schema}, {FIELDS}")
+    return map_texts(own, rows, f"{schema}, {FIELDS}")
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspar.llm.common import ALNUM_BYTES, raw, table
+from larkspar.llm.common import ALNUM_BYTES, map_texts, raw, table
 
 #: Frequent function words of each language.
 COMMON = {
@@ -224,7 +224,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def references(docs: DataFrame) -> dict[tuple[str, int], np.ndarray]:
     """By language and kind (0: character classes, 1: common words) the reference histogram. Bounded: five languages, under a hundred bins."""
-    sums = docs.select("text", "lang").mapInArrow(_sums, "lang string, kind int, bin int, n long, total long").groupBy("lang", "kind", "bin").agg(F.sum("n"), F.sum(F.col("total").cast("decimal(38,0)")))
+    sums = map_texts(docs.select("text", "lang"), _sums, "lang string, kind int, bin int, n long, total long").groupBy("lang", "kind", "bin").agg(F.sum("n"), F.sum(F.col("total").cast("decimal(38,0)")))
     found: dict[tuple[str, int], dict[int, float]] = {}
     for lang, kind, i, n, total in sums.collect():
         if n >= MIN_REFERENCE:
@@ -261,7 +261,7 @@ def score(docs: DataFrame, refs: dict[tuple[str, int], np.ndarray]) -> DataFrame
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in out], t) for i, t in enumerate(_TYPES))], ["doc_id", *(f.split()[0] for f in FIELDS.split(", "))])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "lang").mapInArrow(rows, f"doc_id {ids}, {FIELDS}")
+    return map_texts(docs.select("doc_id", "text", "lang"), rows, f"doc_id {ids}, {FIELDS}")
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
@@ -276,7 +276,7 @@ def filter_quality(docs: DataFrame) -> DataFrame:
                 keep.append(not bad and _kept(bad, distances(text, lang, refs)))
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return map_texts(docs, rows, docs.schema)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

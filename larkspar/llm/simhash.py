@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspar.llm.common import Kept, keep, raw, table
+from larkspar.llm.common import Kept, keep, map_texts, raw, table
 from larkspar.llm.graph import components
 from larkspar.llm.parts import Parts, attach
 
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *ids: Column) -> DataF
     """(doc_id, ids, f) for each row of docs; f is the fingerprint as a signed long."""
     got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *ids, "text")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in got.schema.fields[:-1])
-    return got.mapInArrow(lambda batches: _fingerprints(batches, shingle), f"{schema}, f long")
+    return map_texts(got, lambda batches: _fingerprints(batches, shingle), f"{schema}, f long")
 
 
 def _segments(f: str) -> list:

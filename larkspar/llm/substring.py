@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspar.llm.common import groups, raw, table
+from larkspar.llm.common import groups, map_texts, raw, table
 from larkspar.llm.parts import Parts, Side
 
 WINDOW, DEPTH, CELLS = 13, 2, 4
@@ -377,11 +377,11 @@ def remove(docs: DataFrame, columns: list[str], window: int = WINDOW, texts: boo
     blocks = _power(n / min(MOST_BLOCK, max(BLOCK, 1024 * 6 * n // parts.bytes)))
     bits = max(math.ceil(math.log2(n * CELLS)), int(math.log2(blocks)) + 1)
     thin = docs.select(part, F.col("doc_id").cast("long").alias("__id"), "text")
-    sent = thin.mapInArrow(lambda x: _sketches(x, window, bits, blocks), "part long, row int, blk long, n long, cells binary")
+    sent = map_texts(thin, lambda x: _sketches(x, window, bits, blocks), "part long, row int, blk long, n long, cells binary")
     merged = sent.groupBy("row", "blk").applyInArrow(_merged, "part long, row int, blk long, n long, cells binary")
     cells = parts.sent_back(merged, "cells")
     side = Side(cells.path, parts.buckets, lambda t: _twice(t, bits))
-    found = thin.mapInArrow(lambda x: _candidates(x, window, bits, blocks, side), "part long, blk long, n long, a binary, b binary, d binary, many binary")
+    found = map_texts(thin, lambda x: _candidates(x, window, bits, blocks, side), "part long, blk long, n long, a binary, b binary, d binary, many binary")
     least = found.groupBy("blk").applyInArrow(_least, "part long, n long, a binary, b binary, d binary")
     # parts without a key that repeats have an empty row too, so that a part that is missing means an error
     all_parts = cells.df.where("row = -1").select("part", F.lit(0).cast("long").alias("n"), *(F.lit(b"").alias(c) for c in "abd"))
@@ -391,7 +391,7 @@ def remove(docs: DataFrame, columns: list[str], window: int = WINDOW, texts: boo
     whole = docs.select(part, F.col("doc_id").cast("long").alias("__id"), "text", *[c for c in columns if c != "text"])
     fields = [f for c in columns for f in docs.schema.fields if f.name == c]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["n_words long, n_removed long", "kept_text string" if texts else "kept_sha256 string"])
-    return whole.mapInArrow(lambda x: _removed(x, window, last, columns, texts), schema)
+    return map_texts(whole, lambda x: _removed(x, window, last, columns, texts), schema)
 
 
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

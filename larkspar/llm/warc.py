@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspar.llm.common import keep, scratch_path, table
+from larkspar.llm.common import keep, map_texts, scratch_path, table
 from larkspar.llm.parts import Parts, Side
 
 ARCHIVE_BYTES, GAP, RANGE, MIN_BYTES = 32 << 20, 64 << 10, 8 << 20, 0
@@ -140,7 +140,7 @@ def write(pages: DataFrame, base: str, min_bytes: int = MIN_BYTES, archive_bytes
     back = parts.sent_back(revisits.unionByName(there), "revisits", ("row",))
     side = Side(back.path, parts.buckets, _revisits)
     rows = parts.df.select(parts.column.alias("part"), parts.row.alias("row"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    return keep(rows.mapInArrow(lambda x: _write(x, base, archive_bytes, side), INDEX), "index")
+    return keep(map_texts(rows, lambda x: _write(x, base, archive_bytes, side), INDEX), "index")
 
 
 def ranges(rows: list[tuple[int, int]], gap: int = GAP, most: int = RANGE) -> Iterator[tuple[int, int, int, int]]:

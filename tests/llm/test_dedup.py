@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from larkspar.llm import parts, simhash, substring
+from larkspar.llm import common, parts, simhash, substring
 from larkspar.llm.graph import components
 
 WS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -171,6 +171,7 @@ def test_op10_does_not_depend_on_splits(spark, docs, tmp_path, monkeypatch, befo
     path = f"file://{tmp_path}/documents.parquet"
     docs(*rows).repartition(2).write.option("parquet.block.size", 64 << 10).option("parquet.page.size", 16 << 10).parquet(path)
     want = brute_removed(rows)
+    monkeypatch.setattr(common, "spread", lambda df: df)
     name, old = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
         for least in (100_000, 32 << 20):
