@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-import pyarrow.dataset as ds
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,7 +77,7 @@ def spark_hash(x: int) -> int:
 class Side:
     """What was sent back, for the tasks of a pass. make turns a part's rows into what is looked up; the last few are kept, as a task's rows come from few parts at a time."""
 
-    def __init__(self, path: str, buckets: int, make: Callable[[pa.Table], object], most: int = 3):
+    def __init__(self, path: str, buckets: int, make: Callable[[pa.Table], object], most: int = 2):
         self.path, self.buckets, self.make, self.most = path, buckets, make, most
         self.held: OrderedDict[int, object] = OrderedDict()
 
@@ -92,12 +92,24 @@ class Side:
 
     def _rows(self, part: int) -> pa.Table:
         where, path = fs.FileSystem.from_uri(self.path)
-        at = f"{path}/bucket={spark_hash(part) % self.buckets}"
-        if where.get_file_info(at).type != fs.FileType.NotFound:
-            t = ds.dataset(at, filesystem=where, format="parquet").to_table(filter=ds.field("part") == part)
-            if t.num_rows:
-                return t
-        raise RuntimeError(f"no exchange for part {part} in {self.path}: the input changed between two passes")
+        found = []
+        for info in where.get_file_info(fs.FileSelector(f"{path}/bucket={spark_hash(part) % self.buckets}", allow_not_found=True)):
+            if info.base_name.endswith(".parquet"):
+                with where.open_input_file(info.path) as f:
+                    file = pq.ParquetFile(f)
+                    at = file.schema_arrow.get_field_index("part")
+                    groups = []
+                    for g in range(file.num_row_groups):
+                        known = file.metadata.row_group(g).column(at).statistics
+                        if known is None or not known.has_min_max or known.min <= part <= known.max:
+                            groups.append(g)
+                    if groups:
+                        t = file.read_row_groups(groups, use_threads=False)
+                        found.append(t.filter(pa.compute.equal(t["part"], part)))
+        t = pa.concat_tables(found) if found else None
+        if not t:
+            raise RuntimeError(f"no exchange for part {part} in {self.path}: the input changed between two passes")
+        return t
 
 
 def _attach(batches: Iterator[pa.RecordBatch], side: Side, added: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:

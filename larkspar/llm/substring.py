@@ -43,7 +43,7 @@ from larkspar.llm.parts import Parts, Side
 WINDOW, DEPTH, CELLS = 13, 2, 4
 #: Windows a block of the sketch or of the keys is cut for, at least and at most (a block is merged in one task's memory, some 50 bytes a window), and windows after
 #: which a task's sketches are sent off (a part may send several).
-BLOCK, MOST_BLOCK, FLUSH = 1 << 20, 1 << 24, 1 << 21
+BLOCK, MOST_BLOCK, FLUSH = 1 << 20, 1 << 24, 1 << 20
 NONE = np.iinfo(np.int64).max
 
 #: Odd bases: of the words' hashes, and of the two halves of a window's key; odd multipliers that mix them; and a random number for each byte.
