@@ -106,7 +106,7 @@ def _walk(pdf: pd.DataFrame, depth: int) -> list[tuple]:
     """Depth-first order from the group's root, with one visited set for the whole walk: a node that was met first along a long way is not met again along a short one."""
     children: dict[tuple, list[tuple]] = {}
     names: dict[tuple, str] = {}
-    for r in pdf.sort_values("ord", kind="stable").itertuples(index=False):
+    for r in pdf.sort_values(["ord", "dst_file", "dst_line"], kind="stable").itertuples(index=False):
         at = (r.file_path, r.line)
         names[at] = r.name
         if r.dst_file is not None and r.dst_file == r.dst_file:
@@ -128,11 +128,13 @@ def _walk(pdf: pd.DataFrame, depth: int) -> list[tuple]:
 def tree_dfs(nodes: DataFrame, edges: DataFrame, roots: DataFrame, depth: int = 5, incoming: bool = False) -> DataFrame:
     """(root_file, root_line, ord, file_path, line, name, depth): each root's call tree in preorder, as a depth-first walk with a depth bound and one visited set makes it.
 
-    The walk of a root is sequential, but sees only what is within depth calls of it, which tree_bfs() finds with joins; roots are walked in parallel."""
+    The walk of a root is sequential, but sees only what is within depth calls of it, which tree_bfs() finds with joins; roots are walked in parallel. Of parallel edges only the first
+    matters, and edges of the last level don't: what meets in a root's task is a row for each pair of nodes within depth of it that call each other, some 200 bytes each. A root that
+    reaches a few million such pairs needs a task of a GB; tree_bfs() has no such bound."""
     near = tree_bfs(nodes, edges, roots, depth, incoming)
     e = callers(edges) if incoming else edges
-    e = e.select(F.col("src_file").alias("file_path"), F.col("src_line").alias("line"), "dst_file", "dst_line", "ord")
-    rows = near.join(e, KEY, "left").select("root_file", "root_line", *KEY, "name", "dst_file", "dst_line", F.coalesce("ord", F.lit(0)).alias("ord"))
+    e = e.groupBy(F.col("src_file").alias("file_path"), F.col("src_line").alias("line"), "dst_file", "dst_line").agg(F.min("ord").alias("ord"))
+    rows = near.where(F.col("depth") < depth).join(e, KEY, "left").unionByName(near.where(F.col("depth") >= depth), allowMissingColumns=True).select("root_file", "root_line", *KEY, "name", "dst_file", "dst_line", F.coalesce("ord", F.lit(0)).alias("ord"))
     names = ["root_file", "root_line", "ord", "file_path", "line", "name", "depth"]
 
     def walk(groups: Iterator[pd.DataFrame]) -> pd.DataFrame:

@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from larkspar.operators.catalog import cached_embeddings
 
 
+#: Texts sent to a server in one call, at most.
+TOGETHER = 64
+
+
 class Embedder(Protocol):
     def embed(self, text: str) -> list[float]: ...
 
@@ -49,13 +53,33 @@ class HttpEmbedder:
         return HttpEmbedder(self.model, base, self.timeout)
 
     def embed(self, text: str) -> list[float]:
-        body = json.dumps({"model": self.model, "input": text}).encode()
+        return self._ask(text)[0]
+
+    def embed_batch(self, texts: list[str]) -> list[list[float]]:
+        """One call for several texts."""
+        return self._ask(texts)
+
+    def _ask(self, what: str | list[str]) -> list[list[float]]:
+        body = json.dumps({"model": self.model, "input": what}).encode()
         request = urllib.request.Request(f"{self.base}/api/embed", body, {"Content-Type": "application/json"})  # noqa: S310
         with urllib.request.urlopen(request, timeout=self.timeout) as answer:  # noqa: S310
-            return json.load(answer)["embeddings"][0]
+            return json.load(answer)["embeddings"]
 
-    def embed_batch(self, texts: list[str]) -> list[list[float]]:
-        return [self.embed(t) for t in texts]
+
+def _embedded(embedder: Embedder, texts: list[str]) -> list[list[float] | None]:
+    """Together, where the embedder takes several texts; where that fails, one by one, null where one fails."""
+    if len(texts) > 1 and hasattr(embedder, "embed_batch"):
+        try:
+            return list(embedder.embed_batch(texts))
+        except OSError:
+            pass
+    out: list[list[float] | None] = []
+    for t in texts:
+        try:
+            out.append(embedder.embed(t))
+        except OSError:
+            out.append(None)
+    return out
 
 
 def embed_bodies(rows: DataFrame, embedder: Embedder, column: str = "body") -> DataFrame:
@@ -63,12 +87,9 @@ def embed_bodies(rows: DataFrame, embedder: Embedder, column: str = "body") -> D
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for text in pdf[column]:
-                try:
-                    out.append(embedder.embed(text))
-                except OSError:
-                    out.append(None)
+            texts, out = pdf[column].tolist(), []
+            for i in range(0, len(texts), TOGETHER):
+                out += _embedded(embedder, texts[i : i + TOGETHER])
             yield pdf.assign(embedding=pd.Series(out, dtype=object, index=pdf.index))
 
     rows = rows.drop("embedding")

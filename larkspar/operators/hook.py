@@ -16,6 +16,8 @@ from larkspar.operators.review import without_ignored
 from larkspar.operators.similarity import block_join
 
 SCOPES, NOTIFY = ("all", "project", "cross"), ("block", "user")
+#: Ignored partners of a query up to which the join makes room for them.
+MANY_IGNORED = 64
 
 
 @dataclass(frozen=True)
@@ -26,10 +28,11 @@ class HookConfig:
     max_results: int = 3
     notify: str = "block"
     model: str = "bge-m3"
+    scope_first: bool = False
 
     @staticmethod
     def from_env(env: dict[str, str] | None = None, prefix: str = "LARKSPAR_") -> HookConfig:
-        """Defaults, overridden by the environment. Numbers that don't parse keep the default; an unknown scope is all, an unknown way to notify is block."""
+        """Defaults, overridden by the environment (but scope_first, which callers set). Numbers that don't parse keep the default; an unknown scope is all, an unknown way to notify is block."""
         env = dict(os.environ) if env is None else env
         c = HookConfig()
         for name, kind in (("threshold", float), ("min_lines", int), ("max_results", int)):
@@ -55,23 +58,34 @@ def in_scope(scope: str, candidate: Column | str, current: Column | str) -> Colu
 
 
 def similar_units(queries: DataFrame, units: DataFrame, pairs: DataFrame | None, config: HookConfig, scope_first: bool = True) -> DataFrame:
-    """MATCH rows (and query columns event, project_id) for queries (event, qualified_name, file_path, line, project_id, embedding).
+    """MATCH rows (and query columns event, project_id) for queries (event, qualified_name, file_path, line, project_id, embedding); equal queries are one.
 
     Never a unit with itself, never an ignored pair. scope_first: scope is applied before each query's best max_results are chosen. Otherwise the nearest
-    max(3 * max_results, 50) that are neither are taken first, and the threshold, scope and max_results apply to those."""
-    key = F.struct("event", "qualified_name", F.coalesce("project_id", F.lit(-1).cast("long")).alias("p"))
-    q = queries.where("embedding is not null").withColumn("q", F.xxhash64(key, F.col("line"), F.col("file_path")))
-    near = block_join(q.select("q", F.col("embedding").alias("v")), units.select(F.col("qualified_name").alias("c"), F.col("embedding").alias("v")), config.threshold)
-    u = units.select(F.col("qualified_name").alias("similar_name"), F.col("project_id").alias("similar_project"), F.col("file_path").alias("similar_file"), F.col("range_start").alias("similar_line"))
-    got = near.join(q.select("q", "event", F.col("qualified_name").alias("current_name"), F.col("file_path").alias("current_file"), F.col("line").alias("current_line"), "project_id"), "q")
-    got = got.where(F.col("c") != F.col("current_name"))
+    max(3 * max_results, 50) that are neither are taken first, and the threshold, scope and max_results apply to those.
+
+    The join itself keeps each query's best only: as many as are wanted, one more for the unit itself, and as many as it has ignored partners (up to MANY_IGNORED; queries with more
+    are joined by threshold alone)."""
+    wanted = config.max_results if scope_first else max(3 * config.max_results, 50)
+    same = {"project": True, "cross": False}.get(config.scope) if scope_first else None
+    q = queries.where("embedding is not null").select(F.struct("event", "qualified_name", "file_path", "line", "project_id").alias("q"), F.col("embedding").alias("v"), F.col("project_id").alias("g")).dropDuplicates(["q"])
+    corpus = units.select(F.struct("qualified_name", "project_id", "file_path", "range_start").alias("c"), F.col("embedding").alias("v"), F.col("project_id").alias("g"))
+    if pairs is None:
+        near = block_join(q, corpus, config.threshold, wanted + 1, same=same)
+    else:
+        ignored = pairs.where("status = 'ignored'").select(F.explode(F.array("unit_a", "unit_b")).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+        q = q.join(ignored, q["q.qualified_name"] == ignored["name"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        most = q.where(F.col("n") <= MANY_IGNORED).agg(F.max("n")).first()[0] or 0
+        near = block_join(q.where(F.col("n") <= MANY_IGNORED), corpus, config.threshold, wanted + 1 + most, same=same)
+        if q.where(F.col("n") > MANY_IGNORED).limit(1).count():
+            near = near.unionByName(block_join(q.where(F.col("n") > MANY_IGNORED), corpus, config.threshold, same=same))
+    got = near.select("q", "similarity", "q.event", "q.project_id", F.col("q.qualified_name").alias("current_name"), F.col("q.file_path").alias("current_file"), F.col("q.line").alias("current_line"), F.col("c.qualified_name").alias("similar_name"), F.col("c.project_id").alias("similar_project"), F.col("c.file_path").alias("similar_file"), F.col("c.range_start").alias("similar_line"))
+    got = got.where(F.col("similar_name") != F.col("current_name"))
     if pairs is not None:
-        got = without_ignored(got, pairs, "current_name", "c")
-    got = got.withColumnRenamed("c", "similar_name").join(u, "similar_name")
+        got = without_ignored(got, pairs, "current_name", "similar_name")
     got = got.withColumn("is_cross_project", F.coalesce(F.col("similar_project") != F.col("project_id"), F.lit(True)))
     best = W.partitionBy("q").orderBy(F.desc("similarity"), "similar_name")
     if not scope_first:
-        got = got.withColumn("r", F.row_number().over(best)).where(F.col("r") <= max(3 * config.max_results, 50)).drop("r")
+        got = got.withColumn("r", F.row_number().over(best)).where(F.col("r") <= wanted).drop("r")
     got = got.where(in_scope(config.scope, "similar_project", "project_id"))
     got = got.withColumn("r", F.row_number().over(best)).where(F.col("r") <= config.max_results)
     return got.select("event", "project_id", "current_name", "current_file", "current_line", "similar_name", "similar_file", "similar_line", F.col("similarity").cast("float").alias("similarity"), "is_cross_project")
@@ -114,12 +128,13 @@ def edited_units(events: DataFrame, config: HookConfig, embedder: Embedder) -> D
 
 
 def hook_lookup(events: DataFrame, units: DataFrame, pairs: DataFrame | None, projects: DataFrame | None, config: HookConfig, embedder: Embedder) -> DataFrame:
-    """(event, result) for events (event, and the fields of HOOK_EVENT). An event's project is the one whose root path is its cwd."""
+    """(event, result) for events (event, and the fields of HOOK_EVENT). An event's project is the one whose root path is its cwd. Whether
+    scope comes before or after the nearest are chosen is config.scope_first."""
     known = events
     if "project_id" not in events.columns:
         roots = projects.select(F.col("root_path").alias("cwd"), F.col("id").alias("project_id")) if projects is not None else None
         known = events.join(roots, "cwd", "left") if roots is not None else events.withColumn("project_id", F.lit(None).cast("long"))
-    matches = similar_units(edited_units(known, config, embedder), units, pairs, config)
+    matches = similar_units(edited_units(known, config, embedder), units, pairs, config, config.scope_first)
     return results(known, report(matches), config.notify)
 
 

@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspar.functions.scalars import node_id, ref_id
 from larkspar.operators.callgraph import busiest, edges_within, module_edges, modules
+from larkspar.tables import number_rows
 
 MAX_NODES = 100
+#: What lines are put in order by.
+_ORDER = (("a", "long"), ("b", "string"), ("c", "long"), ("d", "long"), ("e", "string"), ("f", "long"))
 
 
-def _lines(*parts: tuple[DataFrame, list]) -> DataFrame:
-    """Numbers the lines of each part in its order, after a header. Parts are bounded by the number of nodes that a diagram shows, or of modules."""
+def _lines(*parts: tuple[DataFrame, list[Column]]) -> DataFrame:
+    """Numbers the lines of each part in its order (the fields of _ORDER, ascending), after a header. Lines are numbered by ranges, so a diagram may have any number of them."""
     spark = parts[0][0].sparkSession
-    got = spark.createDataFrame([(0, 0, "flowchart TD")], "part int, n int, line string")
+    got = spark.createDataFrame([(0, "flowchart TD")], "part int, line string").withColumn("order", F.struct(*(F.lit(None).cast(t).alias(n) for n, t in _ORDER)))
     for k, (df, order) in enumerate(parts):
-        got = got.unionByName(df.select(F.lit(k + 1).alias("part"), F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)).alias("n"), "line"))
-    return got.select((F.row_number().over(W.partitionBy(F.lit(0)).orderBy("part", "n")) - 1).alias("ord"), "line")
+        columns = dict(zip((n for n, _ in _ORDER), order, strict=False))
+        got = got.unionByName(df.select(F.lit(k + 1).alias("part"), "line", F.struct(*(columns.get(n, F.lit(None)).cast(t).alias(n) for n, t in _ORDER)).alias("order")))
+    return number_rows(got, ["part", "order"], "ord", 0).select(F.col("ord").cast("int").alias("ord"), "line")
 
 
 def call_graph(nodes: DataFrame, edges: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
@@ -30,14 +33,14 @@ def call_graph(nodes: DataFrame, edges: DataFrame, max_nodes: int = MAX_NODES) -
     order = top.select(F.col("file_path").alias("src_file"), F.col("line").alias("src_line"), "degree")
     calls = edges_within(edges, top).join(order, ["src_file", "src_line"])
     arrows = calls.withColumn("line", F.concat(F.lit("    "), ref_id("src_file", "src_line"), F.lit(" --> "), ref_id("dst_file", "dst_line")))
-    return _lines((boxes, [F.desc("degree"), "file_path", "at"]), (arrows, [F.desc("degree"), "src_file", "src_line", "ord", "dst_file", "dst_line"]))
+    return _lines((boxes, [-F.col("degree"), F.col("file_path"), F.col("at")]), (arrows, [-F.col("degree"), F.col("src_file"), F.col("src_line"), F.col("ord"), F.col("dst_file"), F.col("dst_line")]))
 
 
 def module_diagram(nodes: DataFrame, edges: DataFrame, workspace: str = "") -> DataFrame:
     """Modules, and arrows with the number of calls between them."""
     boxes = modules(nodes, workspace).withColumn("line", F.concat(F.lit("    "), node_id("module"), F.lit("["), "module", F.lit("]")))
     arrows = module_edges(nodes, edges, workspace).withColumn("line", F.concat(F.lit("    "), node_id("from_module"), F.lit(" -->|"), F.col("n").cast("string"), F.lit("| "), node_id("to_module")))
-    return _lines((boxes, ["module"]), (arrows, ["from_module", "to_module"]))
+    return _lines((boxes, [F.lit(0), F.col("module")]), (arrows, [F.lit(0), F.col("from_module"), F.lit(0), F.lit(0), F.col("to_module")]))
 
 
 def text(diagram: DataFrame, fenced: bool = False) -> str:

@@ -57,7 +57,7 @@ def _hits(ids: pa.Array, a: np.ndarray, other: pa.Array, b: np.ndarray, threshol
             s = x32 @ narrow[:, j : j + _COLUMNS]
             ok = ~np.isnan(s)
             if same:
-                mine, theirs, equal = same[0][i : i + _ROWS, None], same[1][None, j : j + _COLUMNS]
+                mine, theirs, equal = same[0][i : i + _ROWS, None], same[1][None, j : j + _COLUMNS], same[2]
                 ok &= (mine < 0) | ((mine == theirs) == equal)
             ok &= s >= bar[:, None]
             if k is not None and ok.any():

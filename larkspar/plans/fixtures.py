@@ -43,24 +43,48 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as functions: the brand is the file, the key the line."""
+    """Parts as functions: the brand is the file, the key the line. Suppliers too, by nation; two in five have an entry point's name."""
     path = F.concat(F.lit("/ws/"), F.replace("p_brand", F.lit("#"), F.lit("/")), F.lit("/part.rs"))
-    return table(spark, sf_dir, "part").select(path.alias("file_path"), F.col("p_partkey").alias("line"), F.col("p_name").alias("name"))
+    parts = table(spark, sf_dir, "part").select(path.alias("file_path"), F.col("p_partkey").alias("line"), F.col("p_name").alias("name"))
+    kind = F.element_at(F.array(*(F.lit(x) for x in ("serve_", "run_", "ship_", "Main_", "pack_"))), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    file = F.concat(F.lit("/ws/Nation/"), F.col("s_nationkey").cast("string"), F.lit("/supplier.rs"))
+    return parts.unionByName(table(spark, sf_dir, "supplier").select(file.alias("file_path"), (-1 - F.col("s_suppkey")).alias("line"), F.concat(kind, "s_name").alias("name")))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consecutive returned bulk items of an order as calls between their parts (with all items, every part is called). Orders are small, so no window is large."""
+    """Calls, from all line items: the first supplier of an order calls the order's first part, each item's part that of the next item (unless it is the same). So suppliers are never
+    called. Orders are small, so no window is large."""
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    items = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 25").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    got = items.select("l_orderkey", F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"), F.row_number().over(order).alias("k")).where("dst is not null and src <> dst")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    got = items.select("l_orderkey", F.coalesce(F.lag("l_partkey").over(order), -1 - F.col("l_suppkey")).alias("src"), F.col("l_partkey").alias("dst"), F.row_number().over(order).alias("k")).where("src <> dst")
     at = nodes(spark, sf_dir).select("file_path", "line")
     a = at.select(F.col("file_path").alias("src_file"), F.col("line").alias("src"))
     b = at.select(F.col("file_path").alias("dst_file"), F.col("line").alias("dst"))
     return got.join(a, "src").join(b, "dst").select("src_file", F.col("src").alias("src_line"), "dst_file", F.col("dst").alias("dst_line"), (F.col("l_orderkey") * 100 + F.col("k")).alias("ord"))
 
 
-GRAPH_SQL = """n AS (SELECT concat('/ws/', replace(p_brand, '#', '/'), '/part.rs') AS file_path, p_partkey AS line, p_name AS name FROM part),
+GRAPH_SQL = """n AS (SELECT concat('/ws/', replace(p_brand, '#', '/'), '/part.rs') AS file_path, p_partkey AS line, p_name AS name FROM part UNION ALL
+    SELECT concat('/ws/Nation/', s_nationkey, '/supplier.rs'), -1 - s_suppkey, concat(['serve_', 'run_', 'ship_', 'Main_', 'pack_'][(s_suppkey % 5 + 1)::INT], s_name) FROM supplier),
 e AS (SELECT a.file_path AS src_file, src AS src_line, b.file_path AS dst_file, dst AS dst_line, l_orderkey * 100 + k AS ord FROM (
-    SELECT l_orderkey, l_partkey AS src, lead(l_partkey) OVER w AS dst, row_number() OVER w AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 25
+    SELECT l_orderkey, coalesce(lag(l_partkey) OVER w, -1 - l_suppkey) AS src, l_partkey AS dst, row_number() OVER w AS k FROM lineitem
     WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)) x
-    JOIN n a ON a.line = src JOIN n b ON b.line = dst WHERE dst IS NOT NULL AND src <> dst)"""
+    JOIN n a ON a.line = src JOIN n b ON b.line = dst WHERE src <> dst)"""
+
+
+def nation_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nations as functions, a region a file; a supplier's nation calls those of its customers, in the order of the first order (all orders and line items)."""
+    n = table(spark, sf_dir, "nation")
+    path = F.concat(F.lit("/ws/region"), F.col("n_regionkey").cast("string"), F.lit(".rs"))
+    at = n.select(path.alias("file_path"), F.col("n_nationkey").alias("line"), F.col("n_name").alias("name"))
+    sold = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("s_suppkey"))
+    of = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
+    pairs = sold.join(of, "l_orderkey").join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), "s_suppkey").join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+    calls = pairs.where("s_nationkey <> c_nationkey and (s_nationkey + c_nationkey) % 3 <> 0").groupBy(F.col("s_nationkey").alias("src_line"), F.col("c_nationkey").alias("dst_line")).agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    calls = calls.withColumn("ord", F.col("ord") * 10_000 + F.col("src_line") * 100 + F.col("dst_line"))
+    a, b = at.select(F.col("file_path").alias("src_file"), F.col("line").alias("src_line")), at.select(F.col("file_path").alias("dst_file"), F.col("line").alias("dst_line"))
+    return at, calls.join(a, "src_line").join(b, "dst_line").select("src_file", "src_line", "dst_file", "dst_line", "ord")
+
+
+NATIONS_SQL = """n AS (SELECT concat('/ws/region', n_regionkey, '.rs') AS file_path, n_nationkey AS line, n_name AS name FROM nation),
+e AS (SELECT s_nationkey AS src_line, c_nationkey AS dst_line, min(l_orderkey * 10 + l_linenumber) * 10000 + s_nationkey * 100 + c_nationkey AS ord FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey
+    JOIN customer ON c_custkey = o_custkey WHERE s_nationkey <> c_nationkey AND (s_nationkey + c_nationkey) % 3 <> 0 GROUP BY s_nationkey, c_nationkey)"""

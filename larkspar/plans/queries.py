@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,26 +13,13 @@ from larkspar.operators import catalog, hook, mermaid, review, similarity
 from larkspar.operators.embed import HashingEmbedder, with_embeddings
 from larkspar.operators.extract import extract_functions
 from larkspar.plans import fixtures as fx
-from larkspar.plans.fixtures import GRAPH_SQL, UNITS_SQL
+from larkspar.plans.fixtures import GRAPH_SQL, NATIONS_SQL, UNITS_SQL
+from larkspar.plans.registry import ORACLES, QUERIES, query
 from larkspar.sources.symbols import at_least_lines
 from larkspar.tables import number_rows, shared_path, written
 
 #: No pair of the test vectors reaches the usual 0.85.
 T = 0.3
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _r(c: str = "similarity") -> Column:
     return F.round(c, 4).alias("similarity")
 
@@ -413,9 +398,32 @@ def call_tree_in_bfs(spark, d):
     return _tree(spark, d, True)
 
 
-@query()
+def _dfs_sql(a: str, b: str, depth: int) -> str:
+    """Each root's walk as one row that is rewritten: its stack, what it has seen, and what it has just met."""
+    return f"""WITH RECURSIVE {NATIONS_SQL}, c AS (SELECT {a} AS line, list({{'line': {b}, 'd': 0}} ORDER BY ord DESC, {b} DESC) AS next FROM e GROUP BY 1),
+w AS (SELECT line AS root, [{{'line': line, 'd': 0}}] AS stack, []::BIGINT[] AS seen, NULL::BIGINT AS met, NULL::INT AS depth, NULL::INT AS ord FROM n UNION ALL
+    SELECT root, CASE WHEN new THEN list_concat(rest, list_transform(coalesce(next, []), lambda x: {{'line': x.line, 'd': top.d + 1}})) ELSE rest END, CASE WHEN new THEN list_append(seen, top.line) ELSE seen END,
+        CASE WHEN new THEN top.line END, CASE WHEN new THEN top.d END, CASE WHEN new THEN len(seen) END
+    FROM (SELECT *, top.d <= {depth} AND NOT list_contains(seen, top.line) AS new FROM (SELECT root, stack[-1] AS top, stack[:-2] AS rest, seen FROM w WHERE len(stack) > 0)) LEFT JOIN c ON c.line = top.line)
+SELECT root AS root_line, w.ord, met AS line, name, depth FROM w JOIN n ON n.line = met"""
+
+
+@query(_dfs_sql("src_line", "dst_line", 4))
 def call_tree_dfs(spark, d):
-    """Depth-first with a global visited set: no SQL; tests hold it against a recursive walk."""
+    """Depth-first from every nation, with a depth bound and one visited set."""
+    n, e = fx.nation_graph(spark, d)
+    return cg.tree_dfs(n, written(e, "edges"), n, 4).select("root_line", "ord", "line", "name", "depth")
+
+
+@query(_dfs_sql("dst_line", "src_line", 3))
+def call_tree_dfs_in(spark, d):
+    n, e = fx.nation_graph(spark, d)
+    return cg.tree_dfs(n, written(e, "edges"), n, 3, incoming=True).select("root_line", "ord", "line", "name", "depth")
+
+
+@query()
+def call_tree_dfs_parts(spark, d):
+    """The same over all parts, from the five busiest; too large for SQL."""
     n, e = fx.nodes(spark, d), written(fx.edges(spark, d), "edges")
     return cg.tree_dfs(n, e, written(cg.busiest(n, e, 5), "roots"), 3)
 
@@ -445,3 +453,6 @@ SELECT 0::INT AS ord, 'flowchart TD' AS line UNION ALL SELECT k::INT, line FROM
 )
 def mermaid_modules(spark, d):
     return mermaid.module_diagram(fx.nodes(spark, d), written(fx.edges(spark, d), "edges"), "/ws")
+
+
+from larkspar.plans import source_queries, store_queries  # noqa: E402, F401
