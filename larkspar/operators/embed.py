@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import urllib.request
@@ -41,6 +42,17 @@ class HashingEmbedder:
         return (v / n if n else v).astype(np.float32).tolist()
 
 
+@dataclass(frozen=True)
+class DigestEmbedder:
+    """Deterministic: signs from a text's SHAKE-256, so that equal texts have equal vectors and others are far apart. Finds exact copies only."""
+
+    dims: int = 64
+
+    def embed(self, text: str) -> list[float]:
+        bits = np.unpackbits(np.frombuffer(hashlib.shake_256(text.encode()).digest(self.dims // 8), np.uint8))
+        return ((2.0 * bits - 1) / np.sqrt(len(bits))).astype(np.float32).tolist()
+
+
 @dataclass(frozen=True)
 class HttpEmbedder:
     """A server that takes {"model", "input"} at <base>/api/embed and returns {"embeddings": [[...]]}. Any other answer than 2xx is an error."""

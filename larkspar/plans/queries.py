@@ -10,7 +10,7 @@ from larkspar.functions import scalars as sc
 from larkspar.functions.vectors import bytes_to_embedding, embedding_to_bytes
 from larkspar.operators import callgraph as cg
 from larkspar.operators import catalog, hook, mermaid, review, similarity
-from larkspar.operators.embed import HashingEmbedder, with_embeddings
+from larkspar.operators.embed import DigestEmbedder, with_embeddings
 from larkspar.operators.extract import extract_functions
 from larkspar.plans import fixtures as fx
 from larkspar.plans.fixtures import GRAPH_SQL, NATIONS_SQL, UNITS_SQL
@@ -309,18 +309,25 @@ def _code_index(spark, d):
     """Stored units that are the functions of the same files in another project."""
     u = extract_functions(_code_events(spark, d).select("tool_input.file_path", "tool_input.content"), 5)
     u = u.withColumn("qualified_name", F.concat(F.lit("old:"), "qualified_name")).withColumn("content_hash", sc.content_hash("body"))
-    u = with_embeddings(u, fx.hashed_units(spark, d).limit(0), HashingEmbedder())
+    u = with_embeddings(u, fx.hashed_units(spark, d).limit(0), DigestEmbedder())
     return written(u.select("qualified_name", F.lit(2).cast("long").alias("project_id"), "file_path", "range_start", "embedding"), "code_index")
 
 
-@query()
+#: The nearest of a written function is the same function of the index.
+_ANSWER = """to_json({'decision': 'block', 'reason': concat('⚠️ 检测到相似代码:', chr(10), '  (100%) [跨项目]', chr(10), '  ├─ 当前: f', p_partkey, '.rs:6 f', p_partkey, '()', chr(10), '  └─ 相似: f', p_partkey, '.rs:6 f', p_partkey, '()', chr(10), chr(10),
+    '📋 处理方式:', chr(10), '  1. 复用: import 或调用已有实现，避免重复', chr(10), '  2. 忽略: 运行 larkspar ignore "<当前>" "<相似>" 标记为合理重复', chr(10), '  3. 继续: 如果逻辑不同只是结构相似，直接继续编写')})::VARCHAR"""
+_CONTENT = """concat('struct S {', chr(10), '    a: u32,', chr(10), '}', chr(10), chr(10), 'impl S {', chr(10), '    fn f', p_partkey, '(&self) -> u32 {', chr(10), '        // ', p_name, chr(10), '        let s = "}";', chr(10), '        let t = ', p_size, ';', chr(10), '        self.a + t', chr(10), '    }', chr(10), '}', chr(10))"""
+_EVENT = f"to_json({{'hook_event_name': 'PostToolUse', 'tool_name': 'Write', 'tool_input': {{'file_path': concat('/ws/f', p_partkey, '.rs'), 'content': {_CONTENT}}}, 'cwd': '/ws/src1'}})::VARCHAR"
+
+
+@query(f"SELECT p_partkey::VARCHAR AS event, {_ANSWER} AS result FROM part")
 def hook_results(spark, d):
-    """Each event's answer as JSON. Rows only: the embedder is no SQL."""
+    """Each event's answer as JSON, from the code it writes."""
     projects = spark.createDataFrame([(1, "src1", "/ws/src1")], "id long, name string, root_path string")
-    return hook.hook_lookup(_code_events(spark, d), _code_index(spark, d), None, projects, hook.HookConfig(max_results=1), HashingEmbedder())
+    return hook.hook_lookup(_code_events(spark, d), _code_index(spark, d), None, projects, hook.HookConfig(max_results=1), DigestEmbedder())
 
 
-@query()
+@query(f"SELECT sha256({_EVENT}) AS event, {_ANSWER} AS result, 0 AS batch FROM part")
 def hook_stream(spark, d):
     """The same events from JSON files, as a stream that ends when they are read."""
     from larkspar.streaming import hook as stream
@@ -328,7 +335,7 @@ def hook_stream(spark, d):
     base = shared_path(spark, "stream")
     _code_events(spark, d).drop("event").write.json(f"{base}/in")
     index = _code_index(spark, d)
-    q = stream.run(spark, f"{base}/in", f"{base}/out", f"{base}/state", lambda: (index, None, None), hook.HookConfig(max_results=1), HashingEmbedder())
+    q = stream.run(spark, f"{base}/in", f"{base}/out", f"{base}/state", lambda: (index, None, None), hook.HookConfig(max_results=1), DigestEmbedder())
     q.awaitTermination()
     return spark.read.schema("event string, result string, batch int").parquet(f"{base}/out")
 
