@@ -18,12 +18,14 @@ null id. Repeated rows are kept. An empty table gives an empty result. Other col
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspar.llm.common import Kept, keep, map_texts, raw, table
@@ -33,6 +35,10 @@ from larkspar.llm.parts import Parts, attach
 SHINGLE, BITS, HEAVY, SEED = 3, 2, 64, 42
 #: Fingerprints a task expands into probes, at most.
 A_TASK = 1 << 16
+#: Texts of a crowded segment value that each text meets beside the least one; bits of 256 in which near texts may differ; multipliers that make four numbers of a word's hash.
+NEAR, WIDE_BITS = 8, 72
+_MIX = np.array([[0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]], np.uint64)
+_TURN = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -103,12 +109,16 @@ def members(rows: DataFrame) -> DataFrame:
     return placed.join(ids, "root").select("f", "root", "component_id")
 
 
+def _comparable(df: DataFrame) -> list[str]:
+    """Columns that can be hashed."""
+    return [f.name for f in df.schema.fields if "map<" not in (kind := f.dataType.simpleString()) and "variant" not in kind]
+
+
 def dedup(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """docs with one row of each component_id (of null, of each component): that of its smallest doc_id; of rows with that doc_id, that of the smallest hash of all columns, so reruns choose equal rows. All columns pass
     unchanged. Rows stay where they are (see larkspar.llm.parts): texts aren't shuffled."""
     parts = Parts(docs)
-    comparable = [c for c in parts.df.columns if "map<" not in parts.df.schema[c].dataType.simpleString() and "variant" not in parts.df.schema[c].dataType.simpleString()]
-    ids = parts.column.alias("part"), parts.row.alias("row"), F.xxhash64(*comparable).alias("tie")
+    ids = parts.column.alias("part"), parts.row.alias("row"), F.xxhash64(*_comparable(parts.df)).alias("tie")
     rows = keep(fingerprints(parts.df, shingle, *ids), "fingerprints")
     found = rows.join(members(rows), "f").withColumn("group", F.struct(F.col("component_id").isNull(), F.coalesce("component_id", "root")))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "part", "row")
@@ -116,6 +126,107 @@ def dedup(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return attach(parts, first.select("x.part", "x.row"), "chosen")
 
 
+# Near duplicates by similarity of texts: the same search, wider fingerprints for candidates, and the texts' own shingles to verify them
+
+
+def wide_fingerprint(words: list[bytes]) -> np.ndarray:
+    """The SimHash of the different words of a text, of 256 bits, as four unsigned numbers."""
+    h = np.fromiter(map(xxhash.xxh64_intdigest, set(words)), np.uint64)
+    ones, n = np.zeros(256, np.int64), len(h)
+    for i in range(0, n, 16_384):
+        x = h[i : i + 16_384, None] * _MIX
+        x = (x ^ (x >> np.uint64(32))) * _TURN
+        x ^= x >> np.uint64(29)
+        ones += np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 32), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > n, bitorder="little").view("<u8")
+
+
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = [t.lower().split() for t in raw(b)]
+        f = np.array([wide_fingerprint(w) for w in texts], "<u8").reshape(len(texts), 4).view(np.int64)
+        key = [xxhash.xxh3_128_digest(b" ".join(w)) for w in texts]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(key, pa.binary()), *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(4))], [*b.schema.names[:-1], "key", "f0", "f1", "f2", "f3"])
+
+
+def _shingles(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """(n, shingles): of each text the sorted different hashes of its shingles."""
+    for b in batches:
+        found = []
+        for t in raw(b):
+            w = t.lower().split()
+            grams = map(b" ".join, zip(*(w[i:] for i in range(shingle)), strict=False)) if len(w) >= shingle else [b" ".join(w)]
+            found.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64)).view(np.int64))
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])])
+        values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("__n")), values], ["n", "shingles"])
+
+
+_F = [f"f{k}" for k in range(4)]
+
+
+def _distance(a: str, b: str) -> Column:
+    return reduce(Column.__add__, (F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in _F))
+
+
+def candidates(texts: DataFrame, heavy: int = HEAVY, near: int = NEAR) -> DataFrame:
+    """(u, v), u < v, of numbered texts (n, f0 to f3) that may be near: one of their eight 32-bit segments differs in at most one bit, and all in at most WIDE_BITS.
+
+    Of a segment value that more than heavy texts share, each text meets only the least of them and the next few in the order of complete fingerprints."""
+    halves = [h for f in _F for h in (F.col(f).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f, 32))]
+    segments = F.array(*(h.bitwiseOR(F.lit(k << 32)) for k, h in enumerate(halves)))
+    masks = F.array(*(F.lit(m).cast("long") for m in [0, *(1 << i for i in range(32))]))
+    index = texts.select("n", F.explode(segments).alias("segment"))
+    probes = index.select("n", F.explode(F.transform(masks, lambda m: F.col("segment").bitwiseXOR(m))).alias("segment"))
+    crowded = Kept(index.groupBy("segment").count().where(F.col("count") > heavy).select("segment"), "crowded")
+    dense = bool(crowded.df.limit(1).count())
+    light = index.join(crowded.df, "segment", "left_anti") if dense else index
+    pairs = probes.select("segment", F.col("n").alias("u")).join(light.select("segment", F.col("n").alias("v")).hint("shuffle_hash"), "segment").where("u < v").select("u", "v")
+    if dense:
+        whole = texts.select("n", F.struct(*_F).alias("f"), F.explode(segments).alias("segment")).join(crowded.df, "segment", "left_semi")
+        order = W.partitionBy("segment").orderBy("f", "n")
+        following = whole.select("n", F.array(*(F.lead("n", k).over(order) for k in range(1, near + 1))).alias("next"))
+        beside = following.select("n", F.explode("next").alias("m")).where("m is not null")
+        # those one bit off, too, meet the least of a crowded value
+        least = whole.groupBy("segment").agg(F.min("n").alias("m"))
+        star = probes.join(least, "segment").where("n <> m").select("n", "m")
+        pairs = pairs.unionByName(beside.unionByName(star).select(F.least("n", "m").alias("u"), F.greatest("n", "m").alias("v")))
+    fps = texts.select("n", F.struct(*_F).alias("f"))
+    met = pairs.distinct().join(fps.select(F.col("n").alias("u"), F.col("f").alias("a")), "u").join(fps.select(F.col("n").alias("v"), F.col("f").alias("b")), "v")
+    return met.where(_distance("a", "b") <= WIDE_BITS).select("u", "v")
+
+
+def similar_members(parts: Parts, shingle: int = 5, similarity: float = 0.8, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, part, row, tie, n) of all rows, n being the number of their text (equal words: one text), and (n, root) of the texts that are near another one."""
+    names = _comparable(parts.df)
+    ids = parts.df.select(F.col("doc_id").cast("long").alias("doc_id"), parts.column.alias("part"), parts.row.alias("row"), F.xxhash64(*names).alias("tie"), "text")
+    rows = keep(map_texts(ids, _wide, "doc_id long, part long, row long, tie long, key binary, f0 long, f1 long, f2 long, f3 long"), "fingerprints")
+    texts = rows.groupBy("key").agg(F.min(F.struct("part", "row", *_F)).alias("x")).select("key", "x.*")
+    texts = keep(texts.withColumn("n", F.monotonically_increasing_id()), "texts")
+    spread_out = texts.repartition(max(texts.sparkSession.sparkContext.defaultParallelism, texts.count() // (A_TASK // 4)), "n")
+    pairs = keep(candidates(spread_out, heavy), "pairs")
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("n")).distinct().join(texts, "n").select("part", "row", F.col("n").alias("__n"))
+    read = attach(parts, asked, "asked").select("__n", "text")
+    sets = keep(map_texts(read, lambda x: _shingles(x, shingle), "n long, shingles array<bigint>"), "shingles")
+    met = pairs.join(sets.select(F.col("n").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("n").alias("v"), F.col("shingles").alias("b")), "v")
+    both = F.size(F.array_intersect("a", "b"))
+    links = met.where(both >= F.lit(similarity) * (F.size("a") + F.size("b") - both)).select("u", "v")
+    return rows.join(texts.select("key", "n"), "key").select("doc_id", "part", "row", "tie", "n"), components(links).select(F.col("node").alias("n"), "root")
+
+
+def dedup_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, heavy: int = HEAVY) -> DataFrame:
+    """docs with one row of each group of near duplicates: texts of equal words, and texts whose sets of shingles have a Jaccard similarity of at least similarity, directly or through
+    others. The row with the smallest doc_id stays (then: of the smallest hash of all columns). All columns pass unchanged; rows stay where they are.
+
+    Candidates are found as links() finds its own, in fingerprints of the texts' different words, four times as long, which near texts leave almost alone; verified candidates are
+    near, so no wrong link is made, but a near pair is missed where all its segments differ in two bits or more (see README for the measured recall)."""
+    parts = Parts(docs)
+    rows, near = similar_members(parts, shingle, similarity, heavy)
+    found = rows.join(near, "n", "left").withColumn("group", F.coalesce("root", "n"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "part", "row")
+    return attach(parts, found.groupBy("group").agg(F.min(order).alias("x")).select("x.part", "x.row"), "chosen")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = keep(fingerprints(table(spark, sf_dir, "documents")), "fingerprints")
     got = rows.join(members(rows), "f")

@@ -118,6 +118,86 @@ def test_dedup_keeps_one_of_each_component(spark, odd):
     assert {r["f"] for r in kept} == {"mine"}
 
 
+def brute_similar(rows, shingle=5, least=0.8):
+    """rows: (doc_id, text) -> for each the least doc_id of its group, over all pairs that share a shingle; and the pairs of unequal texts."""
+    words = [tuple(WS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) for _, t in rows]
+    sets = {w: {w[i : i + shingle] for i in range(len(w) - shingle + 1)} or {w} for w in set(words)}
+    having, root = {}, {w: w for w in sets}
+    for w, g in sets.items():
+        for x in g:
+            having.setdefault(x, []).append(w)
+    pairs = set()
+    for w, g in sets.items():
+        shared = {}
+        for x in g:
+            for other in having[x]:
+                if other > w:
+                    shared[other] = shared.get(other, 0) + 1
+        pairs |= {(w, o) for o, n in shared.items() if n >= least * (len(g) + len(sets[o]) - n)}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    first = {}
+    for (i, _), w in zip(rows, words, strict=True):
+        if i is not None:
+            first[find(w)] = min(i, first.get(find(w), i))
+    return [first.get(find(w)) for w in words], pairs, words
+
+
+def test_dedup_similar_equals_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    kept = simhash.dedup_similar(docs)
+    assert kept.columns == docs.columns
+    group, pairs, _ = brute_similar(rows)
+    assert pairs and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(group))
+
+
+@pytest.mark.parametrize("heavy", [64, 4])
+def test_dedup_similar_recall(spark, docs, heavy):
+    """Random texts, copies with about one word in a hundred replaced, and a crowd of near copies, against all pairs; a heavy of 4 makes most segment values crowded."""
+    r = random.Random(heavy)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    texts = [" ".join(r.choices(vocabulary, k=r.randrange(30, 300))) for _ in range(150)]
+
+    def near(t):
+        w = t.split()
+        for _ in range(max(1, len(w) // 100)):
+            w[r.randrange(len(w))] = r.choice(vocabulary)
+        return " ".join(w)
+
+    texts += [near(t) for t in texts[:100] for _ in range(2)] + [near(texts[3]) for _ in range(150)] + texts[:20]
+    rows = list(enumerate(texts))
+    d = docs(*rows)
+    p = parts.Parts(d)
+    found, near_ones = simhash.similar_members(p, heavy=heavy)
+    got = {x["doc_id"]: x["root"] if x["root"] is not None else -1 - x["n"] for x in found.join(near_ones, "n", "left").collect()}
+    group, pairs, words = brute_similar(rows)
+    ids = {w: i for i, w in enumerate(words)}
+    linked = sum(got[ids[a]] == got[ids[b]] for a, b in pairs)
+    assert linked >= 0.9 * len(pairs) and len(pairs) > 1000
+    merged = {}
+    for i, g in enumerate(group):
+        merged.setdefault(got[i], set()).add(g)
+    assert all(len(x) == 1 for x in merged.values())  # no wrong link
+
+
+def test_dedup_similar_odd_rows(spark, odd):
+    extra = odd.withColumn("n", F.lit("mine")).withColumn("key", F.lit(1)).withColumn("__x", F.create_map(F.lit("a"), F.lit(1)))
+    got = simhash.dedup_similar(extra)
+    assert got.columns == extra.columns
+    group, _, words = brute_similar([(r["doc_id"], r["text"]) for r in odd.collect()])
+    want = {w: g for g, w in zip(group, words, strict=True)}  # no two texts here are near
+    assert sorted((r["doc_id"] for r in got.collect()), key=repr) == sorted(want.values(), key=repr)
+    assert simhash.dedup_similar(odd.limit(0)).count() == 0
+
+
 def brute_removed(rows, window=13):
     """(doc_id, text) -> (n_words, n_removed, hash) by a table of all windows."""
     words = [(t or "").encode().split() for _, t in rows]

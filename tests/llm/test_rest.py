@@ -425,7 +425,7 @@ def test_pipeline_equals_its_operators_by_hand(spark, sf):
     good = {r["doc_id"] for r in queries.QUERIES["op3_quality"](spark, sf).where("kept").collect()}
     docs = [r for r in docs if r["doc_id"] in good]
     assert all(not test_scans.brute_quality(r["text"])[5] for r in docs)
-    comp = test_dedup.brute_components([(r["doc_id"], test_dedup.brute_fingerprint(r["text"])) for r in docs])
+    comp, _, _ = test_dedup.brute_similar([(r["doc_id"], r["text"]) for r in docs])
     docs = [r for r, c in zip(docs, comp, strict=True) if r["doc_id"] == c]
     leaked = {r[0] for r in oracle(f"SELECT DISTINCT doc_id FROM ({decontaminate.OP6_SQL})", sf)}
     docs = [r for r in docs if r["doc_id"] not in leaked]
