@@ -2,7 +2,8 @@
 
 TEMPLATES are licence notices: a label, words, and mandatory key phrases (the base phrases are templates that are their own key phrase). The index holds, for each
 template, the places of its ANCHORS rarest words by inverse document frequency, counted over the whole corpus in a first pass (the vocabulary is the templates'
-own few hundred words, so the counts that are collected are bounded). In the second pass, a file's words that are anchors are looked up; each hit at word p for
+own few hundred words, so the counts that are collected are bounded). In the second pass, a file's highest-IDF licence words, those of its words that are anchors, are looked up, all of
+them, so that a file with many notices loses none; each hit at word p for
 a template's word q proposes that the template starts at p - q, and proposals of one template that agree (within TOLERANCE words) are intersected. A proposal
 stands if every key phrase is found, word for word, near where it should be. Its score is the idf-weighted share of the template's words found in order there.
 Phrases of a single place are exact: their rarest word is in the index, so every place is proposed.

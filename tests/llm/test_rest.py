@@ -110,6 +110,75 @@ def test_op4(spark):
     assert all(len({r["shard"] for r in g}) == 1 for g in small) and any(len(g) > 1 for g in small)
 
 
+def plain_placement(docs, cuts, shards=16):
+    """doc_id -> (shard, slot) in plain Python, given the splitters."""
+    import struct
+
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    salt = lambda i: xxhash.xxh64_intdigest(struct.pack("<i", 5), xxhash.xxh64_intdigest(struct.pack("<q", i), 42)) >> 1
+    rows = [(signed(xxhash.xxh64_intdigest(t.encode(), 42)), i, len(t.encode()) + 1) for i, t in docs.items()]
+    total = sum(r[2] for r in rows)
+    share = total / shards
+    sizes = [0] * (len(cuts) + 1)
+    where = {i: int(np.searchsorted(cuts, h, "right")) for h, i, _ in rows}
+    for _, i, size in rows:
+        sizes[where[i]] += size
+    pieces = [max(1, math.ceil(x / max(1, 2 * total / len(sizes)))) for x in sizes]
+    first = [sum(pieces[:k]) for k in range(len(pieces))]
+    piece = {i: first[r] + salt(i) % pieces[r] for i, r in where.items()}
+    alone = [n > 1 for n in pieces for _ in range(n)]
+    groups = {}
+    for h, i, size in rows:
+        groups.setdefault(h, []).append((i, size))
+    units = []
+    for h, g in groups.items():
+        s = sum(x for _, x in g)
+        if s > sharding.LARGE * share and (len(g) == 1 or s <= sharding.WHOLE * share):
+            units.append((s, h, "()", [i for i, _ in g]))
+        elif s > sharding.WHOLE * share and s > sharding.LARGE * share * len(g):
+            units += [(x, h, f"({i},)", [i]) for i, x in g]
+    held, fixed = [0] * shards, {}
+    for s, _, _, ids in sorted(units, key=lambda u: (-u[0], u[1], u[2])):
+        k = min(range(shards), key=lambda k: (held[k], k))
+        held[k] += s
+        fixed |= dict.fromkeys(ids, k)
+    order = sorted(rows, key=lambda r: (piece[r[1]], r))
+    at, ends = 0, {}
+    for _, i, size in order:
+        at += 0 if i in fixed else size
+        ends[i] = at
+    levels = sharding.levels(held, at)
+    together = {}
+    for h, i, size in order:
+        g = together.setdefault((piece[i], h), [0, 0])
+        g[0], g[1] = g[0] + (0 if i in fixed else size), max(g[1], ends[i])
+    shard = {}
+    for h, i, size in order:
+        fill, (group, end) = 0 if i in fixed else size, together[piece[i], h]
+        twice = 2 * ends[i] - fill if alone[piece[i]] or group > sharding.WHOLE * share else 2 * end - group
+        shard[i] = fixed.get(i, sum(2 * e <= twice for e in levels[:-1]))
+    n, out = [0] * shards, {}
+    for _, i, _ in order:
+        out[i] = (shard[i], n[shard[i]])
+        n[shard[i]] += 1
+    return out
+
+
+@pytest.mark.parametrize("hot", [0, 400])
+def test_op4_placement_equals_plain_python(spark, docs, folder, hot):
+    """Texts of sf0.01, and the same with a hot text, a text above a share and middling ones."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    if hot:
+        texts |= {10_000 + i: "the same hot text" * 20 for i in range(hot)} | {20_000: "x" * 400_000} | {20_001 + i: "y" * 3_000 for i in range(60)}
+    path = folder(documents=docs(*texts.items()))
+    thin = sharding.keyed(spark.read.parquet(f"{path}/documents.parquet")).select("doc_id", "__size", "__h")
+    cuts = sharding.splitters(thin, thin.agg(F.sum("__size")).first()[0])
+    got = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.op4_sharding(spark, path).collect()}
+    assert got == plain_placement(texts, cuts)
+
+
 def test_op4_hot_text_is_split(spark, docs, folder):
     rows = sharding.op4_sharding(spark, folder(documents=docs(*[(i, "the same text") for i in range(600)], *[(i, f"text {i} of its own") for i in range(600, 1000)]))).collect()
     sizes = check_shards(rows, None)
@@ -463,3 +532,16 @@ def test_stages_take_odd_rows(spark, odd, folder, stage):
     if stage != "sharding":
         assert got.columns == odd.columns
     assert f(spark, odd.limit(0), path).count() == 0
+
+
+def test_pipeline_on_odd_rows(spark, odd, docs, folder):
+    """Nulls, empty and very long texts, repeated rows and ids through all stages at once, and an empty table."""
+    prose = [(100 + i, " ".join(f"word{(i * 7 + k * k) % 500}" for k in range(60)), "en", "s" if i % 3 else None) for i in range(40)]
+    leaked = [(300, " ".join(f"x{k}" for k in range(30)) + f" {ITEM} " + " ".join(f"y{k}" for k in range(30)))]
+    b = spark.createDataFrame([(1, ITEM), (2, None), (None, "")], "item_id long, text string")
+    path = folder(documents=odd.unionByName(docs(*prose, *prose[:5], *leaked)), benchmark=b)
+    got = corpus_pipeline.run(spark, path).collect()
+    ids = {r["doc_id"] for r in got}
+    assert 300 not in ids and len(ids & {100 + i for i in range(40)}) > 20 and all(r["shard"] in range(16) for r in got)
+    check_shards([r.asDict() | {"size": len(r["text"].encode()) + 1} for r in got], None)
+    assert corpus_pipeline.run(spark, folder(documents=odd.limit(0), benchmark=b)).count() == 0

@@ -53,6 +53,43 @@ def test_op1_equals_brute_force(spark, sf):
         assert (g["n_words"], g["n_base"], g["first_word"], g["last_word"], g["base_labels"]) == brute_license(r["text"])
 
 
+def brute_labels(index, words):
+    """Labels other than base ones: each template tried at every place, without postings."""
+    out = set()
+    for t in index.templates:
+        if not t.is_base and t.label not in out and any(index._stands(t, words, s) >= licenses.MIN_SCORE for s in range(-licenses.TOLERANCE, len(words))):
+            out.add(t.label)
+    return out
+
+
+def test_op1_labels_recall_against_brute_force():
+    """All documents of sf0.01 with a licence word pair, and made-up texts with whole, cut, changed and mixed notices."""
+    import duckdb
+
+    r = random.Random(2)
+    texts = [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL AND regexp_matches(lower(text), 'licen|rights reserved|public domain|cc by')").fetchall()]
+    assert len(texts) > 40
+    prose = "the of and to in software this any is license by a as copy use version public general free source terms all rights".split()
+    for _ in range(300):
+        parts = []
+        for _ in range(r.randrange(1, 6)):
+            w = r.choice(licenses.NOTICES)[1].split()
+            for _ in range(r.randrange(3)):
+                at = r.randrange(len(w))
+                w[at : at + 1] = r.choice(([], ["changed"], [w[at], "more"]))
+            parts += [*r.choices(prose, k=r.randrange(12)), *w]
+        texts.append(" ".join(parts))
+    counted = Counter(w for t in texts for w in set(t.encode().translate(licenses.ALNUM_BYTES).split()))
+    index = licenses.Index(counted, len(texts))
+    found = wanted = 0
+    for t in texts:
+        words = t.encode().translate(licenses.ALNUM_BYTES).split()
+        want, got = brute_labels(index, words), set(index.scan(words)[1])
+        assert got <= want
+        found, wanted = found + len(got), wanted + len(want)
+    assert wanted > 400 and found >= 0.95 * wanted, (found, wanted)
+
+
 def test_op1_passes_other_columns_and_empty(spark, odd):
     got = licenses.scan(odd.withColumn("score", F.lit("mine")).withColumn("extra", F.lit(1)))
     assert got.columns == [*odd.columns, "extra", *(f.split()[0] for f in licenses.FIELDS.split(", "))] and got.count() == odd.count()
