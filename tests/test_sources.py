@@ -7,63 +7,63 @@ from larkspar.operators.embed import HashingEmbedder
 from larkspar.operators.extract import functions_of
 from larkspar.sources import events, files, symbols
 
-RUST = """fn foo() {
-    let x = 1;
-    let y = "}";
-    let z = 3;
-    println!("{}", x + y + z);
+RUST = """pub fn tally(stock: &[u32]) -> u32 {
+    let brace = "}";
+    let mut sum = 0;
+    for n in stock { sum += n; }
+    sum
 }
 
-struct Bar {
-    /// how many
-    a: u32,
-    pub b: HashMap<String, u32>,
+struct Shelf {
+    /// in metres
+    width: u32,
+    pub books: HashMap<String, u32>,
 }
 
-impl Bar {
-    pub fn method(&self) {
-        fn inner() {
-            1;
-            2;
-            3;
+impl Shelf {
+    pub fn fill(&mut self) {
+        fn helper() {
+            let a = 'a';
+            let b = '}';
+            drop((a, b));
         }
-        let c = '{';
+        helper();
     }
-    fn short() {}
+    fn tidy() {}
 }
 
-impl<T> Show for Bar {
-    fn shown(&self) {
-        let a = r#"} "quoted" {"#;
+impl<T> Sorted for Shelf {
+    fn order(&self) {
+        let label = r#"} "top" {"#;
         // }
         /* } */
-        a
+        label
     }
 }
 """
 SWIFT = """
-func foo() {
-    let x = 1
-    let y = 2
-    let z = 3
-    print(x + y + z)
+func weigh() {
+    var grams = 12
+    grams += 1
+    let unit = "g}"
+    print(grams, unit)
 }
 
-class Bar {
-    var name: String = "}"
-    let size = 3
+class Crate {
+    var owner: String = "{"
+    let depth = 4
 
-    init(a: Int) {
-        let b = 2
-        let c = 3
-        let d = 4
+    init(depth: Int) {
+        assert(depth > 0)
+        print(depth)
+        // }
     }
 
-    override func barMethod() {
-        let a = 1
-        let b = 2
-        let c = 3
-        print(a)
+    override func unload() {
+        while depth > 0 {
+            break
+        }
+        print(owner)
     }
 }
 """
@@ -71,23 +71,72 @@ class Bar {
 
 def test_rust_functions():
     got = {u[0]: u for u in functions_of(RUST, "t.rs", 5)}
-    assert list(got) == ["rust:t.rs::foo", "rust:t.rs::Bar::method", "rust:t.rs::Show::shown"]
-    assert got["rust:t.rs::foo"][2:5] == ("function", 1, 6)
-    method = got["rust:t.rs::Bar::method"]
-    assert method[2] == "method" and method[5].startswith("// Struct fields:\na: u32\npub b: HashMap<String, u32>\n\n    pub fn method")
-    assert "Struct fields" not in got["rust:t.rs::Show::shown"][5]
-    assert functions_of(RUST, "t.rs", 5, strict_names=True)[0][0] == "rust::t.rs::foo"
-    assert len(functions_of(RUST, "t.rs", 1)) == 4  # inner is not a unit of its own
+    assert list(got) == ["rust:t.rs::tally", "rust:t.rs::Shelf::fill", "rust:t.rs::Sorted::order"]
+    assert got["rust:t.rs::tally"][2:5] == ("function", 1, 6)
+    method = got["rust:t.rs::Shelf::fill"]
+    assert method[2] == "method" and method[5].startswith("// Struct fields:\nwidth: u32\npub books: HashMap<String, u32>\n\n    pub fn fill")
+    assert "Struct fields" not in got["rust:t.rs::Sorted::order"][5]
+    assert functions_of(RUST, "t.rs", 5, strict_names=True)[0][0] == "rust::t.rs::tally"
+    assert len(functions_of(RUST, "t.rs", 1)) == 4  # helper is not a unit of its own
 
 
 def test_generic_type_has_no_plain_name():
-    assert [u[0] for u in functions_of("impl Foo<T> {\n fn f() {\n 1\n }\n}", "a.rs", 2)] == ["rust:a.rs::f"]
+    assert [u[0] for u in functions_of("impl Stack<T> {\n fn push() {\n 1\n }\n}", "a.rs", 2)] == ["rust:a.rs::push"]
 
 
 def test_swift_functions():
     got = {u[0]: u for u in functions_of(SWIFT, "t.swift", 5)}
-    assert list(got) == ["swift:t.swift::foo", "swift:t.swift::Bar::init", "swift:t.swift::Bar::barMethod"]
-    assert got["swift:t.swift::Bar::barMethod"][5].startswith('// Class properties:\nvar name: String = "}"\nlet size = 3\n\n    override func barMethod')
+    assert list(got) == ["swift:t.swift::weigh", "swift:t.swift::Crate::init", "swift:t.swift::Crate::unload"]
+    assert got["swift:t.swift::Crate::unload"][5].startswith('// Class properties:\nvar owner: String = "{"\nlet depth = 4\n\n    override func unload')
+
+
+@pytest.mark.parametrize(
+    ("language", "code"),
+    [
+        ("rust", 'a // x { \n/* b /* c */ d */ e "f\\"{" r"g\\" br#"h"##" \'{\' \'\\n\' \'\\u{1F600}\' &\'static x'), ("rust", "x /* open { "), ("rust", 'x "open {'), ("rust", 'x r##"open "# {'), ("rust", 'for"bar"'), ("rust", "\\"),
+        ("swift", 'a """\n { " }\n""" b #"c " d"# "e\\"" // f'), ("swift", 'x """ open {'), ("swift", 'x ##"open "#'), ("swift", "'{'"),
+    ],
+)
+def test_blanking_equals_a_walk_by_character(language, code):
+    from larkspar.operators.extract import blanked
+
+    def walk():
+        out, i, n = list(code), 0, len(code)
+        while i < n:
+            j = i
+            if code.startswith("//", i):
+                j = (code + "\n").find("\n", i)
+            elif code.startswith("/*", i):
+                depth, j = 1, i + 2
+                while j < n and depth:
+                    depth += code.startswith("/*", j) - code.startswith("*/", j)
+                    j += 2 if code.startswith(("/*", "*/"), j) else 1
+            elif language == "swift" and code.startswith('"""', i):
+                j = code.find('"""', i + 3) + 3 if '"""' in code[i + 3 :] else n
+            else:
+                k = i
+                if language == "rust" and (i == 0 or not (code[i - 1].isalnum() or code[i - 1] == "_")):
+                    k += 2 if code.startswith("br", i) else 1 if code.startswith("r", i) else 0
+                hashes = len(code[k:]) - len(code[k:].lstrip("#"))
+                if code.startswith('"', k + hashes) and (k > i if language == "rust" else hashes and (i == 0 or code[i - 1] != "#")):
+                    end = '"' + "#" * hashes
+                    at = code.find(end, k + hashes + 1)
+                    j = n if at < 0 else at + len(end)
+                elif code[i] == '"':
+                    j = i + 1
+                    while j < n and code[j] != '"':
+                        j += 2 if code[j] == "\\" else 1
+                    j += 1
+                elif language == "rust" and code[i] == "'":
+                    for literal in ("'{'", "'\\n'", "'\\u{1F600}'"):
+                        if code.startswith(literal, i):
+                            j = i + len(literal)
+            for k in range(i, min(j, n)):
+                out[k] = out[k] if out[k] == "\n" else " "
+            i = max(j, i + 1)
+        return "".join(out)
+
+    assert blanked(code, language) == walk()
 
 
 def test_other_languages_have_no_units():
