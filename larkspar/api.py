@@ -84,12 +84,12 @@ class Store:
     def search_names(self, vectors: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
         return similarity.knn(vectors, self.units.select(F.col("qualified_name").alias("c"), F.col("embedding").alias("v")), k, threshold).withColumnRenamed("c", "qualified_name")
 
-    def scan(self, threshold: float = 0.85, cross_only: bool = False, project_ids: list[int] | None = None, k: int = 100) -> DataFrame:
+    def scan(self, threshold: float = 0.85, cross_only: bool = False, project_ids: list[int] | None = None, k: int = 100, approximate: bool = False) -> DataFrame:
         """Finds and stores pairs; returns every stored pair at or above the threshold, of any status and project. Fewer than two units: none are found."""
         asked = catalog.units_of_projects(self.units, project_ids).where("embedding is not null")
         if asked.limit(2).count() < 2:
             return review.joined_pairs(self.pairs.limit(0), self.units)
-        found = similarity.scan_pairs(self.units, threshold, k, asked, cross_only)
+        found = similarity.scan_pairs(self.units.where("embedding is not null"), threshold, k, asked, cross_only, approximate)
         self.db.replace("similar_pairs", catalog.upsert_pairs(self.pairs, found, "scan"))
         got = review.joined_pairs(self.pairs, self.units, threshold)
         several = project_ids is None or len(project_ids) > 1

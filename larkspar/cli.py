@@ -55,7 +55,7 @@ def index(spark: SparkSession, store: Store, args: argparse.Namespace) -> None:
 
 def scan(spark: SparkSession, store: Store, args: argparse.Namespace) -> None:
     ids = None if args.project is None else [r["id"] for r in store.projects.where(F.col("name").isin(args.project)).collect()]
-    got = store.scan(args.threshold, args.cross_only, ids)
+    got = store.scan(args.threshold, args.cross_only, ids, approximate=args.approximate)
     total = got.count()
     print(f"Found {total} similar pairs (threshold: {args.threshold * 100:.0f}%)")
     _show_pairs(got.limit(SCAN_SHOWN).collect(), total, SCAN_SHOWN)
@@ -187,6 +187,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--threshold", type=float, default=0.85)
     c.add_argument("--cross-only", action="store_true")
     c.add_argument("--project", action="append")
+    c.add_argument("--approximate", action="store_true", help="random projections: faster on very large stores, may miss pairs")
     c = command("compare", compare)
     for side in "ab":
         c.add_argument(f"path_{side}")

@@ -24,7 +24,7 @@ from larkspar.functions.scalars import at_least, pair_key
 from larkspar.functions.vectors import dot, norm
 from larkspar.tables import written
 
-BROADCAST_BYTES, BLOCK_BYTES, PIVOTS = 64 << 20, 32 << 20, 64
+BROADCAST_BYTES, BLOCK_BYTES, PIVOTS, MOST_PIVOTS = 64 << 20, 32 << 20, 64, 512
 #: Stands for a null group.
 NONE = -(1 << 63)
 _ROWS, _COLUMNS, MARGIN = 1024, 16_384, 1e-4
@@ -180,15 +180,16 @@ def pivoted(vectors: DataFrame, key: str, pivots: int = PIVOTS) -> tuple[DataFra
     return placed.drop("angle"), p, radius
 
 
-def self_join(vectors: DataFrame, threshold: float, broadcast_bytes: int = BROADCAST_BYTES, pivots: int = PIVOTS) -> DataFrame:
+def self_join(vectors: DataFrame, threshold: float, broadcast_bytes: int = BROADCAST_BYTES, pivots: int | None = None) -> DataFrame:
     """(a, b, similarity), a < b, of all pairs of (id, v) with cosine at least threshold; exact.
 
-    Beyond broadcast_bytes, only block pairs meet that the pivots' triangle inequality leaves open."""
+    Beyond broadcast_bytes, only block pairs meet that the pivots' triangle inequality leaves open. There are about a quarter of the square root of the vectors, PIVOTS at least and
+    MOST_PIVOTS at most."""
     n, size = _size(vectors.where("v is not null"))
     if size <= broadcast_bytes:
         got = block_join(vectors.select(F.col("id").alias("q"), "v"), vectors.select(F.col("id").alias("c"), "v"), threshold)
         return got.where("q < c").select(F.col("q").alias("a"), F.col("c").alias("b"), "similarity")
-    placed, p, radius = pivoted(vectors, "id", pivots)
+    placed, p, radius = pivoted(vectors, "id", pivots or min(MOST_PIVOTS, max(PIVOTS, math.isqrt(n) // 4)))
     angle = math.acos(max(-1.0, min(1.0, threshold))) + 1e-9
     between = np.arccos(np.clip(p @ p.T, -1, 1))
     zero = threshold <= 0  # zero vectors have similarity 0 to everything
@@ -241,12 +242,21 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None =
     return got.where(postfilter) if postfilter is not None else got
 
 
-def scan_pairs(units: DataFrame, threshold: float, k: int = 100, selected: DataFrame | None = None, cross_only: bool = False) -> DataFrame:
+def scan_pairs(units: DataFrame, threshold: float, k: int = 100, selected: DataFrame | None = None, cross_only: bool = False, approximate: bool = False) -> DataFrame:
     """(unit_a, unit_b, similarity) as a scan finds them: for each selected unit the k nearest of ALL units, itself included, then the threshold, then no unit with itself,
     then (cross_only) no two units of one project, if both are selected; in canonical order, once each.
 
-    units: (qualified_name, project_id, embedding); selected: as many of them as are asked for, all by default."""
+    units: (qualified_name, project_id, embedding); selected: as many of them as are asked for, all by default. approximate: pairs by random projections, of which some may be missing and
+    which aren't cut to k; for stores too large for the exact way."""
     asked = units if selected is None else selected
+    if approximate:
+        found = approximate_self_join(units.select(F.col("qualified_name").alias("id"), F.col("embedding").alias("v")), threshold)
+        names = asked.select(F.col("qualified_name").alias("q"), F.col("project_id").alias("pq"))
+        both = found.select(F.col("a").alias("q"), F.col("b").alias("c"), "similarity").unionByName(found.select(F.col("b").alias("q"), F.col("a").alias("c"), "similarity")).join(names, "q")
+        if cross_only:
+            both = both.join(names.select(F.col("q").alias("c"), F.col("pq").alias("pc")), "c", "left").where(F.col("pc").isNull() | (F.col("pc") != F.col("pq")))
+        a, b = pair_key("q", "c")
+        return both.select(a.alias("unit_a"), b.alias("unit_b"), "similarity").groupBy("unit_a", "unit_b").agg(F.max("similarity").alias("similarity"))
     got = block_join(asked.select(F.col("qualified_name").alias("q"), F.col("embedding").alias("v")), units.select(F.col("qualified_name").alias("c"), F.col("embedding").alias("v")), threshold, k).where("q <> c")
     if cross_only:
         p = asked.select("qualified_name", "project_id")

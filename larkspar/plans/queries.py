@@ -335,7 +335,7 @@ def hook_stream(spark, d):
     base = shared_path(spark, "stream")
     _code_events(spark, d).drop("event").write.json(f"{base}/in")
     index = _code_index(spark, d)
-    q = stream.run(spark, f"{base}/in", f"{base}/out", f"{base}/state", lambda: (index, None, None), hook.HookConfig(max_results=1), DigestEmbedder())
+    q = stream.run(spark, f"{base}/in", f"{base}/out", f"{base}/state", lambda: (index, None, None), hook.HookConfig(max_results=1), DigestEmbedder(), version=lambda: 1)
     q.awaitTermination()
     return spark.read.schema("event string, result string, batch int").parquet(f"{base}/out")
 

@@ -21,12 +21,25 @@ def event_stream(spark: SparkSession, folder: str, max_files: int | None = None)
     return reader.json(folder).where("hook_event_name = 'PostToolUse'")
 
 
-def run(spark: SparkSession, folder: str, out: str, checkpoint: str, tables: Callable[[], tuple[DataFrame, DataFrame | None, DataFrame | None]], config: HookConfig, embedder: Embedder, available_now: bool = True) -> StreamingQuery:
-    """Appends (batch, event, result) to a Parquet folder. tables gives units, pairs and projects at the start of each micro-batch. A batch that is run again replaces what it wrote."""
+def run(spark: SparkSession, folder: str, out: str, checkpoint: str, tables: Callable[[], tuple[DataFrame, DataFrame | None, DataFrame | None]], config: HookConfig, embedder: Embedder, available_now: bool = True, version: Callable[[], object] | None = None) -> StreamingQuery:
+    """Appends (batch, event, result) to a Parquet folder. tables gives units, pairs and projects at the start of each micro-batch; with version, only where what that gives has changed
+    since the batch before (a store's versions, say), and they are cached in between. A batch that is run again replaces what it wrote."""
+    held: dict[str, object] = {}
+
+    def current() -> tuple:
+        if version is None:
+            return tables()
+        now = version()
+        if "tables" not in held or held["version"] != now:
+            for old in held.get("tables", ()):
+                if old is not None:
+                    old.unpersist()
+            held.update(version=now, tables=tuple(t if t is None else t.cache() for t in tables()))
+        return held["tables"]
 
     def lookup(batch: DataFrame, batch_id: int) -> None:
         events = batch.withColumn("event", F.sha2(F.to_json(F.struct("*")), 256)).dropDuplicates(["event"])
-        units, pairs, projects = tables()
+        units, pairs, projects = current()
         hook_lookup(events, units, pairs, projects, config, embedder).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     writer = event_stream(spark, folder).writeStream.foreachBatch(lookup).option("checkpointLocation", checkpoint)

@@ -103,3 +103,35 @@ def test_scanner(spark):
     assert [(r["unit_a"], r["unit_b"]) for r in got] == [("b", "a")]
     raw = spark.createDataFrame([("x", 0, 2), ("y", 0, 3)], "qualified_name string, range_start int, range_end int")
     assert [r[0] for r in Scanner().index_project(raw).select("qualified_name").collect()] == ["y"]
+
+
+def test_approximate_scan_recalls(spark):
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(30, 32))
+    m = centres[r.integers(0, 30, 240)] + r.normal(size=(240, 32)) * 0.2
+    u = vectors(spark, m, "qualified_name").select(F.col("qualified_name").cast("string"), (F.col("qualified_name") % 3).alias("project_id"), F.col("v").alias("embedding"))
+    want = {tuple(x) for x in s.scan_pairs(u, 0.8, 240).select("unit_a", "unit_b").collect()}
+    got = {tuple(x) for x in s.scan_pairs(u, 0.8, approximate=True).select("unit_a", "unit_b").collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) and want
+    cross = {tuple(x) for x in s.scan_pairs(u, 0.8, cross_only=True, approximate=True).select("unit_a", "unit_b").collect()}
+    assert cross == {(a, b) for a, b in got if int(a) % 3 != int(b) % 3}
+
+
+@pytest.mark.parametrize("broadcast", [1 << 24, 0])
+@pytest.mark.parametrize("same", [True, False])
+def test_groups_count_before_the_nearest_are_chosen(spark, broadcast, same, monkeypatch):
+    monkeypatch.setattr(s, "_COLUMNS", 7)
+    monkeypatch.setattr(s, "_ROWS", 5)
+    r = np.random.default_rng(6)
+    m = r.normal(size=(60, 6))
+    g = [None if i % 11 == 0 else i % 4 for i in range(60)]
+    v = spark.createDataFrame([(i, [float(x) for x in m[i]], g[i]) for i in range(60)], "id long, v array<float>, g long")
+    got = {}
+    for x in s.block_join(v.withColumnRenamed("id", "q"), v.withColumnRenamed("id", "c"), 0.0, 3, broadcast_bytes=broadcast, block_bytes=512, same=same).collect():
+        got.setdefault(x["q"], set()).add(x["c"])
+    u = m.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    for i in range(60):
+        open_to = [j for j in range(60) if g[i] is None or (g[i] == g[j]) == same]
+        want = sorted((j for j in open_to if u[i] @ u[j] >= 0), key=lambda j: -(u[i] @ u[j]))[:3]
+        assert got.get(i, set()) == set(want)
