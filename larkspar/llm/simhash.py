@@ -17,6 +17,7 @@ null id. Repeated rows are kept. An empty table gives an empty result. Other col
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from itertools import repeat
@@ -35,8 +36,9 @@ from larkspar.llm.parts import Parts, attach
 SHINGLE, BITS, HEAVY, SEED = 3, 2, 64, 42
 #: Fingerprints a task expands into probes, at most.
 A_TASK = 1 << 16
-#: Texts of a crowded segment value that each text meets beside the least one; bits of 256 in which near texts may differ; multipliers that make four numbers of a word's hash.
-NEAR, WIDE_BITS = 8, 72
+#: Texts that make a segment value crowded when there are more; those of it that each of them meets beside the least one; bits of 256 in which near texts may differ; hashes of a text by which
+#: similarity is estimated first; multipliers that make four numbers of a word's hash.
+CROWD, NEAR, WIDE_BITS, SKETCH = 16, 2, 72, 128
 _MIX = np.array([[0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]], np.uint64)
 _TURN = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -149,17 +151,18 @@ def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(key, pa.binary()), *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(4))], [*b.schema.names[:-1], "key", "f0", "f1", "f2", "f3"])
 
 
-def _shingles(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """(n, shingles): of each text the sorted different hashes of its shingles."""
+def _shingles(batches: Iterator[pa.RecordBatch], shingle: int, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """(n, shingles): of each text the sorted different hashes of its shingles, or the most smallest of them, in 32 bits."""
     for b in batches:
         found = []
         for t in raw(b):
             w = t.lower().split()
             grams = map(b" ".join, zip(*(w[i:] for i in range(shingle)), strict=False)) if len(w) >= shingle else [b" ".join(w)]
-            found.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64)).view(np.int64))
+            h = np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64)
+            found.append(np.unique(h).view(np.int64) if most is None else np.unique(h >> np.uint64(32))[:most].astype(np.uint32).view(np.int32))
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])])
-        values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
-        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("__n")), values], ["n", "shingles"])
+        values = np.concatenate([np.zeros(0, np.int64 if most is None else np.int32), *found])
+        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("__n")), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))], ["n", "shingles"])
 
 
 _F = [f"f{k}" for k in range(4)]
@@ -169,34 +172,37 @@ def _distance(a: str, b: str) -> Column:
     return reduce(Column.__add__, (F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in _F))
 
 
-def candidates(texts: DataFrame, heavy: int = HEAVY, near: int = NEAR) -> DataFrame:
+def candidates(texts: DataFrame, heavy: int = CROWD, near: int = NEAR) -> DataFrame:
     """(u, v), u < v, of numbered texts (n, f0 to f3) that may be near: one of their eight 32-bit segments differs in at most one bit, and all in at most WIDE_BITS.
 
-    Of a segment value that more than heavy texts share, each text meets only the least of them and the next few in the order of complete fingerprints."""
+    Of a segment value that more than heavy texts share, each text meets only the least of them and the next few in the order of complete fingerprints. So pairs are linear in the texts."""
     halves = [h for f in _F for h in (F.col(f).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f, 32))]
     segments = F.array(*(h.bitwiseOR(F.lit(k << 32)) for k, h in enumerate(halves)))
     masks = F.array(*(F.lit(m).cast("long") for m in [0, *(1 << i for i in range(32))]))
     index = texts.select("n", F.explode(segments).alias("segment"))
-    probes = index.select("n", F.explode(F.transform(masks, lambda m: F.col("segment").bitwiseXOR(m))).alias("segment"))
     crowded = Kept(index.groupBy("segment").count().where(F.col("count") > heavy).select("segment"), "crowded")
     dense = bool(crowded.df.limit(1).count())
     light = index.join(crowded.df, "segment", "left_anti") if dense else index
+    probes = light.select("n", F.explode(F.transform(masks, lambda m: F.col("segment").bitwiseXOR(m))).alias("segment"))
     pairs = probes.select("segment", F.col("n").alias("u")).join(light.select("segment", F.col("n").alias("v")).hint("shuffle_hash"), "segment").where("u < v").select("u", "v")
     if dense:
-        whole = texts.select("n", F.struct(*_F).alias("f"), F.explode(segments).alias("segment")).join(crowded.df, "segment", "left_semi")
+        whole = keep(texts.select("n", F.struct(*_F).alias("f"), F.explode(segments).alias("segment")).join(crowded.df, "segment", "left_semi"), "whole")
         order = W.partitionBy("segment").orderBy("f", "n")
         following = whole.select("n", F.array(*(F.lead("n", k).over(order) for k in range(1, near + 1))).alias("next"))
         beside = following.select("n", F.explode("next").alias("m")).where("m is not null")
-        # those one bit off, too, meet the least of a crowded value
-        least = whole.groupBy("segment").agg(F.min("n").alias("m"))
-        star = probes.join(least, "segment").where("n <> m").select("n", "m")
-        pairs = pairs.unionByName(beside.unionByName(star).select(F.least("n", "m").alias("u"), F.greatest("n", "m").alias("v")))
+        least = keep(whole.groupBy("segment").agg(F.min("n").alias("m")), "least")
+        star = whole.join(least, "segment").select("n", "m")
+        # the least of a crowded value and texts without one meet the least of what is one bit off
+        few = light.unionByName(least.select(F.col("m").alias("n"), "segment"))
+        off = few.select("n", F.explode(F.transform(masks, lambda m: F.col("segment").bitwiseXOR(m))).alias("segment")).join(least, "segment").select("n", "m")
+        some = reduce(DataFrame.unionByName, (beside, star, off)).where("n <> m")
+        pairs = pairs.unionByName(some.select(F.least("n", "m").alias("u"), F.greatest("n", "m").alias("v")))
     fps = texts.select("n", F.struct(*_F).alias("f"))
     met = pairs.distinct().join(fps.select(F.col("n").alias("u"), F.col("f").alias("a")), "u").join(fps.select(F.col("n").alias("v"), F.col("f").alias("b")), "v")
     return met.where(_distance("a", "b") <= WIDE_BITS).select("u", "v")
 
 
-def similar_members(parts: Parts, shingle: int = 5, similarity: float = 0.8, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
+def similar_members(parts: Parts, shingle: int = 5, similarity: float = 0.8, heavy: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """(doc_id, part, row, tie, n) of all rows, n being the number of their text (equal words: one text), and (n, root) of the texts that are near another one."""
     names = _comparable(parts.df)
     ids = parts.df.select(F.col("doc_id").cast("long").alias("doc_id"), parts.column.alias("part"), parts.row.alias("row"), F.xxhash64(*names).alias("tie"), "text")
@@ -205,16 +211,28 @@ def similar_members(parts: Parts, shingle: int = 5, similarity: float = 0.8, hea
     texts = keep(texts.withColumn("n", F.monotonically_increasing_id()), "texts")
     spread_out = texts.repartition(max(texts.sparkSession.sparkContext.defaultParallelism, texts.count() // (A_TASK // 4)), "n")
     pairs = keep(candidates(spread_out, heavy), "pairs")
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("n")).distinct().join(texts, "n").select("part", "row", F.col("n").alias("__n"))
-    read = attach(parts, asked, "asked").select("__n", "text")
-    sets = keep(map_texts(read, lambda x: _shingles(x, shingle), "n long, shingles array<bigint>"), "shingles")
-    met = pairs.join(sets.select(F.col("n").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("n").alias("v"), F.col("shingles").alias("b")), "v")
+
+    def sets(of: DataFrame, kind: str, most: int | None, name: str) -> DataFrame:
+        """(u, v, a, b): pairs with what is known of the shingles of both, read again from their texts alone."""
+        asked = of.select(F.explode(F.array("u", "v")).alias("n")).distinct().join(texts, "n").select("part", "row", F.col("n").alias("__n"))
+        read = attach(parts, asked, name).select("__n", "text")
+        known = keep(map_texts(read, lambda x: _shingles(x, shingle, most), f"n long, shingles array<{kind}>"), name)
+        return of.join(known.select(F.col("n").alias("u"), F.col("shingles").alias("a")), "u").join(known.select(F.col("n").alias("v"), F.col("shingles").alias("b")), "v")
+
+    # the smallest hashes estimate the similarity with a standard error of 0.035 at 0.8; what is four of them below can't be near
+    hint = sets(pairs, "int", SKETCH, "sketches")
+    least = F.slice(F.array_sort(F.transform(F.array_union("a", "b"), lambda x: x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 1, SKETCH)
+    shared = F.transform(F.array_intersect("a", "b"), lambda x: x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    estimate = F.size(F.array_intersect(least, shared)) / F.size(least)
+    margin = 4 * math.sqrt(similarity * (1 - similarity) / SKETCH)
+    likely = keep(hint.where(estimate >= similarity - margin).select("u", "v"), "likely")
+    met = sets(likely, "bigint", None, "shingles")
     both = F.size(F.array_intersect("a", "b"))
     links = met.where(both >= F.lit(similarity) * (F.size("a") + F.size("b") - both)).select("u", "v")
     return rows.join(texts.select("key", "n"), "key").select("doc_id", "part", "row", "tie", "n"), components(links).select(F.col("node").alias("n"), "root")
 
 
-def dedup_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, heavy: int = HEAVY) -> DataFrame:
+def dedup_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, heavy: int = CROWD) -> DataFrame:
     """docs with one row of each group of near duplicates: texts of equal words, and texts whose sets of shingles have a Jaccard similarity of at least similarity, directly or through
     others. The row with the smallest doc_id stays (then: of the smallest hash of all columns). All columns pass unchanged; rows stay where they are.
 
