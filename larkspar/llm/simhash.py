@@ -13,6 +13,11 @@ Equal texts have equal fingerprints and meet once, in the aggregate over fingerp
 
 Nulls and texts without a word have fingerprint zero and are linked like any other. A null doc_id is larger than every other; a component of nulls only has a
 null id. Repeated rows are kept. An empty table gives an empty result. Other columns are ignored, or passed through by dedup().
+
+dedup_similar() takes another law, for texts that say nearly the same: Jaccard similarity of their sets of five-word shingles, 0.8 or more. Fingerprints of shingles differ in about 10 of 64
+bits there, out of reach of small balls, so candidates come from fingerprints of 256 bits of a text's different words: eight 32-bit segments, balls of radius 1, complete distances. Then
+the smallest hashes of the shingles estimate the similarity, and the shingles themselves, read again from the likely texts only, decide. Texts of equal words are one text. Odd rows are as
+above; texts of under five words are near only where they are equal.
 """
 
 from __future__ import annotations
