@@ -7,6 +7,7 @@ from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
 
+from larkspar.api import ArchitectureAnalyzer
 from larkspar.functions import scalars as sc
 from larkspar.operators import callgraph, hook
 from larkspar.operators.extract import extract_functions
@@ -197,6 +198,25 @@ for _language in symbols.RULES:
     query(_symbols_sql(_language), f"symbols_{_language}")(_symbols(_language))
 
 
+@query(
+    "SELECT concat('/ws/c', c_custkey) AS file_path, line, name FROM customer, (VALUES (1, 'go(a:b:)', 0), (1, 'go(a:b:)', 1), (10, 'within', 0), (10, 'within', 1), (6, 'free', 1)) v(line, name, odd) WHERE odd = c_custkey % 2"
+)
+def adapter_graph(spark, d):
+    """A project's functions and calls from its dumps, and what nobody calls: methods call the free function in every other file, and it calls the local one."""
+    dump, text = _dump(spark, d)
+    paths = [shared_path(spark, "dump"), shared_path(spark, "calls")]
+    dump.write.json(paths[0])
+    ends = F.array(F.struct(F.lit(1).alias("a"), F.lit(6).alias("b")), F.struct(F.lit(6).alias("a"), F.lit(2).alias("b")))
+    k = F.substring("file_path", 6, 20).cast("long")
+    calls = text.select("file_path", F.posexplode(ends).alias("ord", "x")).where((F.col("x.a") == 6) | (k % 2 == 0))
+    calls.select(F.col("file_path").alias("src_file"), F.col("x.a").alias("src_line"), F.col("file_path").alias("dst_file"), F.col("x.b").alias("dst_line"), F.lit("x").alias("dst_name"), "ord").write.json(paths[1])
+    adapter = symbols.DumpAdapter(spark, *paths, text, "typescript")
+    adapter.start()
+    got = ArchitectureAnalyzer.of(adapter.get_functions(), adapter.get_call_hierarchy()).find_dead_code()
+    adapter.stop()
+    return got
+
+
 @query("SELECT concat('/ws/', l_returnflag) AS file_path, l_suppkey AS line, concat('p', arg_max(l_partkey, l_orderkey * 100000 + l_linenumber * 10000 + l_partkey % 10000)) AS name FROM lineitem GROUP BY l_returnflag, l_suppkey")
 def graph_nodes(spark, d):
     """Of the units selected at one place, the last is the node."""
