@@ -190,21 +190,28 @@ def candidates(texts: DataFrame, heavy: int = CROWD, near: int = NEAR) -> DataFr
     light = index.join(crowded.df, "segment", "left_anti") if dense else index
     probes = light.select("n", F.explode(F.transform(masks, lambda m: F.col("segment").bitwiseXOR(m))).alias("segment"))
     pairs = probes.select("segment", F.col("n").alias("u")).join(light.select("segment", F.col("n").alias("v")).hint("shuffle_hash"), "segment").where("u < v").select("u", "v")
+    known = []
     if dense:
         whole = keep(texts.select("n", F.struct(*_F).alias("f"), F.explode(segments).alias("segment")).join(crowded.df, "segment", "left_semi"), "whole")
         order = W.partitionBy("segment").orderBy("f", "n")
-        following = whole.select("n", F.array(*(F.lead("n", k).over(order) for k in range(1, near + 1))).alias("next"))
-        beside = following.select("n", F.explode("next").alias("m")).where("m is not null")
-        least = keep(whole.groupBy("segment").agg(F.min("n").alias("m")), "least")
-        star = whole.join(least, "segment").select("n", "m")
+        following = whole.select("n", "f", F.array(*(F.lead(F.struct("n", "f"), k).over(order) for k in range(1, near + 1))).alias("next"))
+        beside = following.select(F.struct("n", "f").alias("x"), F.explode("next").alias("y")).where("y is not null")
+        least = keep(whole.groupBy("segment").agg(F.min(F.struct("n", "f")).alias("y")), "least")
+        star = whole.join(least, "segment").select(F.struct("n", "f").alias("x"), "y")
+        # both sides' fingerprints are at hand, so only what is near leaves these
+        known = [p.select("x.n", F.col("y.n").alias("m"), F.col("x.f").alias("a"), F.col("y.f").alias("b")).where(_distance("a", "b") <= WIDE_BITS).select("n", "m") for p in (beside, star)]
         # the least of a crowded value and texts without one meet the least of what is one bit off
-        few = light.unionByName(least.select(F.col("m").alias("n"), "segment"))
-        off = few.select("n", F.explode(F.transform(masks, lambda m: F.col("segment").bitwiseXOR(m))).alias("segment")).join(least, "segment").select("n", "m")
-        some = reduce(DataFrame.unionByName, (beside, star, off)).where("n <> m")
-        pairs = pairs.unionByName(some.select(F.least("n", "m").alias("u"), F.greatest("n", "m").alias("v")))
+        few = light.unionByName(least.select("y.n", "segment"))
+        off = few.select("n", F.explode(F.transform(masks, lambda m: F.col("segment").bitwiseXOR(m))).alias("segment")).join(least, "segment").select("n", F.col("y.n").alias("m"))
+        pairs = pairs.unionByName(_ordered(off))
     fps = texts.select("n", F.struct(*_F).alias("f"))
     met = pairs.distinct().join(fps.select(F.col("n").alias("u"), F.col("f").alias("a")), "u").join(fps.select(F.col("n").alias("v"), F.col("f").alias("b")), "v")
-    return met.where(_distance("a", "b") <= WIDE_BITS).select("u", "v")
+    met = met.where(_distance("a", "b") <= WIDE_BITS).select("u", "v")
+    return reduce(DataFrame.unionByName, (met, *map(_ordered, known))).distinct()
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("n <> m").select(F.least("n", "m").alias("u"), F.greatest("n", "m").alias("v"))
 
 
 def similar_members(parts: Parts, shingle: int = 5, similarity: float = 0.8, heavy: int = CROWD) -> tuple[DataFrame, DataFrame]:
