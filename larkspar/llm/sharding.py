@@ -20,7 +20,6 @@ import heapq
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,21 +48,21 @@ def splitters(rows: DataFrame, total: int) -> np.ndarray:
     return np.unique(np.concatenate([cuts, hot[hot < np.iinfo(np.int64).max] + 1]))
 
 
-def _range_of(cuts: np.ndarray) -> Column:
-    @F.pandas_udf("int")
-    def f(h: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, h.to_numpy(), "right").astype(np.int32))
+def _located(df: DataFrame, cuts: np.ndarray, first: np.ndarray, pieces: np.ndarray) -> DataFrame:
+    """df with __range, the number of cuts up to __h, and __piece, the range's first piece plus a hash of doc_id modulo its pieces.
 
-    return f("__h")
-
-
-def _piece_of(cuts: np.ndarray, first: np.ndarray, pieces: np.ndarray) -> Column:
-    @F.pandas_udf("int")
-    def f(h: pd.Series, salt: pd.Series) -> pd.Series:
-        r = np.searchsorted(cuts, h.to_numpy(), "right")
-        return pd.Series((first[r] + salt.to_numpy() % pieces[r]).astype(np.int32))
-
-    return f("__h", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(5)), 1))
+    Hashes are spread evenly, so their leading bits lead to a few cuts each: a broadcast table of twice as many rows as there are cuts, at most."""
+    bits = max(1, math.ceil(math.log2(len(cuts) + 1)))
+    lead = cuts >> np.int64(64 - bits)
+    rows = []
+    for k in range(-(1 << (bits - 1)), 1 << (bits - 1)):
+        i, j = (int(x) for x in np.searchsorted(lead, [k, k + 1]))
+        rows.append((k, i, cuts[i:j].tolist(), first[i : j + 1].tolist(), pieces[i : j + 1].tolist()))
+    near = F.broadcast(df.sparkSession.createDataFrame(rows, "__lead long, __i int, __cuts array<bigint>, __first array<int>, __pieces array<int>"))
+    got = df.withColumn("__lead", F.shiftright("__h", 64 - bits)).join(near, "__lead").withColumn("__k", F.size(F.filter("__cuts", lambda c: c <= F.col("__h"))))
+    salt = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(5)), 1)
+    piece = F.get("__first", F.col("__k")) + F.pmod(salt, F.get("__pieces", F.col("__k"))).cast("int")
+    return got.withColumn("__range", F.col("__i") + F.col("__k")).withColumn("__piece", piece).drop("__lead", "__i", "__cuts", "__first", "__pieces", "__k")
 
 
 def placed_first(thin: DataFrame, total: int, shards: int) -> tuple[list[tuple[int, int]], list[tuple[int, int | None, int]], list[int]]:
@@ -107,7 +106,8 @@ def shard(thin: DataFrame, shards: int = SHARDS) -> DataFrame:
     spark = thin.sparkSession
     total = thin.agg(F.coalesce(F.sum("__size"), F.lit(0))).first()[0]
     cuts = splitters(thin, total)
-    by_range = dict(thin.groupBy(_range_of(cuts).alias("r")).agg(F.sum("__size")).collect())  # at most 2 * MAX_RANGES rows
+    ones = np.ones(len(cuts) + 1, np.int64)
+    by_range = dict(_located(thin, cuts, ones, ones).groupBy("__range").agg(F.sum("__size")).collect())  # at most 2 * MAX_RANGES rows
     sizes = np.array([by_range.get(r, 0) for r in range(len(cuts) + 1)], np.int64)
     pieces = np.maximum(1, np.ceil(sizes / max(1.0, 2 * total / len(sizes)))).astype(np.int64)
     first, alone = np.cumsum(pieces) - pieces, np.repeat(pieces > 1, pieces).tolist()
@@ -116,7 +116,7 @@ def shard(thin: DataFrame, shards: int = SHARDS) -> DataFrame:
     texts = F.broadcast(spark.createDataFrame(single, "__m long, __d long, __two int"))
 
     def placed(df: DataFrame) -> DataFrame:
-        got = df.withColumn("__piece", _piece_of(cuts, first, pieces)).join(large, F.col("__h") == F.col("__l"), "left")
+        got = _located(df, cuts, first, pieces).drop("__range").join(large, F.col("__h") == F.col("__l"), "left")
         got = got.join(texts, (F.col("__h") == F.col("__m")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__d")), "left").withColumn("__fixed", F.coalesce("__one", "__two")).drop("__l", "__m", "__d", "__one", "__two")
         return got.withColumn("__fill", F.when(F.col("__fixed").isNull(), F.col("__size")).otherwise(0))
 
