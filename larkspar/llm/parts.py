@@ -132,13 +132,18 @@ def _by_row(t: pa.Table) -> tuple[np.ndarray, pa.Table]:
     return t["row"].to_numpy(), t
 
 
-def attach(parts: Parts, chosen: DataFrame, name: str) -> DataFrame:
-    """The rows of parts.df that chosen (part, row, ...) names, once each, with its other columns added. Rows are read where they are: none is shuffled, only chosen is."""
+def attach(parts: Parts, chosen: DataFrame, name: str, columns: list[str] | None = None, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, schema: str = "") -> DataFrame:
+    """The rows of parts.df that chosen (part, row, ...) names, once each, with its other columns added. Rows are read where they are: none is shuffled, only chosen is.
+
+    columns: those of parts.df that are wanted, all by default. then: what is made of these rows, of the given schema, by the same Python worker."""
     added = [c for c in chosen.columns if c not in ("part", "row")]
     there = parts.df.select(parts.column.alias("part")).distinct().select("part", F.lit(-1).cast("long").alias("row"), *(F.lit(None).cast(chosen.schema[c].dataType).alias(c) for c in added))
     back = parts.sent_back(chosen.select("part", "row", *added).unionByName(there), name, ("row",))
     side = Side(back.path, parts.buckets, _by_row)
-    fields = [*parts.df.schema.fields, *(chosen.schema[c] for c in added)]
-    schema = StructType([StructField(f.name, f.dataType) for f in fields])
-    arrow = to_arrow_schema(schema)
-    return map_texts(parts.rows, lambda x: _attach(x, side, added, arrow), schema)
+    wanted = parts.df.columns if columns is None else columns
+    fields = StructType([StructField(f.name, f.dataType) for f in [*(parts.df.schema[c] for c in wanted), *(chosen.schema[c] for c in added)]])
+    arrow = to_arrow_schema(fields)
+    rows = parts.rows if columns is None else parts.df.select(parts.column.alias("__part"), parts.row.alias("__row"), *columns)
+    if then is None:
+        return map_texts(rows, lambda x: _attach(x, side, added, arrow), fields)
+    return map_texts(rows, lambda x: then(_attach(x, side, added, arrow)), schema)

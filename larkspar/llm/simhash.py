@@ -227,8 +227,7 @@ def similar_members(parts: Parts, shingle: int = 5, similarity: float = 0.8, hea
     def sets(of: DataFrame, kind: str, most: int | None, name: str) -> DataFrame:
         """(u, v, a, b): pairs with what is known of the shingles of both, read again from their texts alone."""
         asked = of.select(F.explode(F.array("u", "v")).alias("n")).distinct().join(texts, "n").select("part", "row", F.col("n").alias("__n"))
-        read = attach(parts, asked, name).select("__n", "text")
-        known = keep(map_texts(read, lambda x: _shingles(x, shingle, most), f"n long, shingles array<{kind}>"), name)
+        known = keep(attach(parts, asked, name, ["text"], lambda x: _shingles(x, shingle, most), f"n long, shingles array<{kind}>"), name)
         return of.join(known.select(F.col("n").alias("u"), F.col("shingles").alias("a")), "u").join(known.select(F.col("n").alias("v"), F.col("shingles").alias("b")), "v")
 
     # the smallest hashes estimate the similarity with a standard error of 0.035 at 0.8; what is four of them below can't be near
