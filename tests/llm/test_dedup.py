@@ -45,7 +45,7 @@ def brute_components(rows):
 
 def test_components(spark):
     r = random.Random(3)
-    edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(50)] + [(5, 5)]
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(24)] + [(2000, 2001 + i) for i in range(50)] + [(5, 5)]
     root = {}
 
     def find(x):

@@ -13,7 +13,7 @@ def test_buckets_are_spark_partitions(spark):
     assert all(parts.spark_hash(x) == h for x, h in got)
 
 
-@pytest.mark.parametrize("least", [5_000, 32 << 20])
+@pytest.mark.parametrize("least", [40_000, 32 << 20])
 def test_attach_finds_its_rows(spark, odd, tmp_path, monkeypatch, least):
     """Rows of equal content are told apart; other splits in the second scan."""
     monkeypatch.setattr(parts, "LEAST_PART", least)
