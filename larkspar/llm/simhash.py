@@ -15,14 +15,13 @@ Nulls and texts without a word have fingerprint zero and are linked like any oth
 null id. Repeated rows are kept. An empty table gives an empty result. Other columns are ignored, or passed through by dedup().
 
 dedup_similar() takes another law, for texts that say nearly the same: Jaccard similarity of their sets of five-word shingles, 0.8 or more. Fingerprints of shingles differ in about 10 of 64
-bits there, out of reach of small balls, so candidates come from fingerprints of 256 bits of a text's different words: eight 32-bit segments, balls of radius 1, complete distances. Then
-the smallest hashes of the shingles estimate the similarity, and the shingles themselves, read again from the likely texts only, decide. Texts of equal words are one text. Odd rows are as
+bits there, out of reach of small balls, so candidates come from fingerprints of 256 bits of a text's different words: eight 32-bit segments, balls of radius 1. Complete distances of these
+and of fingerprints of 256 bits of the shingles drop most of the others, and the shingles themselves, read again from the texts that are left, decide. Texts of equal words are one text. Odd rows are as
 above; texts of under five words are near only where they are equal.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 from itertools import repeat
@@ -41,9 +40,9 @@ from larkspar.llm.parts import Parts, attach
 SHINGLE, BITS, HEAVY, SEED = 3, 2, 64, 42
 #: Fingerprints a task expands into probes, at most.
 A_TASK = 1 << 16
-#: Texts that make a segment value crowded when there are more; those of it that each of them meets beside the least one; bits of 256 in which near texts may differ; hashes of a text by which
-#: similarity is estimated first; multipliers that make four numbers of a word's hash.
-CROWD, NEAR, WIDE_BITS, SKETCH = 16, 2, 72, 128
+#: Texts that make a segment value crowded when there are more; those of it that each of them meets beside the least one; bits of 256 in which near texts' fingerprints of
+#: words and of shingles may differ (at a similarity of 0.8, those of shingles differ in 39 with a standard deviation of 6); multipliers that make four numbers of a word's hash.
+CROWD, NEAR, WIDE_BITS, SHINGLE_BITS = 16, 2, 72, 64
 _MIX = np.array([[0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]], np.uint64)
 _TURN = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -136,9 +135,9 @@ def dedup(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 # Near duplicates by similarity of texts: the same search, wider fingerprints for candidates, and the texts' own shingles to verify them
 
 
-def wide_fingerprint(words: list[bytes]) -> np.ndarray:
-    """The SimHash of the different words of a text, of 256 bits, as four unsigned numbers."""
-    h = np.fromiter(map(xxhash.xxh64_intdigest, set(words)), np.uint64)
+def wide_fingerprint(parts: set[bytes]) -> np.ndarray:
+    """The SimHash of a set, of 256 bits, as four unsigned numbers."""
+    h = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))
     ones, n = np.zeros(256, np.int64), len(h)
     for i in range(0, n, 16_384):
         x = h[i : i + 16_384, None] * _MIX
@@ -148,37 +147,42 @@ def wide_fingerprint(words: list[bytes]) -> np.ndarray:
     return np.packbits(2 * ones > n, bitorder="little").view("<u8")
 
 
-def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = [t.lower().split() for t in raw(b)]
-        f = np.array([wide_fingerprint(w) for w in texts], "<u8").reshape(len(texts), 4).view(np.int64)
-        key = [xxhash.xxh3_128_digest(b" ".join(w)) for w in texts]
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(key, pa.binary()), *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(4))], [*b.schema.names[:-1], "key", "f0", "f1", "f2", "f3"])
+def _grams(w: list[bytes], shingle: int) -> Iterator[bytes]:
+    return map(b" ".join, zip(*(w[i:] for i in range(shingle)), strict=False)) if len(w) >= shingle else iter([b" ".join(w)])
 
 
-def _shingles(batches: Iterator[pa.RecordBatch], shingle: int, most: int | None = None) -> Iterator[pa.RecordBatch]:
-    """(n, shingles): of each text the sorted different hashes of its shingles, or the most smallest of them, in 32 bits."""
+def _wide(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = []
+        key, found = [], []
         for t in raw(b):
             w = t.lower().split()
-            grams = map(b" ".join, zip(*(w[i:] for i in range(shingle)), strict=False)) if len(w) >= shingle else [b" ".join(w)]
-            h = np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64)
-            found.append(np.unique(h).view(np.int64) if most is None else np.unique(h >> np.uint64(32))[:most].astype(np.uint32).view(np.int32))
+            key.append(xxhash.xxh3_128_digest(b" ".join(w)))
+            found.append([*wide_fingerprint(set(w)), *wide_fingerprint(set(_grams(w, shingle)))])
+        f = np.array(found, "<u8").reshape(len(found), 8).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(key, pa.binary()), *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(8))], [*b.schema.names[:-1], "key", *_F, *_G])
+
+
+def _shingles(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """(n, shingles): of each text the sorted different hashes of its shingles."""
+    for b in batches:
+        found = [np.unique(np.fromiter(map(xxhash.xxh64_intdigest, _grams(t.lower().split(), shingle)), np.uint64)).view(np.int64) for t in raw(b)]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])])
-        values = np.concatenate([np.zeros(0, np.int64 if most is None else np.int32), *found])
+        values = np.concatenate([np.zeros(0, np.int64), *found])
         yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("__n")), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))], ["n", "shingles"])
 
 
-_F = [f"f{k}" for k in range(4)]
+#: The fingerprint of the different words, and that of the different shingles.
+_F, _G = [f"f{k}" for k in range(4)], [f"g{k}" for k in range(4)]
 
 
-def _distance(a: str, b: str) -> Column:
-    return reduce(Column.__add__, (F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in _F))
+def _near(a: str, b: str) -> Column:
+    """Whether the complete fingerprints of two texts leave it open that they are near."""
+    words, shingles = (reduce(Column.__add__, (F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in fs)) for fs in (_F, _G))
+    return (words <= WIDE_BITS) & (shingles <= SHINGLE_BITS)
 
 
 def candidates(texts: DataFrame, heavy: int = CROWD, near: int = NEAR) -> DataFrame:
-    """(u, v), u < v, of numbered texts (n, f0 to f3) that may be near: one of their eight 32-bit segments differs in at most one bit, and all in at most WIDE_BITS.
+    """(u, v), u < v, of numbered texts (n, f0 to f3, g0 to g3) that may be near: one of the eight 32-bit segments of f differs in at most one bit, f in at most WIDE_BITS and g in at most SHINGLE_BITS.
 
     Of a segment value that more than heavy texts share, each text meets only the least of them and the next few in the order of complete fingerprints. So pairs are linear in the texts."""
     halves = [h for f in _F for h in (F.col(f).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f, 32))]
@@ -192,21 +196,21 @@ def candidates(texts: DataFrame, heavy: int = CROWD, near: int = NEAR) -> DataFr
     pairs = probes.select("segment", F.col("n").alias("u")).join(light.select("segment", F.col("n").alias("v")).hint("shuffle_hash"), "segment").where("u < v").select("u", "v")
     known = []
     if dense:
-        whole = keep(texts.select("n", F.struct(*_F).alias("f"), F.explode(segments).alias("segment")).join(crowded.df, "segment", "left_semi"), "whole")
+        whole = keep(texts.select("n", F.struct(*_F, *_G).alias("f"), F.explode(segments).alias("segment")).join(crowded.df, "segment", "left_semi"), "whole")
         order = W.partitionBy("segment").orderBy("f", "n")
         following = whole.select("n", "f", F.array(*(F.lead(F.struct("n", "f"), k).over(order) for k in range(1, near + 1))).alias("next"))
         beside = following.select(F.struct("n", "f").alias("x"), F.explode("next").alias("y")).where("y is not null")
         least = keep(whole.groupBy("segment").agg(F.min(F.struct("n", "f")).alias("y")), "least")
         star = whole.join(least, "segment").select(F.struct("n", "f").alias("x"), "y")
         # both sides' fingerprints are at hand, so only what is near leaves these
-        known = [p.select("x.n", F.col("y.n").alias("m"), F.col("x.f").alias("a"), F.col("y.f").alias("b")).where(_distance("a", "b") <= WIDE_BITS).select("n", "m") for p in (beside, star)]
+        known = [p.select("x.n", F.col("y.n").alias("m"), F.col("x.f").alias("a"), F.col("y.f").alias("b")).where(_near("a", "b")).select("n", "m") for p in (beside, star)]
         # the least of a crowded value and texts without one meet the least of what is one bit off
         few = light.unionByName(least.select("y.n", "segment"))
         off = few.select("n", F.explode(F.transform(masks, lambda m: F.col("segment").bitwiseXOR(m))).alias("segment")).join(least, "segment").select("n", F.col("y.n").alias("m"))
         pairs = pairs.unionByName(_ordered(off))
-    fps = texts.select("n", F.struct(*_F).alias("f"))
+    fps = texts.select("n", F.struct(*_F, *_G).alias("f"))
     met = pairs.distinct().join(fps.select(F.col("n").alias("u"), F.col("f").alias("a")), "u").join(fps.select(F.col("n").alias("v"), F.col("f").alias("b")), "v")
-    met = met.where(_distance("a", "b") <= WIDE_BITS).select("u", "v")
+    met = met.where(_near("a", "b")).select("u", "v")
     return reduce(DataFrame.unionByName, (met, *map(_ordered, known))).distinct()
 
 
@@ -218,26 +222,14 @@ def similar_members(parts: Parts, shingle: int = 5, similarity: float = 0.8, hea
     """(doc_id, part, row, tie, n) of all rows, n being the number of their text (equal words: one text), and (n, root) of the texts that are near another one."""
     names = _comparable(parts.df)
     ids = parts.df.select(F.col("doc_id").cast("long").alias("doc_id"), parts.column.alias("part"), parts.row.alias("row"), F.xxhash64(*names).alias("tie"), "text")
-    rows = keep(map_texts(ids, _wide, "doc_id long, part long, row long, tie long, key binary, f0 long, f1 long, f2 long, f3 long"), "fingerprints")
-    texts = rows.groupBy("key").agg(F.min(F.struct("part", "row", *_F)).alias("x")).select("key", "x.*")
+    rows = keep(map_texts(ids, lambda x: _wide(x, shingle), "doc_id long, part long, row long, tie long, key binary, " + ", ".join(f"{c} long" for c in (*_F, *_G))), "fingerprints")
+    texts = rows.groupBy("key").agg(F.min(F.struct("part", "row", *_F, *_G)).alias("x")).select("key", "x.*")
     texts = keep(texts.withColumn("n", F.monotonically_increasing_id()), "texts")
     spread_out = texts.repartition(max(texts.sparkSession.sparkContext.defaultParallelism, texts.count() // (A_TASK // 4)), "n")
     pairs = keep(candidates(spread_out, heavy), "pairs")
-
-    def sets(of: DataFrame, kind: str, most: int | None, name: str) -> DataFrame:
-        """(u, v, a, b): pairs with what is known of the shingles of both, read again from their texts alone."""
-        asked = of.select(F.explode(F.array("u", "v")).alias("n")).distinct().join(texts, "n").select("part", "row", F.col("n").alias("__n"))
-        known = keep(attach(parts, asked, name, ["text"], lambda x: _shingles(x, shingle, most), f"n long, shingles array<{kind}>"), name)
-        return of.join(known.select(F.col("n").alias("u"), F.col("shingles").alias("a")), "u").join(known.select(F.col("n").alias("v"), F.col("shingles").alias("b")), "v")
-
-    # the smallest hashes estimate the similarity with a standard error of 0.035 at 0.8; what is four of them below can't be near
-    hint = sets(pairs, "int", SKETCH, "sketches")
-    least = F.slice(F.array_sort(F.transform(F.array_union("a", "b"), lambda x: x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 1, SKETCH)
-    shared = F.transform(F.array_intersect("a", "b"), lambda x: x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-    estimate = F.size(F.array_intersect(least, shared)) / F.size(least)
-    margin = 4 * math.sqrt(similarity * (1 - similarity) / SKETCH)
-    likely = keep(hint.where(estimate >= similarity - margin).select("u", "v"), "likely")
-    met = sets(likely, "bigint", None, "shingles")
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("n")).distinct().join(texts, "n").select("part", "row", F.col("n").alias("__n"))
+    sets = keep(attach(parts, asked, "asked", ["text"], lambda x: _shingles(x, shingle), "n long, shingles array<bigint>"), "shingles")
+    met = pairs.join(sets.select(F.col("n").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("n").alias("v"), F.col("shingles").alias("b")), "v")
     both = F.size(F.array_intersect("a", "b"))
     links = met.where(both >= F.lit(similarity) * (F.size("a") + F.size("b") - both)).select("u", "v")
     return rows.join(texts.select("key", "n"), "key").select("doc_id", "part", "row", "tie", "n"), components(links).select(F.col("node").alias("n"), "root")
