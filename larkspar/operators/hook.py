@@ -14,6 +14,7 @@ from larkspar.operators.embed import Embedder, embed_bodies
 from larkspar.operators.extract import extract_functions
 from larkspar.operators.review import without_ignored
 from larkspar.operators.similarity import block_join
+from larkspar.tables import written
 
 SCOPES, NOTIFY = ("all", "project", "cross"), ("block", "user")
 #: Ignored partners of a query up to which the join makes room for them.
@@ -73,7 +74,8 @@ def similar_units(queries: DataFrame, units: DataFrame, pairs: DataFrame | None,
         near = block_join(q, corpus, config.threshold, wanted + 1, same=same)
     else:
         ignored = pairs.where("status = 'ignored'").select(F.explode(F.array("unit_a", "unit_b")).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
-        q = q.join(ignored, q["q.qualified_name"] == ignored["name"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        q = q.join(ignored, q["q.qualified_name"] == ignored["name"], "left").withColumn("n", F.coalesce("n", F.lit(0))).drop("name")
+        q = written(q, "hook_queries")  # asked three times below
         most = q.where(F.col("n") <= MANY_IGNORED).agg(F.max("n")).first()[0] or 0
         near = block_join(q.where(F.col("n") <= MANY_IGNORED), corpus, config.threshold, wanted + 1 + most, same=same)
         if q.where(F.col("n") > MANY_IGNORED).limit(1).count():
