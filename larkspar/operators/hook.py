@@ -19,6 +19,8 @@ from larkspar.tables import written
 SCOPES, NOTIFY = ("all", "project", "cross"), ("block", "user")
 #: Ignored partners of a query up to which the join makes room for them.
 MANY_IGNORED = 64
+#: Tasks that share the functions of one working folder.
+DEALT = 64
 
 
 @dataclass(frozen=True)
@@ -62,26 +64,26 @@ def similar_units(queries: DataFrame, units: DataFrame, pairs: DataFrame | None,
     """MATCH rows (and query columns event, project_id) for queries (event, qualified_name, file_path, line, project_id, embedding); equal queries are one.
 
     Never a unit with itself, never an ignored pair. scope_first: scope is applied before each query's best max_results are chosen. Otherwise the nearest
-    max(3 * max_results, 50) that are neither are taken first, and the threshold, scope and max_results apply to those.
+    max(3 * max_results, 50) that are neither are taken first, and the threshold, scope and max_results apply to those (for scope all, that is the same).
 
-    The join itself keeps each query's best only: as many as are wanted, one more for the unit itself, and as many as it has ignored partners (up to MANY_IGNORED; queries with more
-    are joined by threshold alone)."""
+    The join itself keeps each query's best only: as many as are wanted, and as many as it has ignored partners (up to MANY_IGNORED; queries with more are joined by threshold alone)."""
+    scope_first = scope_first or config.scope not in ("project", "cross")
     wanted = config.max_results if scope_first else max(3 * config.max_results, 50)
+    apart = F.col("q.qualified_name") != F.col("c.qualified_name")
     same = {"project": True, "cross": False}.get(config.scope) if scope_first else None
     q = queries.where("embedding is not null").select(F.struct("event", "qualified_name", "file_path", "line", "project_id").alias("q"), F.col("embedding").alias("v"), F.col("project_id").alias("g")).dropDuplicates(["q"])
     corpus = units.select(F.struct("qualified_name", "project_id", "file_path", "range_start").alias("c"), F.col("embedding").alias("v"), F.col("project_id").alias("g"))
     if pairs is None:
-        near = block_join(q, corpus, config.threshold, wanted + 1, same=same)
+        near = block_join(q, corpus, config.threshold, wanted, same=same, apart=apart)
     else:
         ignored = pairs.where("status = 'ignored'").select(F.explode(F.array("unit_a", "unit_b")).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
         q = q.join(ignored, q["q.qualified_name"] == ignored["name"], "left").withColumn("n", F.coalesce("n", F.lit(0))).drop("name")
         q = written(q, "hook_queries")  # asked three times below
         most = q.where(F.col("n") <= MANY_IGNORED).agg(F.max("n")).first()[0] or 0
-        near = block_join(q.where(F.col("n") <= MANY_IGNORED), corpus, config.threshold, wanted + 1 + most, same=same)
+        near = block_join(q.where(F.col("n") <= MANY_IGNORED), corpus, config.threshold, wanted + most, same=same, apart=apart)
         if q.where(F.col("n") > MANY_IGNORED).limit(1).count():
-            near = near.unionByName(block_join(q.where(F.col("n") > MANY_IGNORED), corpus, config.threshold, same=same))
+            near = near.unionByName(block_join(q.where(F.col("n") > MANY_IGNORED), corpus, config.threshold, same=same, apart=apart))
     got = near.select("q", "similarity", "q.event", "q.project_id", F.col("q.qualified_name").alias("current_name"), F.col("q.file_path").alias("current_file"), F.col("q.line").alias("current_line"), F.col("c.qualified_name").alias("similar_name"), F.col("c.project_id").alias("similar_project"), F.col("c.file_path").alias("similar_file"), F.col("c.range_start").alias("similar_line"))
-    got = got.where(F.col("similar_name") != F.col("current_name"))
     if pairs is not None:
         got = without_ignored(got, pairs, "current_name", "similar_name")
     got = got.withColumn("is_cross_project", F.coalesce(F.col("similar_project") != F.col("project_id"), F.lit(True)))
@@ -123,21 +125,29 @@ def results(events: DataFrame, messages: DataFrame, notify: str = "block") -> Da
 
 def edited_units(events: DataFrame, config: HookConfig, embedder: Embedder) -> DataFrame:
     """The functions in the code that PostToolUse events write, embedded; of other events, and files that are no code, nothing."""
-    code = events.where(F.col("hook_event_name") == "PostToolUse").select("event", "project_id", F.col("tool_input.file_path").alias("file_path"), F.col("tool_input.content").alias("content"))
+    ids = ["event", *(c for c in ("project_id", "cwd") if c in events.columns)]
+    code = events.where(F.col("hook_event_name") == "PostToolUse").select(*ids, F.col("tool_input.file_path").alias("file_path"), F.col("tool_input.content").alias("content"))
     code = code.where(F.col("content").isNotNull() & is_code_file("file_path"))
-    found = extract_functions(code, config.min_lines, ["event", "project_id"]).withColumn("line", F.col("range_start"))
+    found = extract_functions(code, config.min_lines, ids).withColumn("line", F.col("range_start"))
     return embed_bodies(found, embedder)
 
 
 def hook_lookup(events: DataFrame, units: DataFrame, pairs: DataFrame | None, projects: DataFrame | None, config: HookConfig, embedder: Embedder) -> DataFrame:
     """(event, result) for events (event, and the fields of HOOK_EVENT). An event's project is the one whose root path is its cwd. Whether
     scope comes before or after the nearest are chosen is config.scope_first."""
-    known = events
-    if "project_id" not in events.columns:
-        roots = projects.select(F.col("root_path").alias("cwd"), F.col("id").alias("project_id")) if projects is not None else None
-        known = events.join(roots, "cwd", "left") if roots is not None else events.withColumn("project_id", F.lit(None).cast("long"))
-    matches = similar_units(edited_units(known, config, embedder), units, pairs, config, config.scope_first)
-    return results(known, report(matches), config.notify)
+    found = edited_units(events, config, embedder)
+    if "project_id" not in found.columns:
+        found = _placed(found, projects)
+    return results(events, report(similar_units(found, units, pairs, config, config.scope_first)), config.notify)
+
+
+def _placed(found: DataFrame, projects: DataFrame | None) -> DataFrame:
+    """found with project_id by cwd. Most events may come from one folder, so its rows are dealt out over DEALT tasks, each with a copy of the projects."""
+    if projects is None:
+        return found.withColumn("project_id", F.lit(None).cast("long"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)).cast("array<bigint>"))
+    roots = projects.select(F.col("root_path").alias("cwd"), F.col("id").alias("project_id"), every.alias("deal"))
+    return found.withColumn("deal", F.pmod(F.xxhash64("event", "qualified_name"), F.lit(DEALT))).join(roots, ["cwd", "deal"], "left").drop("deal")
 
 
 def needs_index(events: DataFrame, projects: DataFrame) -> DataFrame:

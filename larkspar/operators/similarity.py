@@ -2,7 +2,8 @@
 
 block_join() multiplies blocks of unit vectors with numpy. While the corpus is at most BROADCAST_BYTES it is sent to every task and the queries stream past it; beyond
 that, both sides are cut into blocks of BLOCK_BYTES and meet block by block (each side is copied once for each block of the other), so memory stays bounded at any
-size. With k, each block pair returns the best k of its queries, and a window over those few rows picks the final k.
+size. With k, each block pair returns the best k of its queries, and a window over those few rows picks the final k. Queries that have k partners of a similarity of
+1 - EQUAL or more, which nothing else can beat, don't go there: _settled() finds these by a plain join on cells of a few projections.
 
 Pruning (exact): blocks are made of the vectors nearest to a common pivot where pivots are given; a pair of blocks whose angle between pivots exceeds both radii
 and the threshold's angle together can't hold a match and is left out.
@@ -12,6 +13,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -28,6 +31,9 @@ BROADCAST_BYTES, BLOCK_BYTES, PIVOTS, MOST_PIVOTS = 64 << 20, 32 << 20, 64, 512
 #: Stands for a null group.
 NONE = -(1 << 63)
 _ROWS, _COLUMNS, MARGIN = 1024, 16_384, 1e-4
+#: Similarities from 1 - EQUAL on are found by cells: CELLS projections of unit vectors in steps of WIDTH; such vectors are at most sqrt(2 * EQUAL) apart, which REACH exceeds. Vectors
+#: of the corpus in a cell up to which it is joined.
+EQUAL, CELLS, WIDTH, REACH, CROWDED = 1e-10, 8, 0.01, 2e-5, 64
 
 
 def _unit(vectors: list | np.ndarray) -> np.ndarray:
@@ -92,11 +98,70 @@ def _size(df: DataFrame) -> tuple[int, int]:
     return n, 8 * n * (dims or 1)
 
 
-def block_join(queries: DataFrame, corpus: DataFrame, threshold: float | None = None, k: int | None = None, broadcast_bytes: int = BROADCAST_BYTES, block_bytes: int = BLOCK_BYTES, same: bool | None = None) -> DataFrame:
+def _celled(batches: Iterator[pa.RecordBatch], around: bool) -> Iterator[pa.RecordBatch]:
+    """The rows (id, v, ...) with the cell of v; around: once for each cell that is within REACH. Vectors without a direction have none."""
+    mix = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(CELLS)], np.uint64)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        u = _unit(_rows(b.column(1)))
+        r = np.random.default_rng(42).normal(size=(u.shape[1], CELLS))
+        at = u @ (r / np.maximum(np.sqrt((r * r).sum(axis=0)), 1e-300)) / WIDTH
+        rows = np.flatnonzero(np.isfinite(at).all(axis=1) & u.any(axis=1))
+        cells = np.floor(at[rows])
+        if around:
+            low, high = (np.floor(at[rows] + d * REACH / WIDTH) for d in (-1, 1))
+            whole = (low == high).all(axis=1)
+            extra = [(n, c) for n, x, y in zip(rows[~whole], low[~whole], high[~whole], strict=True) for c in product(*({i, j} for i, j in zip(x, y, strict=True)))]
+            rows = np.concatenate([rows[whole], np.array([n for n, _ in extra], np.int64)])
+            cells = np.concatenate([cells[whole], np.array([c for _, c in extra], np.float64).reshape(-1, CELLS)])
+        keys = (cells.astype(np.int64).view(np.uint64) * mix).sum(axis=1, dtype=np.uint64).view(np.int64)
+        got = b.take(pa.array(rows))
+        yield pa.RecordBatch.from_arrays([*got.columns, pa.array(keys)], [*b.schema.names, "cell"])
+
+
+def _equal(batches: Iterator[pa.RecordBatch], threshold: float | None) -> Iterator[pa.RecordBatch]:
+    """(q, c, similarity) of rows (q, c, a, b) whose vectors a and b have a similarity of 1 - EQUAL or more, computed as _hits() does."""
+    for b in batches:
+        if b.num_rows:
+            s = np.einsum("ij,ij->i", _unit(_rows(b.column(2))), _unit(_rows(b.column(3))))
+            ok = pa.array((s >= 1 - EQUAL) & (True if threshold is None else s.astype(np.float32) >= np.float32(threshold)))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok), pa.array(s).filter(ok)], ["q", "c", "similarity"])
+
+
+def _settled(queries: DataFrame, corpus: DataFrame, threshold: float | None, k: int, same: bool | None, apart: Column | None) -> tuple[DataFrame, DataFrame]:
+    """(the queries that are left, (q, c, similarity) of the others): the best k of each query that has k partners of a similarity of 1 - EQUAL or more. All such partners of a query are seen, so
+    nothing else can be among its best. Of equal vectors (of one g) the first k by c stand for all, and one more where apart may take one away. Queries in cells that stay crowded are left."""
+    g = [] if same is None else ["g"]
+
+    def celled(df: DataFrame, around: bool) -> DataFrame:
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+        return df.mapInArrow(lambda x: _celled(x, around), f"{schema}, cell long")
+
+    copies = W.partitionBy("cell", "v", *g).orderBy("c")
+    there = celled(corpus, True).withColumn("r", F.row_number().over(copies)).where(F.col("r") <= k + (apart is not None)).drop("r")
+    there = written(there, "cells")
+    crowded = there.groupBy("cell").count().where(F.col("count") > CROWDED).select("cell")
+    there = there.join(crowded, "cell", "left_anti").withColumnsRenamed({"v": "b", "g": "theirs"})
+    met = celled(queries, False).withColumnRenamed("v", "a").join(there, "cell")
+    if same is not None:
+        met = met.where((F.col("g") == NONE) | ((F.col("g") == F.col("theirs")) == F.lit(same)))
+    if apart is not None:
+        met = met.where(apart)
+    q_type, c_type = queries.schema["q"].dataType.simpleString(), corpus.schema["c"].dataType.simpleString()
+    found = met.select("q", "c", "a", "b").mapInArrow(lambda x: _equal(x, threshold), f"q {q_type}, c {c_type}, similarity double")
+    best = W.partitionBy("q").orderBy(F.desc("similarity"), "c")
+    found = written(found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k), "settled")
+    done = found.where(F.col("r") == k).select("q")
+    return queries.join(done, "q", "left_anti"), (found if k == 1 else found.join(done, "q", "left_semi")).drop("r")
+
+
+def block_join(queries: DataFrame, corpus: DataFrame, threshold: float | None = None, k: int | None = None, broadcast_bytes: int = BROADCAST_BYTES, block_bytes: int = BLOCK_BYTES, same: bool | None = None, apart: Column | None = None) -> DataFrame:
     """(q, c, similarity) for queries (q, v) against corpus (c, v): cosine at least threshold, of each q the best k (ties by c). Null vectors are left out.
 
     Keys may be of any orderable type; each q and c is taken to be unique. same: both sides have a number g, and before the k are chosen only those of equal (True) or different (False) g
-    count; a null g of a query takes all, a null g of the corpus differs from any."""
+    count; a null g of a query takes all, a null g of the corpus differs from any. apart: a condition on q and c that all but one c of each q meet at least (it is not the unit itself, say); pairs
+    that don't are left out before the k are chosen."""
     extra = [] if same is None else [F.coalesce(F.col("g").cast("long"), F.lit(NONE)).alias("g")]
     queries, corpus = queries.where("v is not null").select("q", "v", *extra), corpus.where("v is not null").select("c", "v", *extra)
     q_type, c_type = queries.schema["q"].dataType, corpus.schema["c"].dataType
@@ -104,6 +169,7 @@ def block_join(queries: DataFrame, corpus: DataFrame, threshold: float | None =
     n, size = _size(corpus)
     if not n:
         return queries.sparkSession.createDataFrame([], schema)
+    most = k if k is None or apart is None else k + 1
     if size <= broadcast_bytes:
         got = corpus.toArrow()
         held = queries.sparkSession.sparkContext.broadcast((got["c"].combine_chunks(), _unit(_rows(got["v"])), None if same is None else got["g"].to_numpy()))
@@ -113,25 +179,44 @@ def block_join(queries: DataFrame, corpus: DataFrame, threshold: float | None =
             for batch in batches:
                 for i in range(0, batch.num_rows, _ROWS):
                     part = batch.slice(i, _ROWS)
-                    yield from _hits(part.column(0), _unit(_rows(part.column(1))), other, b, threshold, k, same=_groups(part, theirs, same))
+                    yield from _hits(part.column(0), _unit(_rows(part.column(1))), other, b, threshold, most, same=_groups(part, theirs, same))
 
         found = _spread(queries).mapInArrow(near, schema)
     else:
-        _, q_size = _size(queries)
+        queries = written(queries, "queries")  # read up to four times below
+        _one_length(queries, corpus)
+        settled = None
+        if k is not None and 0 < k <= CROWDED:
+            left, settled = _settled(queries, corpus, threshold, k, same, apart)
+            queries = written(left, "left")
+        nq, q_size = _size(queries)
+        if settled is not None and not nq:
+            return settled
         nq, nc = max(1, math.ceil(q_size / block_bytes)), math.ceil(size / block_bytes)
         left = queries.withColumn("i", F.pmod(F.xxhash64("q"), F.lit(nq))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(nc - 1)).cast("array<bigint>")))
         right = corpus.withColumn("j", F.pmod(F.xxhash64("c"), F.lit(nc))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<bigint>")))
 
         def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-            return _met(a, b, ("q", "c"), threshold, k, same)
+            return _met(a, b, ("q", "c"), threshold, most, same)
 
         found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, schema)
+        if settled is not None:
+            found = found.unionByName(settled)
+    if apart is not None:
+        found = found.where(apart)
     if k is None:
         return found
     best = W.partitionBy("q").orderBy(F.desc("similarity"), "c")
     return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
 
 
+def _one_length(*sides: DataFrame) -> None:
+    """An error if lengths differ."""
+    lengths = reduce(DataFrame.unionByName, (x.select(F.size("v").alias("n")) for x in sides)).agg(F.min("n"), F.max("n")).first()
+    if lengths[0] != lengths[1]:
+        raise ValueError(f"vectors of different dimensions: {sorted(lengths)}")
+
+
 def _rows(v) -> list | np.ndarray:
     """A list column as a matrix, or as lists where lengths differ or values are missing."""
     v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v

@@ -135,3 +135,41 @@ def test_groups_count_before_the_nearest_are_chosen(spark, broadcast, same, monk
         open_to = [j for j in range(60) if g[i] is None or (g[i] == g[j]) == same]
         want = sorted((j for j in open_to if u[i] @ u[j] >= 0), key=lambda j: -(u[i] @ u[j]))[:3]
         assert got.get(i, set()) == set(want)
+
+
+@pytest.mark.parametrize("crowded", [64, 2])
+@pytest.mark.parametrize("same", [None, True, False])
+def test_equal_vectors_settle_queries_and_the_rest_meet_in_blocks(spark, same, crowded, monkeypatch):
+    """Copies, scaled copies, near ones, zero vectors and vectors of their own, beyond the broadcast, against all pairs; a crowded of 2 leaves most queries to the blocks."""
+    monkeypatch.setattr(s, "CROWDED", crowded)
+    r = np.random.default_rng(8)
+    base = r.normal(size=(12, 6)).astype(np.float32)
+    m = np.concatenate([base, base[:8], base[:6] * 4, base[:5], base[:4] + np.float32(0.01), np.zeros((2, 6), np.float32)]).astype(np.float32)
+    g = [None if i % 7 == 0 else i % 3 for i in range(len(m))]
+    v = spark.createDataFrame([(i, [float(x) for x in m[i]], g[i]) for i in range(len(m))], "id long, v array<float>, g long")
+    got = {}
+    for x in s.block_join(v.withColumnRenamed("id", "q"), v.withColumnRenamed("id", "c"), 0.7, 2, broadcast_bytes=0, block_bytes=512, same=same, apart=F.col("q") != F.col("c")).collect():
+        got.setdefault(x["q"], []).append((-x["similarity"], x["c"]))
+    u = s._unit(m)
+    for i in range(len(m)):
+        open_to = [j for j in range(len(m)) if j != i and (same is None or g[i] is None or (g[i] == g[j]) == same)]
+        near = [(-np.einsum("i,i", u[i], u[j]), j) for j in open_to]
+        want = sorted((round(x, 12), j) for x, j in near if -x >= 0.7)[:2]
+        assert sorted((round(x, 12), j) for x, j in got.get(i, [])) == want
+
+
+def test_settled_queries_meet_no_blocks(spark):
+    m = np.random.default_rng(9).normal(size=(40, 16))
+    v = vectors(spark, m)
+    q, c = v.withColumnRenamed("id", "q"), v.withColumnRenamed("id", "c")
+    got = s.block_join(q, c, 0.85, 1, broadcast_bytes=0, block_bytes=512)
+    assert "CoGroup" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((x["q"], x["c"]) for x in got.collect()) == [(i, i) for i in range(40)]
+    left, _ = s._settled(q, c.where("c < 30"), 0.85, 1, None, None)
+    assert sorted(x["q"] for x in left.collect()) == list(range(30, 40))
+
+
+def test_lengths_must_agree_beyond_the_broadcast(spark):
+    q, c = spark.createDataFrame([(1, [1.0])], "q long, v array<float>"), spark.createDataFrame([(1, [1.0, 2.0])], "c long, v array<float>")
+    with pytest.raises(Exception, match="different dimensions"):
+        s.block_join(q, c, 0.1, 1, broadcast_bytes=0).collect()

@@ -240,3 +240,12 @@ def test_needs_index(spark):
     e = events.event_of(spark, '{"cwd": "/new"}').unionByName(events.event_of(spark, '{"cwd": "/p"}')).unionByName(events.event_of(spark, ""))
     projects = spark.createDataFrame([(1, "/p")], "id long, root_path string")
     assert {r["cwd"]: r["needs_index"] for r in hook.needs_index(e, projects).collect()} == {"/new": True, "/p": False, None: False}
+
+
+def test_functions_of_one_folder_are_dealt_out(spark):
+    e = spark.createDataFrame([(str(i), f"n{i}", "/p" if i < 90 else "/q" if i < 95 else None) for i in range(100)], "event string, qualified_name string, cwd string")
+    projects = spark.createDataFrame([(1, "/p"), (2, "/r")], "id long, root_path string")
+    got = hook._placed(e, projects)
+    assert sorted((int(r["event"]), r["project_id"]) for r in got.collect()) == [(i, 1 if i < 90 else None) for i in range(100)]
+    assert [f.name for f in got.schema] == ["cwd", "event", "qualified_name", "project_id"] and "deal" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["project_id"] for r in hook._placed(e, None).limit(1).collect()] == [None]
