@@ -12,7 +12,7 @@ from typing import Protocol
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,16 +97,18 @@ def _embedded(embedder: Embedder, texts: list[str]) -> list[list[float] | None]:
 def embed_bodies(rows: DataFrame, embedder: Embedder, column: str = "body") -> DataFrame:
     """rows with embedding; null where the embedder fails."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts, out = pdf[column].tolist(), []
+    rows = rows.drop("embedding")
+    at, names = rows.columns.index(column), [*rows.columns, "embedding"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, out = b.column(at).to_pylist(), []
             for i in range(0, len(texts), TOGETHER):
                 out += _embedded(embedder, texts[i : i + TOGETHER])
-            yield pdf.assign(embedding=pd.Series(out, dtype=object, index=pdf.index))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.float32()))], names)
 
-    rows = rows.drop("embedding")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + ["embedding array<float>"])
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def with_embeddings(rows: DataFrame, units: DataFrame, embedder: Embedder) -> DataFrame:

@@ -309,6 +309,7 @@ def _code_index(spark, d):
     """Stored units that are the functions of the same files in another project."""
     u = extract_functions(_code_events(spark, d).select("tool_input.file_path", "tool_input.content"), 5)
     u = u.withColumn("qualified_name", F.concat(F.lit("old:"), "qualified_name")).withColumn("content_hash", sc.content_hash("body"))
+    u = written(u, "code_units")  # read twice by the next line
     u = with_embeddings(u, fx.hashed_units(spark, d).limit(0), DigestEmbedder())
     return written(u.select("qualified_name", F.lit(2).cast("long").alias("project_id"), "file_path", "range_start", "embedding"), "code_index")
 
