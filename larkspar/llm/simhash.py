@@ -16,8 +16,8 @@ null id. Repeated rows are kept. An empty table gives an empty result. Other col
 
 dedup_similar() takes another law, for texts that say nearly the same: Jaccard similarity of their sets of five-word shingles, 0.8 or more. Fingerprints of shingles differ in about 10 of 64
 bits there, out of reach of small balls, so candidates come from fingerprints of 256 bits of a text's different words: eight 32-bit segments, balls of radius 1. Complete distances of these
-and of fingerprints of 256 bits of the shingles drop most of the others, and the shingles themselves, read again from the texts that are left, decide. Texts of equal words are one text. Odd rows are as
-above; texts of under five words are near only where they are equal.
+and of fingerprints of 256 bits of the shingles drop most of the others, and the shingles themselves, read again from the texts that are left, decide. Of crowded segment values, a few partners of each text
+are tried first, then every pair that these have not joined (see crossing()), so crowding loses no link. Texts of equal words are one text. Odd rows are as above; texts of under five words are near only where they are equal.
 """
 
 from __future__ import annotations
@@ -43,6 +43,8 @@ A_TASK = 1 << 16
 #: Texts that make a segment value crowded when there are more; those of it that each of them meets beside the least one; bits of 256 in which near texts' fingerprints of
 #: words and of shingles may differ (at a similarity of 0.8, those of shingles differ in 39 with a standard deviation of 6); multipliers that make four numbers of a word's hash.
 CROWD, NEAR, WIDE_BITS, SHINGLE_BITS = 16, 2, 72, 64
+#: Texts and bytes of shingles in a block, about.
+BLOCK_TEXTS, BLOCK_BYTES = 2048, 16 << 20
 _MIX = np.array([[0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]], np.uint64)
 _TURN = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -181,22 +183,37 @@ def _near(a: str, b: str) -> Column:
     return (words <= WIDE_BITS) & (shingles <= SHINGLE_BITS)
 
 
+def _eight() -> Column:
+    """The eight segments of f, each with its number above its bits."""
+    halves = [h for f in _F for h in (F.col(f).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f, 32))]
+    return F.array(*(h.bitwiseOR(F.lit(k << 32)) for k, h in enumerate(halves)))
+
+
+def _masks() -> Column:
+    return F.array(*(F.lit(m).cast("long") for m in [0, *(1 << i for i in range(32))]))
+
+
+def _crowded(texts: DataFrame, heavy: int) -> DataFrame | None:
+    """The segment values that more than heavy texts share; None if there are none."""
+    found = keep(texts.select(F.explode(_eight()).alias("segment")).groupBy("segment").count().where(F.col("count") > heavy).select("segment"), "crowded")
+    return found if found.limit(1).count() else None
+
+
 def candidates(texts: DataFrame, heavy: int = CROWD, near: int = NEAR) -> DataFrame:
     """(u, v), u < v, of numbered texts (n, f0 to f3, g0 to g3) that may be near: one of the eight 32-bit segments of f differs in at most one bit, f in at most WIDE_BITS and g in at most SHINGLE_BITS.
 
-    Of a segment value that more than heavy texts share, each text meets only the least of them and the next few in the order of complete fingerprints. So pairs are linear in the texts."""
-    halves = [h for f in _F for h in (F.col(f).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f, 32))]
-    segments = F.array(*(h.bitwiseOR(F.lit(k << 32)) for k, h in enumerate(halves)))
-    masks = F.array(*(F.lit(m).cast("long") for m in [0, *(1 << i for i in range(32))]))
+    Of a segment value that more than heavy texts share, each text meets only the least of them and the next few in the order of complete fingerprints. So pairs are linear in the texts.
+    crossing() finds the other pairs of such values, once it is known which texts these have already joined."""
+    segments, masks = _eight(), _masks()
     index = texts.select("n", F.explode(segments).alias("segment"))
-    crowded = Kept(index.groupBy("segment").count().where(F.col("count") > heavy).select("segment"), "crowded")
-    dense = bool(crowded.df.limit(1).count())
-    light = index.join(crowded.df, "segment", "left_anti") if dense else index
+    crowded = _crowded(texts, heavy)
+    dense = crowded is not None
+    light = index.join(crowded, "segment", "left_anti") if dense else index
     probes = light.select("n", F.explode(F.transform(masks, lambda m: F.col("segment").bitwiseXOR(m))).alias("segment"))
     pairs = probes.select("segment", F.col("n").alias("u")).join(light.select("segment", F.col("n").alias("v")).hint("shuffle_hash"), "segment").where("u < v").select("u", "v")
     known = []
     if dense:
-        whole = keep(texts.select("n", F.struct(*_F, *_G).alias("f"), F.explode(segments).alias("segment")).join(crowded.df, "segment", "left_semi"), "whole")
+        whole = keep(texts.select("n", F.struct(*_F, *_G).alias("f"), F.explode(segments).alias("segment")).join(crowded, "segment", "left_semi"), "whole")
         order = W.partitionBy("segment").orderBy("f", "n")
         following = whole.select("n", "f", F.array(*(F.lead(F.struct("n", "f"), k).over(order) for k in range(1, near + 1))).alias("next"))
         beside = following.select(F.struct("n", "f").alias("x"), F.explode("next").alias("y")).where("y is not null")
@@ -214,6 +231,32 @@ def candidates(texts: DataFrame, heavy: int = CROWD, near: int = NEAR) -> DataFr
     return reduce(DataFrame.unionByName, (met, *map(_ordered, known))).distinct()
 
 
+def crossing(texts: DataFrame, roots: DataFrame, heavy: int = CROWD) -> DataFrame | None:
+    """The pairs that candidates() leaves out, but for those of one component of roots (n, root), which are joined already: (u, v), u < v, of texts of different components that are equal in a crowded
+    segment value, or differ in one bit of a segment of which one value is crowded, and whose complete fingerprints leave it open that they are near. None if no value is crowded.
+
+    Texts of one value and component are a class. Classes meet first, so nothing is spent on pairs within a component, however large; of two classes that meet, the smaller one's texts are sent to the
+    other's, and only what is near leaves that join."""
+    crowded = _crowded(texts, heavy)
+    if crowded is None:
+        return None
+    masks = _masks()
+    reach = keep(crowded.select(F.explode(F.transform(masks, lambda m: F.col("segment").bitwiseXOR(m))).alias("segment")).distinct(), "reach")
+    rows = texts.select("n", F.struct(*_F, *_G).alias("f"), F.explode(_eight()).alias("segment")).join(reach, "segment", "left_semi")
+    rows = keep(rows.join(roots, "n", "left").withColumn("root", F.coalesce("root", "n")), "reached")
+    classes = rows.groupBy("segment", "root").agg(F.count("*").alias("size")).join(crowded.withColumn("full", F.lit(True)), "segment", "left").withColumn("full", F.coalesce("full", F.lit(False)))
+    classes = keep(classes, "classes")
+    a = classes.where("full").select(F.col("segment").alias("s"), F.col("root").alias("r"), F.col("size").alias("m"), F.explode(F.transform(masks, lambda m: F.col("segment").bitwiseXOR(m))).alias("segment"))
+    # two crowded values meet from either side, so the lesser value (and root, within a value) asks
+    met = a.join(classes, "segment").where("r <> root and (not full or s < segment or (s = segment and r < root))")
+    small, large = F.struct("s", "r"), F.struct(F.col("segment").alias("s"), F.col("root").alias("r"))
+    met = met.select(F.when(F.col("m") <= F.col("size"), small).otherwise(large).alias("x"), F.when(F.col("m") <= F.col("size"), large).otherwise(small).alias("y"))
+    met = met.select(F.col("x.s").alias("segment"), F.col("x.r").alias("root"), "y")
+    asking = met.join(rows, ["segment", "root"]).select(F.col("y.s").alias("segment"), F.col("y.r").alias("root"), "n", F.col("f").alias("a")).distinct()
+    there = rows.select("segment", "root", F.col("n").alias("m"), F.col("f").alias("b"))
+    return _ordered(asking.join(there, ["segment", "root"]).where(_near("a", "b")).select("n", "m")).distinct()
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("n <> m").select(F.least("n", "m").alias("u"), F.greatest("n", "m").alias("v"))
 
@@ -226,13 +269,68 @@ def similar_members(parts: Parts, shingle: int = 5, similarity: float = 0.8, hea
     texts = rows.groupBy("key").agg(F.min(F.struct("part", "row", *_F, *_G)).alias("x")).select("key", "x.*")
     texts = keep(texts.withColumn("n", F.monotonically_increasing_id()), "texts")
     spread_out = texts.repartition(max(texts.sparkSession.sparkContext.defaultParallelism, texts.count() // (A_TASK // 4)), "n")
-    pairs = keep(candidates(spread_out, heavy), "pairs")
+    links = _verified(parts, texts, keep(candidates(spread_out, heavy), "pairs"), shingle, similarity)
+    roots = keep(components(links).select(F.col("node").alias("n"), "root"), "roots")
+    more = crossing(spread_out, roots, heavy)
+    if more is not None:
+        more = keep(more, "crossing")
+        if more.limit(1).count():
+            further = _verified(parts, texts, more, shingle, similarity, blocks=True)
+            roots = components(links.unionByName(further)).select(F.col("node").alias("n"), "root")
+    return rows.join(texts.select("key", "n"), "key").select("doc_id", "part", "row", "tie", "n"), roots
+
+
+def _verified(parts: Parts, texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float, blocks: bool = False) -> DataFrame:
+    """Those of the pairs (u, v) whose sets of shingles, made again of the texts, have the similarity. blocks: for many pairs of few texts; texts are cut into blocks, and a set is sent once to each pair of
+    blocks that has a pair of texts, instead of once for each pair of texts."""
     asked = pairs.select(F.explode(F.array("u", "v")).alias("n")).distinct().join(texts, "n").select("part", "row", F.col("n").alias("__n"))
     sets = keep(attach(parts, asked, "asked", ["text"], lambda x: _shingles(x, shingle), "n long, shingles array<bigint>"), "shingles")
+    if blocks:
+        return keep(_by_blocks(pairs, sets, similarity), "links")
     met = pairs.join(sets.select(F.col("n").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("n").alias("v"), F.col("shingles").alias("b")), "v")
     both = F.size(F.array_intersect("a", "b"))
-    links = met.where(both >= F.lit(similarity) * (F.size("a") + F.size("b") - both)).select("u", "v")
-    return rows.join(texts.select("key", "n"), "key").select("doc_id", "part", "row", "tie", "n"), components(links).select(F.col("node").alias("n"), "root")
+    return keep(met.where(both >= F.lit(similarity) * (F.size("a") + F.size("b") - both)).select("u", "v"), "links")
+
+
+def _by_blocks(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    n, values = sets.agg(F.count("*"), F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()
+    count = max(8, n // BLOCK_TEXTS, 8 * values // BLOCK_BYTES)
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(count))
+    asked = keep(pairs.select(F.least(place("u"), place("v")).alias("i"), F.greatest(place("u"), place("v")).alias("j"), "u", "v"), "blocked")
+    needed = asked.select("i", "j").distinct().select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    there = sets.withColumn("block", place("n")).join(needed, "block").select(F.col("i").alias("k"), F.col("j").alias("l"), "n", "shingles")
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        return pa.table(_similar(a, b, similarity), pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
+    return asked.groupBy("i", "j").cogroup(there.groupBy("k", "l")).applyInArrow(meet, "u long, v long")
+
+
+def _similar(pairs: pa.Table, sets: pa.Table, similarity: float) -> list[np.ndarray]:
+    """u and v of the pairs whose sets (sorted as unsigned numbers, without repeats, never empty) have the similarity."""
+    if not pairs.num_rows:
+        return [np.zeros(0, np.int64)] * 2
+    lists = sets["shingles"].combine_chunks()
+    flat, at, n = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]), sets["n"].to_numpy()
+    order = np.argsort(n)
+    u, v = pairs["u"].to_numpy(), pairs["v"].to_numpy()
+    by = np.argsort(u, kind="stable")
+    u, v = u[by], v[by]
+    x, y = (order[np.searchsorted(n, w, sorter=order)] for w in (u, v))
+    near = np.zeros(len(u), bool)
+    size = np.diff(at)
+    start = 0
+    while start < len(u):
+        # pairs of one text, of about a million shingles together at most
+        end = min(int(np.searchsorted(u, u[start], "right")), start + 1 + int(np.searchsorted(np.cumsum(size[y[start : start + 65_536]]), 1 << 20)))
+        mine, theirs = flat[at[x[start]] : at[x[start] + 1]], [flat[at[k] : at[k + 1]] for k in y[start:end]]
+        other = np.concatenate(theirs)
+        hit = mine[np.minimum(np.searchsorted(mine, other), len(mine) - 1)] == other
+        sizes = size[y[start:end]]
+        both = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(sizes)[:-1]]), dtype=np.int64)
+        near[start:end] = both >= similarity * (len(mine) + sizes - both)
+        start = end
+    return [u[near], v[near]]
 
 
 def dedup_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, heavy: int = CROWD) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -292,3 +293,64 @@ def test_packing_is_exact():
     r = np.random.default_rng(2)
     for x in (np.zeros(0, np.uint64), np.array([7], np.uint64), np.sort(r.integers(0, 1 << 63, 999, np.uint64) * np.uint64(2)), np.array([3, 3, 3], np.uint64)):
         assert (substring._unpack(substring._pack(x), len(x)) == x).all()
+
+
+def crowd():
+    """Six hundred words with blocks of words replaced: texts near their neighbours in a chain (but not those further on), all alike in most segments of the words' fingerprints."""
+    r = random.Random(11)
+    common = [f"w{i}" for i in range(400)]
+    r.shuffle(common)
+    texts = []
+    for k in range(60):
+        w = list(common)
+        for j in range(k % 20):
+            w[20 * j + 3] = f"x{j}a{k // 20 % 3}"
+        texts.append(" ".join(w))
+    return texts
+
+
+@pytest.mark.parametrize("heavy", [16, 2])
+def test_crowded_values_lose_no_link(spark, docs, heavy, monkeypatch):
+    """Against all pairs that the law of candidates leaves open, with the partners that are tried first cut to none."""
+    monkeypatch.setattr(simhash, "NEAR", 0)
+    texts = crowd()
+    rows = list(enumerate(texts))
+    found, near_ones = simhash.similar_members(parts.Parts(docs(*rows)), heavy=heavy)
+    got = {x["doc_id"]: x["root"] if x["root"] is not None else -1 - x["n"] for x in found.join(near_ones, "n", "left").collect()}
+    words = [t.encode().split() for t in texts]
+    f = [(simhash.wide_fingerprint(set(w)), simhash.wide_fingerprint(set(simhash._grams(w, 5))), set(simhash._grams(w, 5))) for w in words]
+    bits = lambda a, b: sum(int(x ^ y).bit_count() for x, y in zip(a, b, strict=True))
+    cut = lambda a: [int(x) >> s & 0xFFFFFFFF for x in a for s in (0, 32)]
+    law = 0
+    for i in range(len(f)):
+        for j in range(i):
+            (a, ga, sa), (b, gb, sb) = f[i], f[j]
+            close = any((x ^ y).bit_count() <= 1 for x, y in zip(cut(a), cut(b), strict=True))
+            if texts[i] != texts[j] and close and bits(a, b) <= simhash.WIDE_BITS and bits(ga, gb) <= simhash.SHINGLE_BITS and len(sa & sb) >= 0.8 * len(sa | sb):
+                law += 1
+                assert got[i] == got[j], (i, j)
+    assert law > 100
+
+
+def test_crossing_pairs_are_those_of_different_components(spark):
+    r = np.random.default_rng(3)
+    base = r.integers(-(1 << 62), 1 << 62, 8)
+    f = np.tile(base, (60, 1))
+    f[:, 4] ^= r.integers(0, 1 << 20, 60)
+    f[:, 0] ^= np.where(np.arange(60) % 3 == 0, 1 << 5, 0)
+    t = spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(f)], "n long, " + ", ".join(f"{c} long" for c in (*simhash._F, *simhash._G)))
+    roots = spark.createDataFrame([(i, i % 2) for i in range(40)], "n long, root long")
+    got = simhash.crossing(t, roots, heavy=16).collect()
+    root = {i: i % 2 if i < 40 else i for i in range(60)}
+    assert sorted((x["u"], x["v"]) for x in got) == [(i, j) for i in range(60) for j in range(i + 1, 60) if root[i] != root[j]]
+
+
+def test_sets_in_blocks_equal_sets(spark):
+    r = np.random.default_rng(4)
+    base = r.integers(0, 1 << 64, 60, np.uint64)
+    sets = [np.unique(np.concatenate([r.choice(base, r.integers(40, 60), replace=False), r.integers(0, 1 << 64, 3, np.uint64)])) for _ in range(30)]
+    pairs = [(i, j) for i in range(30) for j in range(i + 1, 30)]
+    s = spark.createDataFrame([(i, x.view(np.int64).tolist()) for i, x in enumerate(sets)], "n long, shingles array<bigint>")
+    got = simhash._by_blocks(spark.createDataFrame(pairs, "u long, v long"), s, 0.7)
+    want = [(i, j) for i, j in pairs if len(set(sets[i]) & set(sets[j])) >= 0.7 * len(set(sets[i]) | set(sets[j]))]
+    assert 0 < len(want) < len(pairs) and sorted(map(tuple, got.collect())) == want
