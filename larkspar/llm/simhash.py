@@ -17,12 +17,14 @@ null id. Repeated rows are kept. An empty table gives an empty result. Other col
 dedup_similar() takes another law, for texts that say nearly the same: Jaccard similarity of their sets of five-word shingles, 0.8 or more. Fingerprints of shingles differ in about 10 of 64
 bits there, out of reach of small balls, so candidates come from fingerprints of 256 bits of a text's different words: eight 32-bit segments, balls of radius 1. Complete distances of these
 and of fingerprints of 256 bits of the shingles drop most of the others, and the shingles themselves, read again from the texts that are left, decide. Of crowded segment values, a few partners of each text
-are tried first, then every pair that these have not joined (see crossing()), so crowding loses no link. Texts of equal words are one text. Odd rows are as above; texts of under five words are near only where they are equal.
+are tried first; then all links that these have not joined are found by what the texts of a crowd differ in (see crowded_links()), so crowding loses no link. Texts of equal words are one text. Odd rows are as above; texts of under five words are near only where they are equal.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import reduce
 from itertools import repeat
 
@@ -43,6 +45,8 @@ A_TASK = 1 << 16
 #: Texts that make a segment value crowded when there are more; those of it that each of them meets beside the least one; bits of 256 in which near texts' fingerprints of
 #: words and of shingles may differ (at a similarity of 0.8, those of shingles differ in 39 with a standard deviation of 6); multipliers that make four numbers of a word's hash.
 CROWD, NEAR, WIDE_BITS, SHINGLE_BITS = 16, 2, 72, 64
+#: Texts of a crowd that its centre is taken from, about.
+CENTRE = 64
 #: Texts and bytes of shingles in a block, about.
 BLOCK_TEXTS, BLOCK_BYTES = 2048, 16 << 20
 _MIX = np.array([[0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]], np.uint64)
@@ -203,7 +207,7 @@ def candidates(texts: DataFrame, heavy: int = CROWD, near: int = NEAR) -> DataFr
     """(u, v), u < v, of numbered texts (n, f0 to f3, g0 to g3) that may be near: one of the eight 32-bit segments of f differs in at most one bit, f in at most WIDE_BITS and g in at most SHINGLE_BITS.
 
     Of a segment value that more than heavy texts share, each text meets only the least of them and the next few in the order of complete fingerprints. So pairs are linear in the texts.
-    crossing() finds the other pairs of such values, once it is known which texts these have already joined."""
+    crowded_links() finds the other links of such values, once it is known which texts these have already joined."""
     segments, masks = _eight(), _masks()
     index = texts.select("n", F.explode(segments).alias("segment"))
     crowded = _crowded(texts, heavy)
@@ -235,6 +239,8 @@ def crossing(texts: DataFrame, roots: DataFrame, heavy: int = CROWD) -> DataFram
     """The pairs that candidates() leaves out, but for those of one component of roots (n, root), which are joined already: (u, v), u < v, of texts of different components that are equal in a crowded
     segment value, or differ in one bit of a segment of which one value is crowded, and whose complete fingerprints leave it open that they are near. None if no value is crowded.
 
+    There are as many as the square of a crowd of texts that are alike but not near, so nothing runs this but tests, which hold crowded_links() against it.
+
     Texts of one value and component are a class. Classes meet first, so nothing is spent on pairs within a component, however large; of two classes that meet, the smaller one's texts are sent to the
     other's, and only what is near leaves that join."""
     crowded = _crowded(texts, heavy)
@@ -257,6 +263,84 @@ def crossing(texts: DataFrame, roots: DataFrame, heavy: int = CROWD) -> DataFram
     return _ordered(asking.join(there, ["segment", "root"]).where(_near("a", "b")).select("n", "m")).distinct()
 
 
+def crowds(texts: DataFrame, heavy: int = CROWD) -> DataFrame | None:
+    """(crowd, n): the texts of each crowd, so that two texts of which one has a crowded segment value and the other has it too, or one that differs in one bit, are in a crowd together. None if no value is crowded.
+
+    A crowd is made of crowded values that differ in one bit or share at least half of the lesser one's texts, directly or through others."""
+    crowded = _crowded(texts, heavy)
+    if crowded is None:
+        return None
+    around = crowded.select(F.col("segment").alias("value"), F.explode(F.transform(_masks(), lambda m: F.col("segment").bitwiseXOR(m))).alias("segment"))
+    index = texts.select("n", F.explode(_eight()).alias("segment"))
+    whole = keep(index.join(crowded, "segment", "left_semi"), "whole")
+    sizes = keep(whole.groupBy("segment").agg(F.count("*").alias("size")), "sizes")
+    values = whole.groupBy("n").agg(F.sort_array(F.collect_list("segment")).alias("s"))
+    both = values.select(F.explode("s").alias("u"), "s").select("u", F.explode("s").alias("v")).where("u < v").groupBy("u", "v").agg(F.count("*").alias("both"))
+    sized = both.join(sizes.select(F.col("segment").alias("u"), F.col("size").alias("x")), "u").join(sizes.select(F.col("segment").alias("v"), F.col("size").alias("y")), "v")
+    beside = around.join(crowded, "segment", "left_semi").where("value < segment").select(F.col("value").alias("u"), F.col("segment").alias("v"))
+    roots = components(sized.where("2 * both >= least(x, y)").select("u", "v").unionByName(beside)).select(F.col("node").alias("value"), "root")
+    reach = keep(around.join(roots, "value", "left").select("segment", F.coalesce("root", "value").alias("crowd")).distinct(), "reach")
+    return keep(index.join(reach, "segment").select("crowd", "n").distinct(), "crowds")
+
+
+def crowded_links(members: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Of crowds (crowd, n) of texts with their sets (n, shingles) and the components they have so far (roots: n, root): edges (u, v) that are links, and pairs (u, v) among which are all other links
+    of one crowd but for those of texts that the components or the first edges join. Both tables have u < v.
+
+    Texts are written as what they differ in from their crowd's centre C, the shingles of over half of a sample of it: D(x) is the symmetric difference of x and C. Let r = (1 - similarity) / (1 + similarity)
+    and e(x) = |D(x)| - r |x|. x and y are near exactly if the symmetric difference of D(x) and D(y), which is that of x and y, is at most r (|x| + |y|), that is, if 2 |D(x) & D(y)| >= e(x) + e(y).
+
+    So all pairs with e(x) + e(y) <= 0 are near; the text m with the least e is near all of their texts, and edges to it join them. Every other link has a common difference, which crowds of like texts
+    have few of: in any one order of differences, the first common one of x and y is not among the last (e(x) + e(y)) / 2 - 1 of either (prefix filter). Texts are put in bands of like e, and each sends, for each band
+    that it may have a link to, the differences that come first, the rarest in front and those that no other text has left out. None of this depends on what C is, only the number of pairs does."""
+    ratio = Fraction(str(similarity))
+    p, q = ((1 - ratio) / (1 + ratio)).as_integer_ratio()
+    sizes = keep(members.groupBy("crowd").agg(F.count("*").alias("size")), "sizes")
+    rows = members.join(sizes, "crowd").join(sets, "n").join(roots, "n", "left").select("crowd", "n", F.coalesce("root", "n").alias("root"), "size", "shingles")
+    rows = keep(rows, "crowded_sets")
+    sample = rows.where(F.pmod(F.xxhash64("n"), F.col("size")) < CENTRE)
+    taken = sample.groupBy("crowd").agg(F.count("*").alias("taken"))
+    counted = sample.select("crowd", F.explode("shingles").alias("shingle")).groupBy("crowd", "shingle").agg(F.count("*").alias("having"))
+    centres = keep(counted.join(taken, "crowd").where("2 * having > taken").groupBy("crowd").agg(F.collect_list("shingle").alias("centre")), "centres")
+    none = F.array().cast("array<bigint>")
+    rows = rows.join(centres, "crowd", "left").withColumn("centre", F.coalesce("centre", none))
+    rows = rows.withColumn("differences", F.concat(F.array_except("shingles", "centre"), F.array_except("centre", "shingles")))
+    # e times q, so that all is exact
+    rows = rows.select("crowd", "n", "root", "differences", F.size("differences").cast("long").alias("d"), F.size("shingles").cast("long").alias("size"))
+    rows = keep(rows.withColumn("e", F.lit(q) * F.col("d") - F.lit(p) * F.col("size")), "differences")
+    least = keep(rows.groupBy("crowd").agg(F.min(F.struct("e", "n", "root")).alias("m")), "least")
+    rows = rows.join(least, "crowd").withColumn("joined", F.col("e") + F.col("m.e") <= 0)
+    star = keep(_ordered(rows.where("joined and root <> m.root").select("n", F.col("m.n").alias("m"))).distinct(), "star")
+    rows = rows.withColumn("root", F.when(F.col("joined"), F.col("m.root")).otherwise(F.col("root"))).drop("m")
+    # a band's width follows the texts' sizes, of which those of links differ by a factor of 1 / similarity at most
+    apart = math.ceil(-math.log2(similarity))
+    level = F.floor(F.log2(F.col("size").cast("double")))
+    width = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), level) * F.lit(p / q / 2))
+    rows = rows.withColumn("band", F.struct("joined", level.alias("level"), F.floor(F.col("d") / width).alias("step")))
+    bands = rows.groupBy("crowd", "band").agg(F.min("e").alias("e"), F.max("d").alias("d"))
+    bands = keep(bands.groupBy("crowd").agg(F.collect_list(F.struct("band", "e", "d")).alias("bands")), "bands")
+    shared = lambda b: F.greatest(F.lit(1), F.ceil((F.col("e") + b["e"]) / F.lit(2.0 * q)))  # noqa: E731  at least so many common differences with a text of the band
+    open_ = lambda b: ~(F.col("joined") & b["band"]["joined"]) & (F.abs(F.col("band.level") - b["band"]["level"]) <= apart) & (shared(b) <= F.least("d", b["d"]))
+    rows = rows.join(bands, "crowd").withColumn("bands", F.transform(F.filter("bands", open_), lambda b: F.struct(b["band"].alias("band"), (F.col("d") - shared(b) + 1).alias("first"))))
+    rows = keep(rows.where(F.size("bands") > 0).select("crowd", "n", "root", "d", "e", "band", "bands", "differences"), "banded")
+    each = rows.select("crowd", "n", F.explode("differences").alias("x")).select("crowd", "n", F.xxhash64("crowd", "x").alias("x"))
+    rare = each.groupBy("x").agg(F.count("*").alias("having")).where("having > 1")
+    common = each.join(rare, "x").groupBy("crowd", "n").agg(F.sort_array(F.collect_list(F.struct("having", "x"))).alias("common"))
+    rows = rows.drop("differences").join(common, ["crowd", "n"]).withColumn("alone", F.col("d") - F.size("common"))
+    rows = rows.withColumn("common", F.transform("common", lambda c, i: F.struct(c["x"].alias("x"), (F.col("d") - F.col("alone") - i).alias("rest"))))
+
+    def sent(b: Column) -> Column:
+        low, high = F.least(F.col("band"), b["band"]), F.greatest(F.col("band"), b["band"])
+        first = F.slice("common", 1, F.greatest(F.lit(0), b["first"] - F.col("alone")).cast("int"))
+        return F.transform(first, lambda c: F.struct(F.xxhash64(low, high, c["x"]).alias("key"), c["rest"].alias("rest"), (F.col("band") <= b["band"]).alias("low"), (F.col("band") >= b["band"]).alias("high")))
+
+    asked = keep(rows.select("n", "root", "e", F.explode(F.flatten(F.transform("bands", sent))).alias("s")).select("n", "root", "e", "s.*"), "asked_differences")
+    a, b = (asked.where(c).select("key", *(F.col(x).alias(f"{c}_{x}") for x in ("n", "root", "e", "rest"))) for c in ("low", "high"))
+    fits = F.lit(2 * q) * F.least("low_rest", "high_rest") >= F.col("low_e") + F.col("high_e")
+    met = a.join(b, "key").where(F.col("low_root") != F.col("high_root")).where(fits)
+    return star, keep(_ordered(met.select(F.col("low_n").alias("n"), F.col("high_n").alias("m"))).distinct(), "crossing")
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("n <> m").select(F.least("n", "m").alias("u"), F.greatest("n", "m").alias("v"))
 
@@ -271,28 +355,33 @@ def similar_members(parts: Parts, shingle: int = 5, similarity: float = 0.8, hea
     spread_out = texts.repartition(max(texts.sparkSession.sparkContext.defaultParallelism, texts.count() // (A_TASK // 4)), "n")
     links = _verified(parts, texts, keep(candidates(spread_out, heavy), "pairs"), shingle, similarity)
     roots = keep(components(links).select(F.col("node").alias("n"), "root"), "roots")
-    more = crossing(spread_out, roots, heavy)
-    if more is not None:
-        more = keep(more, "crossing")
-        if more.limit(1).count():
-            further = _verified(parts, texts, more, shingle, similarity, blocks=True)
-            roots = components(links.unionByName(further)).select(F.col("node").alias("n"), "root")
+    together = crowds(spread_out, heavy)
+    if together is not None:
+        sets = _sets(parts, texts, together.select("n").distinct(), shingle)
+        star, more = crowded_links(together, sets, roots, similarity)
+        further = [star, keep(_by_blocks(more, sets, similarity), "links")]
+        if any(x.limit(1).count() for x in further):
+            roots = components(reduce(DataFrame.unionByName, (links, *further))).select(F.col("node").alias("n"), "root")
     return rows.join(texts.select("key", "n"), "key").select("doc_id", "part", "row", "tie", "n"), roots
 
 
-def _verified(parts: Parts, texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float, blocks: bool = False) -> DataFrame:
-    """Those of the pairs (u, v) whose sets of shingles, made again of the texts, have the similarity. blocks: for many pairs of few texts; texts are cut into blocks, and a set is sent once to each pair of
-    blocks that has a pair of texts, instead of once for each pair of texts."""
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("n")).distinct().join(texts, "n").select("part", "row", F.col("n").alias("__n"))
-    sets = keep(attach(parts, asked, "asked", ["text"], lambda x: _shingles(x, shingle), "n long, shingles array<bigint>"), "shingles")
-    if blocks:
-        return keep(_by_blocks(pairs, sets, similarity), "links")
+def _sets(parts: Parts, texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(n, shingles) of the texts whose n is wanted, made again of the texts."""
+    asked = wanted.join(texts, "n").select("part", "row", F.col("n").alias("__n"))
+    return keep(attach(parts, asked, "asked", ["text"], lambda x: _shingles(x, shingle), "n long, shingles array<bigint>"), "shingles")
+
+
+def _verified(parts: Parts, texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) whose sets of shingles have the similarity."""
+    sets = _sets(parts, texts, pairs.select(F.explode(F.array("u", "v")).alias("n")).distinct(), shingle)
     met = pairs.join(sets.select(F.col("n").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("n").alias("v"), F.col("shingles").alias("b")), "v")
     both = F.size(F.array_intersect("a", "b"))
     return keep(met.where(both >= F.lit(similarity) * (F.size("a") + F.size("b") - both)).select("u", "v"), "links")
 
 
 def _by_blocks(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) whose sets have the similarity, for many pairs of few texts: texts are cut into blocks, and a set is sent once to each pair of blocks that has a pair of texts,
+    instead of once for each pair of texts."""
     n, values = sets.agg(F.count("*"), F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()
     count = max(8, n // BLOCK_TEXTS, 8 * values // BLOCK_BYTES)
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(count))

@@ -354,3 +354,68 @@ def test_sets_in_blocks_equal_sets(spark):
     got = simhash._by_blocks(spark.createDataFrame(pairs, "u long, v long"), s, 0.7)
     want = [(i, j) for i, j in pairs if len(set(sets[i]) & set(sets[j])) >= 0.7 * len(set(sets[i]) | set(sets[j]))]
     assert 0 < len(want) < len(pairs) and sorted(map(tuple, got.collect())) == want
+
+
+def test_crowds_of_alike_texts_need_few_pairs(spark, docs, monkeypatch):
+    """Four hundred texts with up to seven of 150 words replaced: all alike, most not near. Their groups are those of all pairs, but far from all pairs are verified."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for k in range(400):
+        w = list(base)
+        for j in r.sample(range(150), r.randrange(2, 8)):
+            w[j] = f"x{k}a{j}"
+        texts.append(" ".join(w))
+    tried, real = [], simhash._by_blocks
+
+    def counted(pairs, *args):
+        tried.append(pairs.count())
+        return real(pairs, *args)
+
+    monkeypatch.setattr(simhash, "_by_blocks", counted)
+    rows = list(enumerate(texts))
+    found, near_ones = simhash.similar_members(parts.Parts(docs(*rows)))
+    got = {x["doc_id"]: x["root"] if x["root"] is not None else -1 - x["n"] for x in found.join(near_ones, "n", "left").collect()}
+    group, pairs, _ = brute_similar(rows)
+    assert len({(got[i], g) for i, g in enumerate(group)}) == len(set(group)) == len(set(got.values())) > 100
+    assert pairs and sum(tried) < 4 * len(rows)
+
+
+@pytest.mark.parametrize("similarity,centre", [(0.8, 64), (0.8, 1), (0.55, 64), (0.4, 3)])
+def test_crowded_links_find_every_component(spark, similarity, centre, monkeypatch):
+    """Against all pairs: two kinds of alike sets in one crowd, sets of other sizes, strangers and some components that are known."""
+    monkeypatch.setattr(simhash, "CENTRE", centre)
+    r = np.random.default_rng(int(100 * similarity) + centre)
+    new = lambda k: r.integers(0, 1 << 64, k, np.uint64)
+    sets = []
+    for size, many in ((90, 70), (60, 40), (7, 25), (300, 12)):
+        base = new(size)
+        for _ in range(many):
+            x = base.copy()
+            at = r.choice(size, r.integers(0, size // 3 + 1), replace=False)
+            x[at] = np.where(r.random(len(at)) < 0.5, base[at - 1], new(len(at)))
+            sets.append(set(x.tolist()))
+    sets += [set(new(k).tolist()) for k in (1, 2, 40)]
+    edges = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])}
+    both = [i for i in range(len(sets)) if i % 3]  # a second crowd of some of them
+    members = spark.createDataFrame([(1, i) for i in range(len(sets))] + [(2, i) for i in both], "crowd long, n long")
+    s = spark.createDataFrame([(i, np.sort(np.array(list(x), np.uint64)).view(np.int64).tolist()) for i, x in enumerate(sets)], "n long, shingles array<bigint>")
+    known = sorted(edges)[:5]
+    roots = components(spark.createDataFrame(known, "u long, v long")).select(F.col("node").alias("n"), "root")
+    star, more = (set(map(tuple, x.collect())) for x in simhash.crowded_links(members, s, roots, similarity))
+    assert star <= edges
+
+    def groups(links):
+        root = list(range(len(sets)))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            root[find(a)] = find(b)
+        return {frozenset(i for i in range(len(root)) if find(i) == k) for k in set(map(find, root))}
+
+    assert groups({*star, *(more & edges), *known}) == groups(edges) and len(groups(edges)) > 10
+    assert len(more) < len(sets) * (len(sets) - 1) // 2 // 2
