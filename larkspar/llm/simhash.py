@@ -266,7 +266,7 @@ def crossing(texts: DataFrame, roots: DataFrame, heavy: int = CROWD) -> DataFram
 def crowds(texts: DataFrame, heavy: int = CROWD) -> DataFrame | None:
     """(crowd, n): the texts of each crowd, so that two texts of which one has a crowded segment value and the other has it too, or one that differs in one bit, are in a crowd together. None if no value is crowded.
 
-    A crowd is made of crowded values that differ in one bit or share at least half of the lesser one's texts, directly or through others."""
+    A crowd is made of crowded values that differ in one bit or share at least an eighth of the lesser one's texts, directly or through others."""
     crowded = _crowded(texts, heavy)
     if crowded is None:
         return None
@@ -278,7 +278,7 @@ def crowds(texts: DataFrame, heavy: int = CROWD) -> DataFrame | None:
     both = values.select(F.explode("s").alias("u"), "s").select("u", F.explode("s").alias("v")).where("u < v").groupBy("u", "v").agg(F.count("*").alias("both"))
     sized = both.join(sizes.select(F.col("segment").alias("u"), F.col("size").alias("x")), "u").join(sizes.select(F.col("segment").alias("v"), F.col("size").alias("y")), "v")
     beside = around.join(crowded, "segment", "left_semi").where("value < segment").select(F.col("value").alias("u"), F.col("segment").alias("v"))
-    roots = components(sized.where("2 * both >= least(x, y)").select("u", "v").unionByName(beside)).select(F.col("node").alias("value"), "root")
+    roots = components(sized.where("8 * both >= least(x, y)").select("u", "v").unionByName(beside)).select(F.col("node").alias("value"), "root")
     reach = keep(around.join(roots, "value", "left").select("segment", F.coalesce("root", "value").alias("crowd")).distinct(), "reach")
     return keep(index.join(reach, "segment").select("crowd", "n").distinct(), "crowds")
 
